@@ -227,3 +227,41 @@ def _links(spark, scratch, docs, id_col, text_col, k, pairs, classes, num, den)
     out = scratch.save(_verified(pairs, sets, num, den), "links")
     scratch.drop(sets)
     return out
+
+
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(spark, table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+QUERIES = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}
+_WORDS = "list_filter(regexp_split_to_array(lower_az, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL = {
+    "op2_ngram_jaccard_join": f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, {_WORDS} AS w FROM (SELECT doc_id, {_AZ} AS lower_az FROM documents)
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])) END AS g
+  FROM w
+), n AS (
+  SELECT doc_id, CAST(len(g) AS BIGINT) AS n, g FROM s
+), e AS (
+  SELECT doc_id, n, unnest(g) AS g FROM n
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM n
+  UNION
+  SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b
+), comp AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+), same AS (
+  SELECT doc_id, CASE WHEN n = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY list_sort(g), n = 0) END AS class_id FROM n
+)
+SELECT n.doc_id, n.n AS n_shingles, class_id, component_id
+FROM n JOIN comp ON comp.a = n.doc_id JOIN same ON same.doc_id = n.doc_id
+"""
+}
