@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,24 +28,22 @@ from .common import table
 
 LONG_BYTES = 256
 #: Pieces that a worker remembers, and texts' characters that it handles at once.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 BATCH_CHARS = 1 << 20
 
 _STEP = """
 WITH RECURSIVE t(w, pos, id, step) AS (
   SELECT w, pos, id, 0 FROM start
   UNION ALL
-  SELECT w, pos, CASE WHEN pos = best & 1023 THEN (best >> 10)::INTEGER ELSE id END, step + 1
-  FROM (
-    SELECT *, min((rank::BIGINT << 10) | pos) OVER (PARTITION BY w) AS best,
-      lag(pos) OVER (PARTITION BY w ORDER BY pos) AS before
-    FROM (
-      SELECT p.*, m.id AS rank
-      FROM (SELECT *, lead(id) OVER (PARTITION BY w ORDER BY pos) AS next FROM t) p
-      LEFT JOIN merges m ON m.l = p.id AND m.r = p.next
-    )
+  (WITH p AS MATERIALIZED (
+    SELECT w, pos, id, step, (id::BIGINT << 20) | lead(id) OVER o AS pair, lag(pos) OVER o AS before
+    FROM t WINDOW o AS (PARTITION BY w ORDER BY pos)
+  ), b AS (
+    SELECT p.w, min((m.id::BIGINT << 10) | p.pos) AS best FROM p JOIN merges m ON m.pair = p.pair GROUP BY p.w
   )
-  WHERE best IS NOT NULL AND (before IS NULL OR before <> best & 1023)
+  SELECT p.w, p.pos, CASE WHEN p.pos = best & 1023 THEN (best >> 10)::INTEGER ELSE p.id END, step + 1
+  FROM p JOIN b ON p.w = b.w
+  WHERE before IS NULL OR before <> best & 1023)
 )
 SELECT w, id FROM (SELECT *, max(step) OVER (PARTITION BY w) AS last FROM t) WHERE step = last ORDER BY w, pos
 """
@@ -66,9 +65,10 @@ class Encoder:
         self.find, self.long_bytes = regex.compile(pattern).findall, long_bytes
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
-        merges = [(self.ranks[t[:i]], self.ranks[t[i:]], n) for t, n in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        l, r, n = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True)) if merges else [pa.array([], pa.int32())] * 3
-        self._create("merges", pa.table({"l": l, "r": r, "id": n}))
+        if len(self.ranks) >= 1 << 20:
+            raise ValueError("a vocabulary may have 2**20 tokens at most")
+        merges = [(self.ranks[t[:i]] << 20 | self.ranks[t[i:]], n) for t, n in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
+        self._create("merges", pa.table({"pair": pa.array([p for p, _ in merges], pa.int64()), "id": pa.array([n for _, n in merges], pa.int32())}))
         self._create("vocabulary", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": pa.array([t.decode("latin-1") for t in self.ranks])}))
         self._forget()
 
@@ -146,7 +146,7 @@ class Encoder:
         """(ids of all texts, number of ids of each)."""
         found = [self.find(t) for t in texts]
         per_text = np.array([len(f) for f in found])
-        pieces = [p for f in found for p in f]
+        pieces = list(chain.from_iterable(found))
         new = set(pieces).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self._forget()
@@ -154,7 +154,7 @@ class Encoder:
         if new:
             self.learn(new)
         known = self.known
-        at = np.fromiter((known[p] for p in pieces), np.int64, len(pieces))
+        at = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
         sizes = self.size[at]
         ends = np.cumsum(sizes)
         ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[at] - (ends - sizes), sizes)]
