@@ -85,6 +85,17 @@ def in_bitmap(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
     return (words[b >> 6] >> (b & 63)) & 1 == 1
 
 
+def held_by(column, words: np.ndarray, spark: SparkSession):
+    """Column: whether a filter of bitmap() holds a long column; only that column goes to Python."""
+    shared = spark.sparkContext.broadcast(words)
+
+    @F.arrow_udf("boolean")
+    def test(h: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(h.to_numpy(zero_copy_only=False), shared.value))
+
+    return test(F.xxhash64(column))
+
+
 def summed_sketch(df: DataFrame, fn, length: int) -> np.ndarray:
     """Sum over all partitions of the uint64 arrays of fixed ``length`` that fn(batches) returns.
 

@@ -14,9 +14,11 @@ threshold:
    So each column is first linked to a few hub rows; pairs with enough shared
    columns are verified exactly and joined to components. Then the product is
    accumulated, column block by column block, over pairs of rows that are not
-   connected yet. Pairs below the bounds that follow from their sizes, positions
-   and accumulated overlap are discarded; all others are verified exactly on
-   whole sets. No link that joins two components is lost; a pair within a
+   connected yet. Pairs below the bounds that follow from their sizes, positions,
+   bitmaps and accumulated overlap are discarded; all others are verified exactly
+   on whole sets. (A set's bitmap has the parity of its n-grams in each of 512
+   hash cells. Where two bitmaps differ, the sets differ in an n-gram at least,
+   so the bitmaps bound the overlap from above.) No link that joins two components is lost; a pair within a
    component that exists already is not looked at again.
 
 Sets are fetched in another pass over the texts, for rows of candidate pairs
@@ -35,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, bitmap, components, in_bitmap, is_empty, summed_sketch, table
 from .textkernel import chunks, mix, shingle_hashes, word_hashes
 
+#: Bits of a set's bitmap (a multiple of 64).
+BITS = 512
 #: Counters of the table that orders the n-grams.
 COUNTERS = 1 << 21
 
@@ -71,32 +75,40 @@ def _key(grams: np.ndarray) -> int:
     return int(mix(np.array([h], np.uint64)).view(np.int64)[0])
 
 
+def bitmap_of(grams: np.ndarray) -> np.ndarray:
+    """Parity of the n-grams in each hash cell, as bytes."""
+    return np.packbits(np.bincount((grams & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1)
+
+
 def prefix_rows(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, counts) -> DataFrame:
-    """(doc_id, n, key, prefix): size and name of each document's set, its first columns in the global order."""
+    """(doc_id, row_key, n, key, bits, prefix): size, name and bitmap of each document's set, its first columns in the global order."""
 
     def rows(batches):
         order = counts.value
         for b in batches:
-            ids, column = b.column(0), b.column(1)
+            ids, row_keys, column = b.columns
             for row, data, offsets in chunks(column):
                 grams, ends = shingle_hashes(*word_hashes(data, offsets), k)
                 n = np.zeros(len(offsets) - 1, np.int32)
                 keys = np.zeros(len(n), np.int64)
+                bits = np.zeros((len(n), BITS // 8), np.uint8)
                 parts, sizes = [], np.zeros(len(n) + 1, np.int64)
                 for i in range(len(n)):
                     if ends[i] == ends[i + 1]:
                         continue
                     own = np.unique(grams[ends[i] : ends[i + 1]])
                     n[i], keys[i] = len(own), _key(own)
+                    bits[i] = bitmap_of(own)
                     p = len(own) - -(-num * len(own) // den) + 1
                     often = order[_bucket(own, len(order))]
                     parts.append(own[np.lexsort((own, often))[:p]])
                     sizes[i + 1] = p
                 flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
                 prefix = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat.view(np.int64), pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids.slice(row, len(n)), pa.array(n), pa.array(keys), prefix], ["doc_id", "n", "key", "prefix"])
+                words = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * (BITS // 64), pa.int32()), pa.array(bits.reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids.slice(row, len(n)), row_keys.slice(row, len(n)), pa.array(n), pa.array(keys), words, prefix], ["doc_id", "row_key", "n", "key", "bits", "prefix"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(rows, "doc_id long, n int, key long, prefix array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("h"), F.col(text_col)).mapInArrow(rows, "doc_id long, row_key long, n int, key long, bits array<long>, prefix array<long>")
 
 
 def whole_sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted) -> DataFrame:
@@ -143,94 +155,103 @@ def _bound(num: int, den: int, a: str = "na", b: str = "nb") -> str:
     return f"((cast({num} as bigint) * ({a} + {b}) + {num + den - 1}) div {num + den})"
 
 
-def ngram_jaccard_join(
-    spark: SparkSession,
-    docs: DataFrame,
-    k: int = 5,
-    num: int = 80,
-    den: int = 100,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    hubs: int = 3,
-    counters: int = COUNTERS,
-) -> DataFrame:
-    """Links documents whose sets of k-word shingles have Jaccard similarity >= num / den.
+def link_classes(spark: SparkSession, scratch: Scratch, classes: DataFrame, sets_of, num: int, den: int, ordered: bool, hubs: int = 3) -> DataFrame:
+    """(node, component) of classes (key, n, bits, marks) that are linked with another one.
 
-    Returns a row per row of ``docs``: doc_id, n_shingles, class_id (smallest
-    doc_id with the same set) and component_id (smallest doc_id reachable by
-    links). Words are runs of anything but ASCII white space, A-Z lower-cased. A
-    text with fewer than k words has the whole sequence as its one shingle. A
-    null or empty text, or one without words, has no shingle and is linked with
-    nothing: its class and component are its own doc_id. A row whose doc_id is
-    null takes part, but never names a class unless all ids in it are null.
-    Repeated rows and rows with the same doc_id give a row each. Other columns
-    are ignored, whatever their names.
+    marks: the columns that a class enters the product with; two classes are
+    compared if they share one. ordered: marks are prefixes in one global order,
+    so that the bounds on places and on the prefixes' overlap hold. sets_of(pairs)
+    returns (key, grams) of the classes in pairs (a, b).
     """
-    if docs.select(F.lit(1)).isEmpty():
-        return spark.createDataFrame([], "doc_id long, n_shingles long, class_id long, component_id long")
-    scratch = Scratch(spark)
-    counts = spark.sparkContext.broadcast(gram_counts(docs, text_col, k, counters))
-    rows = scratch.save(prefix_rows(docs, id_col, text_col, k, num, den, counts), "rows")
-    classes = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"))
-
-    # Columns of the product: (gram, row, its size, place of the gram in its prefix); copies of a set are one row.
-    entries = rows.filter("n > 0").select("key", "n", F.posexplode("prefix").alias("pos", "gram")).groupBy("gram", "key").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-    entries = entries.withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / math.log(1 / (num / den) if num < den else 1.1)))
+    words = BITS // 64
+    entries = classes.select("key", "n", F.posexplode("marks").alias("pos", "gram"))
+    lengths = entries.groupBy("gram").count().filter("count > 1").select("gram")
+    columns = entries.join(lengths, "gram").select("gram", "key", "n", "pos")
+    columns = columns.withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num if num < den else 1.1)))
+    columns = scratch.save(columns, "columns")
     named = [F.min(F.struct(F.xxhash64(F.col("key"), F.lit(s)).alias("h"), "key", "n")).alias(f"hub{s}") for s in range(hubs)]
-    heads = entries.groupBy("gram", "size_class").agg(F.count(F.lit(1)).alias("c"), *named)
-    # A size class apart is within reach, so a column counts as long as it has two rows of any size.
-    lengths = heads.groupBy("gram").agg(F.sum("c").alias("rows")).filter("rows > 1")
-    columns = scratch.save(entries.join(lengths, "gram").select("gram", "key", "n", "pos", "size_class"), "columns")
-    heads = scratch.save(heads.filter("c > 1"), "heads")
+    heads = columns.groupBy("gram", "size_class").agg(F.count(F.lit(1)).alias("c"), *named).filter("c > 1")
 
     reach = f"{_bound(num, den)} <= least(na, nb)"
-    star = columns.join(heads, ["gram", "size_class"]).select("gram", F.col("key").alias("a"), F.col("n").alias("na"), F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"hub{s}.key").alias("b"), F.col(f"hub{s}.n").alias("nb")) for s in range(hubs)]))).alias("hub")).select("gram", "a", "na", "hub.b", "hub.nb").filter("a <> b").filter(reach)
-    # The overlap that a pair has within the prefixes is at least what is left when all beyond them is shared.
+    # Of the overlap of a pair, what isn't within both prefixes is beyond one of them.
     prefix = lambda n: f"({n} - (({num} * cast({n} as bigint) + {den - 1}) div {den}) + 1)"
-    needed = f"{_bound(num, den)} - greatest(na - {prefix('na')}, nb - {prefix('nb')})"
-    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("if(a < b, na, nb)").alias("na"), F.expr("if(a < b, nb, na)").alias("nb"), "gram").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count_distinct("gram").alias("shared"))
-    star = scratch.save(star.filter(f"shared >= {needed}").select("a", "b"), "star")
-    links = _links(spark, scratch, docs, id_col, text_col, k, star, classes, num, den)
+    needed = f"{_bound(num, den)} - greatest(na - {prefix('na')}, nb - {prefix('nb')})" if ordered else "1"
+    apart = " + ".join(f"bit_count(xa[{i}] ^ xb[{i}])" for i in range(words))
+    close = f"{apart} <= na + nb - 2 * {_bound(num, den)}"
+
+    each = F.array_distinct(F.array(*[F.struct(F.col(f"hub{s}.key").alias("b"), F.col(f"hub{s}.n").alias("nb")) for s in range(hubs)]))
+    star = columns.join(heads, ["gram", "size_class"]).select("gram", F.col("key").alias("a"), F.col("n").alias("na"), F.explode(each).alias("hub")).select("gram", "a", "na", "hub.b", "hub.nb").filter("a <> b").filter(reach)
+    star = star.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count_distinct("gram").alias("shared")).filter(f"shared >= {needed}")
+    # Of its hubs, each row is tried with the one that shares most columns and one more; other pairs wait for the product.
+    star = star.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("s"), F.min(F.struct(F.xxhash64("b"), "b")).alias("t"))
+    star = star.select("a", F.explode(F.array(F.col("s.b"), F.col("t.b"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sized = lambda c: classes.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}"))
+    star = scratch.save(star.join(sized("a"), "a").join(sized("b"), "b").filter(close).select("a", "b"), "star")
+    links = _links(scratch, star, sets_of, num, den)
     label = components(spark, links, scratch)
 
     # The product over the rows of columns that are not connected yet.
     known = columns.join(label.select(F.col("node").alias("key"), "component"), "key", "left").select("gram", "key", "n", "pos", F.coalesce("component", "key").alias("part"))
     split = known.groupBy("gram").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("gram")
-    open_ = scratch.save(known.join(split, "gram"), "open")
-    x = open_.select("gram", F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("part").alias("ca"))
-    y = open_.select("gram", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("part").alias("cb"))
-    place = f"{_bound(num, den)} <= least(pa, pb) + 1 + least(na - pa - 1, nb - pb - 1)"
-    product = x.join(y, (x.gram == y.gram) & F.expr(f"a < b and ca <> cb and {reach} and {place}"))
-    product = product.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count(F.lit(1)).alias("shared"))
+    open_ = scratch.save(known.join(split, "gram").join(classes.select("key", "bits"), "key"), "open")
+    side = lambda c: open_.select("gram", F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("pos").alias(f"p{c}"), F.col("part").alias(f"c{c}"), F.col("bits").alias(f"x{c}"))
+    x, y = side("a"), side("b")
+    place = f"and {_bound(num, den)} <= least(pa, pb) + 1 + least(na - pa - 1, nb - pb - 1)" if ordered else ""
+    product = x.join(y, (x.gram == y.gram) & F.expr(f"a < b and ca <> cb and {reach} {place} and {close}"))
     # No entry of a pair that reaches the threshold fails the test of places, so for such a pair the sum is the whole overlap of the prefixes.
+    product = product.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count(F.lit(1)).alias("shared"))
     rest = scratch.save(product.filter(f"shared >= {needed}").select("a", "b"), "rest")
     if not is_empty(rest):
-        more = _links(spark, scratch, docs, id_col, text_col, k, rest, classes, num, den)
-        label = components(spark, links.union(more), scratch)
-
-    named = classes.join(label.select(F.col("node").alias("key"), "component"), "key", "left").select("key", "class_id", F.coalesce("component", "key").alias("part"))
-    least = named.groupBy("part").agg(F.min("class_id").alias("component_id"))
-    named = scratch.save(named.join(least, "part").select("key", "class_id", "component_id"), "named")
-    full = rows.filter("n > 0").select("doc_id", "n", "key").join(named, "key").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "class_id", "component_id")
-    return full.union(rows.filter("n = 0").select("doc_id", F.lit(0).cast("long"), "doc_id", "doc_id"))
+        label = components(spark, links.union(_links(scratch, rest, sets_of, num, den)), scratch)
+    return label
 
 
-def _links(spark, scratch, docs, id_col, text_col, k, pairs, classes, num, den) -> DataFrame:
-    """Verified pairs, written; the sets come from another pass over the texts of the pairs' classes."""
+def _links(scratch: Scratch, pairs: DataFrame, sets_of, num: int, den: int) -> DataFrame:
+    """Those of the pairs that are verified on whole sets, written."""
     if is_empty(pairs):
         return pairs
-    ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    wanted = scratch.save(classes.join(ends, "key", "left_semi").select("key", "class_id"), "wanted")
-    held = spark.sparkContext.broadcast(bitmap(wanted, "class_id"))
-    sets = whole_sets(docs, id_col, text_col, k, held).join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.first("grams").alias("grams"))
-    sets = scratch.save(sets, "sets")
+    sets = scratch.save(sets_of(pairs), "sets")
     out = scratch.save(_verified(pairs, sets, num, den), "links")
     scratch.drop(sets)
     return out
 
 
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
+    """Links documents whose sets of k-word shingles have Jaccard similarity >= num / den.
+
+    Returns a row per row of ``docs``: doc_id, row_key (xxhash64 of id and text),
+    n_shingles, class_id (smallest doc_id with the same set) and component_id
+    (smallest doc_id reachable by links). Words are runs of anything but ASCII white space, A-Z lower-cased. A
+    text with fewer than k words has the whole sequence as its one shingle. A
+    null or empty text, or one without words, has no shingle and is linked with
+    nothing: its class and component are its own doc_id. A row whose doc_id is
+    null takes part, but never names a class unless all ids in it are null.
+    Repeated rows and rows with the same doc_id give a row each. Other columns
+    are ignored, whatever their names.
+    """
+    scratch = Scratch(spark)
+    counts = spark.sparkContext.broadcast(gram_counts(docs, text_col, k, counters))
+    rows = scratch.save(prefix_rows(docs, id_col, text_col, k, num, den, counts), "rows")
+    classes = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("marks"))
+    classes = scratch.save(classes, "classes")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        # Another pass over the texts, for the ids of the pairs' classes.
+        ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+        wanted = scratch.save(classes.join(ends, "key", "left_semi").select("key", "class_id"), "wanted")
+        held = spark.sparkContext.broadcast(bitmap(wanted, "class_id"))
+        return whole_sets(docs, id_col, text_col, k, held).join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.first("grams").alias("grams"))
+
+    label = link_classes(spark, scratch, classes, sets_of, num, den, ordered=True)
+    named = classes.join(label.select(F.col("node").alias("key"), "component"), "key", "left").select("key", "class_id", F.coalesce("component", "key").alias("part"))
+    least = named.groupBy("part").agg(F.min("class_id").alias("component_id"))
+    named = scratch.save(named.join(least, "part").select("key", "class_id", "component_id"), "named")
+    full = rows.filter("n > 0").select("doc_id", "row_key", "n", "key").join(named, "key").select("doc_id", "row_key", F.col("n").cast("long").alias("n_shingles"), "class_id", "component_id")
+    return full.union(rows.filter("n = 0").select("doc_id", "row_key", F.lit(0).cast("long"), "doc_id", "doc_id"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(spark, table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+    return ngram_jaccard_join(spark, table(spark, sf_dir, "documents"), k=3, num=90, den=100).drop("row_key")
 
 
 QUERIES = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}
