@@ -103,7 +103,8 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and -7 as event logs (a message, then its text as a delta), folded, rendered and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
-    rows = rows.union(spark.createDataFrame(own, "conv_id long, turn long, role string, text string"))
+    own = F.explode(F.array(*[F.struct(F.lit(c).cast("long").alias("conv_id"), F.lit(t).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(x).alias("text")) for c, t, r, x in own]))
+    rows = rows.union(spark.range(1).select(own.alias("r")).select("r.*"))
     # Rows with the same turn are turns of their own, in the order of role and text.
     place = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
     rows = rows.withColumn("n", place)

@@ -136,7 +136,9 @@ def scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     )
     done = scratch.save(done, "scan")
 
-    postings = F.broadcast(spark.createDataFrame(prefix or [(0, "", 0, [0], 1)], "rank int, label string, i int, ranks array<int>, need int").filter("label <> ''"))
+    kind = "array<struct<rank: int, label: string, i: int, ranks: array<int>, need: int>>"
+    posting = lambda r, label, i, ranks, o: F.struct(F.lit(r).alias("rank"), F.lit(label).alias("label"), F.lit(i).alias("i"), F.array(*map(F.lit, ranks)).alias("ranks"), F.lit(o).alias("need"))
+    postings = F.broadcast(spark.range(1).select(F.explode(F.array(*[posting(*x) for x in prefix]).cast(kind)).alias("p")).select("p.*"))
     b = done.filter("blocks is not null").dropDuplicates(["key"]).select("key", F.posexplode("blocks").alias("line", "b"))
     b = b.select("key", "line", "b", F.posexplode("b").alias("j", "rank"))
     candidates = b.join(postings, "rank").filter("size(b) >= need and least(i, j) + 1 + least(size(ranks) - i - 1, size(b) - j - 1) >= need")

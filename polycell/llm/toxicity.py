@@ -189,14 +189,14 @@ def fit(docs: DataFrame, labels: DataFrame, allowed=None) -> Model:
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """Adds score (0 to 1) and predicted (1 if score >= threshold) to rows with a text; null texts are scored as empty ones."""
-    place = docs.columns.index("text")
+    place, names = docs.columns.index("text"), docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
 
     def rows(batches):
         for b in batches:
             texts = [(t or "").encode("utf-8", "replace") for t in b.column(place).to_pylist()]
             found = shared.value.scores(texts) if texts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64()), pa.array((found >= threshold).astype(np.int32))], [*docs.columns, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64()), pa.array((found >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
     return docs.mapInArrow(rows, f"{kinds}, score double, predicted int")
