@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from .common import shared_dir, table
+from .common import Scratch, shared_dir, table
 
 SCHEMA = "record_id string, record_type string, target_uri string, warc_date string, payload_digest string, refers_to string, http_length long, payload_length long, payload_sha1 string, payload binary"
 #: Columns that writing takes; payload_digest and refers_to may be null.
@@ -379,12 +379,13 @@ def deduplicated_records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame
     others are revisits that refer to it; all smaller ones are responses. A null
     html is an empty payload. A null page_id never is the one referred to; pages
     whose equals all have none are responses. Digests are grouped with map-side
-    combining; the payloads are joined with the groups of two or more only.
+    combining; groups of two or more are written, so that Spark knows their size
+    and shuffles the payloads only where they are too many to broadcast.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("digest", F.sha1("payload")).withColumn("n", F.octet_length("payload").cast("long"))
     groups = p.filter(F.col("n") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1 and first is not null").drop("copies")
-    joined = p.join(groups, "digest", "left")
+    joined = p.join(Scratch(pages.sparkSession).save(groups, "digests"), "digest", "left")
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")))
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select(
