@@ -124,27 +124,7 @@ def _by_bins(own: DataFrame, nodes: DataFrame, n: int, d: int, bases, normals, t
         seen = spread.withColumnRenamed("at", "bin").join(wanted, "bin", "left_semi").select("bin", "id", "coords", F.lit(False).alias("own"))
         cover = bool(ring >= counts.max())
 
-        def build(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch], ring=ring, cover=cover) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(list(batches))  # a bin and its ring
-            ids, points, mine = t["id"].to_numpy(), np.array(t["coords"].to_pylist()).reshape(-1, d), t["own"].to_numpy(zero_copy_only=False)
-            at = np.array(keys[0].as_py())
-            low, high = lo + (at - ring) * side, lo + (at + ring + 1) * side
-            all_ids, all_points = ids[~mine], points[~mine]
-            for i, x in zip(ids[mine], points[mine], strict=True):
-                keep = all_ids != i
-                # Beyond the seen bins on a side where the generators end, there is nothing to see.
-                room = np.concatenate([np.where(low <= lo, np.inf, x - low), np.where(high > hi, np.inf, high - x)]).min()
-                try:
-                    rows, reach = _emit(int(i), x, all_ids[keep], all_points[keep], bases, normals, tol, all_of)
-                except ValueError:
-                    if cover:
-                        raise
-                    rows, reach = [], np.inf
-                if cover or reach <= room:
-                    yield _batch(rows)
-                else:
-                    yield _batch([(int(i), "retry", None, None, None)])
-
+        build = _bin_builder(ring, cover, lo, hi, side, d, bases, normals, tol, all_of)
         made = left.select("bin", "id", "coords", F.lit(True).alias("own")).unionByName(seen).groupBy("bin").applyInArrow(build, SCHEMA).persist()
         done = made.filter("kind <> 'retry'")
         out = done if out is None else out.unionByName(done)
@@ -155,6 +135,31 @@ def _by_bins(own: DataFrame, nodes: DataFrame, n: int, d: int, bases, normals, t
         ring *= 2
 
 
+def _bin_builder(ring: int, cover: bool, lo, hi, side: float, d: int, bases, normals, tol: float, all_of: bool):
+    def build(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))  # a bin and its ring
+        ids, points, mine = t["id"].to_numpy(), np.array(t["coords"].to_pylist()).reshape(-1, d), t["own"].to_numpy(zero_copy_only=False)
+        at = np.array(keys[0].as_py())
+        low, high = lo + (at - ring) * side, lo + (at + ring + 1) * side
+        all_ids, all_points = ids[~mine], points[~mine]
+        for i, x in zip(ids[mine], points[mine], strict=True):
+            keep = all_ids != i
+            # Beyond the seen bins on a side where the generators end, there is nothing to see.
+            room = np.concatenate([np.where(low <= lo, np.inf, x - low), np.where(high > hi, np.inf, high - x)]).min()
+            try:
+                rows, reach = _emit(int(i), x, all_ids[keep], all_points[keep], bases, normals, tol, all_of)
+            except ValueError:
+                if cover:
+                    raise
+                rows, reach = [], np.inf
+            if cover or reach <= room:
+                yield _batch(rows)
+            else:
+                yield _batch([(int(i), "retry", None, None, None)])
+
+    return build
+
+
 def vertices(rows: DataFrame) -> DataFrame:
     return rows.filter("kind = 'vertex'").select("sigma", "position")
 

@@ -49,7 +49,10 @@ def _xs(column: str, n: int, digits: int = 6):
     return [F.round(F.col(column)[k], digits).alias(f"x{k}") for k in range(n)]
 
 
-_name = F.concat_ws(",", F.col("sigma").cast("array<string>")).alias("sigma")
+def _name():
+    return F.concat_ws(",", F.col("sigma").cast("array<string>")).alias("sigma")
+
+
 _G = f"""g AS (SELECT CAST(s_suppkey AS BIGINT) AS id, (s_acctbal + 1000) / 11000 AS x, (s_suppkey * {GOLDEN}::DOUBLE) % 1 AS y FROM supplier)"""
 _Q = f"""q AS (SELECT CAST(c_custkey AS BIGINT) AS qid, (c_acctbal + 1000) / 11000 AS x, (c_custkey * {GOLDEN}::DOUBLE) % 1 AS y FROM customer)"""
 _P = "p AS (SELECT * FROM (VALUES (0, 1.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE), (1, -1.0, 0.0, 0.0), (2, 0.0, 1.0, 1.0), (3, 0.0, -1.0, 0.0)) t(plane, nx, ny, c))"
@@ -116,7 +119,7 @@ def source_cuboid_nodes(spark, d):
 @query("""WITH c AS (SELECT (i // 9) * 16 + ((i // 3) % 3) * 4 + i % 3 AS b, i FROM range(27) t(i))
 SELECT array_to_string(list_sort([b, b + 1, b + 4, b + 5, b + 16, b + 17, b + 20, b + 21]), ',') AS sigma, round(0.5 + i // 9, 6) AS x0, round(0.5 + (i // 3) % 3, 6) AS x1, round(0.5 + i % 3, 6) AS x2 FROM c""")
 def source_cuboid_vertices(spark, d):
-    return tables.cuboid_vertices(spark, [0, 0, 0], [1, 1, 1], [4, 4, 4]).select(_name, *_xs("position", 3))
+    return tables.cuboid_vertices(spark, [0, 0, 0], [1, 1, 1], [4, 4, 4]).select(_name(), *_xs("position", 3))
 
 
 @query("""WITH c AS (SELECT i, i // 9 AS a, (i // 3) % 3 AS b, i % 3 AS c FROM range(27) t(i))
@@ -260,7 +263,7 @@ SELECT g.id AS rid, round(t, 6) AS t, CASE WHEN t IS NULL THEN '' ELSE array_to_
 def ray_cast_ties(spark, d):
     n = sites(spark, d)
     rays = n.select(F.col("id").alias("rid"), F.col("id").alias("start"), F.col("coords").alias("origin"), vec.literal([0.6, 0.8]).alias("direction"), F.array().cast("array<bigint>").alias("skip"))
-    return search.ray_cast(rays, n).select("rid", F.round("t", 6).alias("t"), _name)
+    return search.ray_cast(rays, n).select("rid", F.round("t", 6).alias("t"), _name())
 
 
 # -- construction and relations ------------------------------------------------------------------
@@ -275,13 +278,13 @@ _SEE = "SELECT array_to_string(sigma, ',') AS sigma, round(px, 6) AS x0, round(p
 
 @query(f"WITH {_G}, {_P}, {_V} {_SEE}")
 def voronoi_vertices(spark, d):
-    return _bounded(spark, d).vertices.select(_name, *_xs("position", 2))
+    return _bounded(spark, d).vertices.select(_name(), *_xs("position", 2))
 
 
 @query(SQL["voronoi_vertices"])
 def voronoi_vertices_bins(spark, d):
     """The same by bins and certified cells, as for generators beyond a broadcast."""
-    return construct.vertices(construct.cell_rows(sites(spark, d), BOX, strategy="bins")).select(_name, *_xs("position", 2))
+    return construct.vertices(construct.cell_rows(sites(spark, d), BOX, strategy="bins")).select(_name(), *_xs("position", 2))
 
 
 @query(f"""WITH {_G}, e AS (
@@ -289,7 +292,7 @@ def voronoi_vertices_bins(spark, d):
 ), s AS (SELECT i, j, max(dx * (y - ay) - dy * (x - ax)) AS hi, min(dx * (y - ay) - dy * (x - ax)) AS lo FROM e JOIN g ON id <> i AND id <> j GROUP BY i, j)
 SELECT i || ',' || j AS sigma FROM s WHERE hi < 0 OR lo > 0""")
 def voronoi_infinite_edges(spark, d):
-    return VoronoiMesh.from_df(sites(spark, d)).infinite_edges.select(_name)
+    return VoronoiMesh.from_df(sites(spark, d)).infinite_edges.select(_name())
 
 
 @query(f"WITH {_G}, {_P}, {_V} SELECT DISTINCT cell, s AS adjacent FROM (SELECT cell, unnest([n1, n2]) AS s FROM inc) WHERE s >= 0")
@@ -304,14 +307,14 @@ def mesh_neighbours(spark, d):
 
 @query(f"WITH {_G}, {_P}, {_V} SELECT cell, array_to_string(sigma, ',') AS sigma, cell = list_min(list_filter(sigma, lambda s: s >= 0)) AS owner FROM inc")
 def mesh_incidence(spark, d):
-    return mesh.incidence(_bounded(spark, d).vertices).select("cell", _name, "owner")
+    return mesh.incidence(_bounded(spark, d).vertices).select("cell", _name(), "owner")
 
 
 @query(f"WITH {_G}, {_P}, {_V} {_SEE} WHERE px < 0.5 AND len(list_filter(sigma, lambda s: s % 7 = 0 AND s >= 0)) = 0")
 def mesh_filter(spark, d):
     m = _bounded(spark, d)
     _, v, _ = mesh.filtered(m.nodes, m.vertices, m.infinite_edges, F.col("id") % 7 != 0, F.col("position")[0] < 0.5)
-    return v.select(_name, *_xs("position", 2))
+    return v.select(_name(), *_xs("position", 2))
 
 
 @query(f"WITH {_G}, n AS (SELECT id, CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS public_id FROM g) SELECT public_id FROM n WHERE id % 7 = 0")
@@ -335,7 +338,7 @@ def mesh_visible_first(spark, d):
 def mesh_renumbered(spark, d):
     m = _bounded(spark, d)
     to = m.nodes.select("id", (10 * F.col("id") + 3).alias("to"))
-    return mesh.renumbered(m.vertices, to).select(_name, *_xs("position", 2))
+    return mesh.renumbered(m.vertices, to).select(_name(), *_xs("position", 2))
 
 
 @query(SQL["voronoi_vertices"])
@@ -343,7 +346,7 @@ def voronoi_refine(spark, d):
     n = sites(spark, d)
     m = VoronoiMesh.from_df(n.filter("id % 5 <> 0"), BOX).compute()
     m.refine(n.filter("id % 5 = 0"))
-    return m.vertices.select(_name, *_xs("position", 2))
+    return m.vertices.select(_name(), *_xs("position", 2))
 
 
 @query(f"WITH {_G.replace('FROM supplier', 'FROM supplier WHERE s_suppkey % 5 <> 0')}, {_P}, {_V} {_SEE}")
@@ -351,7 +354,7 @@ def voronoi_remove(spark, d):
     n = sites(spark, d)
     m = VoronoiMesh.from_df(n, BOX).compute()
     m.remove(n.filter("id % 5 = 0"))
-    return m.vertices.select(_name, *_xs("position", 2))
+    return m.vertices.select(_name(), *_xs("position", 2))
 
 
 # -- integration ---------------------------------------------------------------------------------
@@ -465,7 +468,7 @@ def unbounded_cells(spark, d):
 
 @query("SELECT CAST(NULL AS VARCHAR) AS sigma, CAST(NULL AS VARCHAR) AS reason WHERE false")
 def validate_vertices(spark, d):
-    return _bounded(spark, d).wrong_vertices(max_variance=1e-18).select(_name, "reason")
+    return _bounded(spark, d).wrong_vertices(max_variance=1e-18).select(_name(), "reason")
 
 
 @query("SELECT CAST(NULL AS BIGINT) AS cell, CAST(NULL AS BIGINT) AS ends WHERE false")
@@ -487,7 +490,7 @@ def validate_compare(spark, d):
 @query()
 def periodic_vertices(spark, d):
     m = PeriodicMesh(sites(spark, d), Boundary.cuboid([1.0, 1.0], periodic={0})).compute()
-    return m.public_vertices().select("cell", _name, *_xs("position", 2))
+    return m.public_vertices().select("cell", _name(), *_xs("position", 2))
 
 
 @query()
@@ -517,7 +520,7 @@ def _sphere(spark, d):
 ), w AS (SELECT i, j, k, any_value(x) AS x, any_value(y) AS y, any_value(z) AS z, max(x * s.a + y * s.b + z * s.c - x * u.a - y * u.b - z * u.c) AS over FROM u, s GROUP BY i, j, k, x > 0, y > 0, z > 0)
 SELECT i || ',' || j || ',' || k AS sigma, round(x, 5) AS x0, round(y, 5) AS x1, round(z, 5) AS x2 FROM w WHERE over < 1e-9""")
 def spherical_vertices(spark, d):
-    return SphericalMesh(_sphere(spark, d)).compute().vertices().select(_name, *_xs("position", 3, 5))
+    return SphericalMesh(_sphere(spark, d)).compute().vertices().select(_name(), *_xs("position", 3, 5))
 
 
 @query()
@@ -527,7 +530,7 @@ def spherical_neighbours(spark, d):
 
 @query()
 def antipodal_vertices(spark, d):
-    return SphericalMesh(_sphere(spark, d), antipodal=True).compute().vertices().select(_name, *_xs("position", 3, 5))
+    return SphericalMesh(_sphere(spark, d), antipodal=True).compute().vertices().select(_name(), *_xs("position", 3, 5))
 
 
 @query()
@@ -538,7 +541,7 @@ def antipodal_neighbours(spark, d):
 @query()
 def voronoi_vertices_3d(spark, d):
     n = vectors(spark, d, 3)
-    return VoronoiMesh.from_df(n, Boundary.centred_cube(3, 1.0)).vertices.select(_name, *_xs("position", 3))
+    return VoronoiMesh.from_df(n, Boundary.centred_cube(3, 1.0)).vertices.select(_name(), *_xs("position", 3))
 
 
 @query("SELECT CAST(1 AS DOUBLE) AS total")
