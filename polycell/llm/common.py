@@ -53,6 +53,32 @@ class Scratch:
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def bounded_sample(docs: DataFrame, marks: DataFrame, value_col: str, values: list, rows_each: int, max_chars: int) -> dict:
+    """Texts of at most ``rows_each`` documents for each value of a label, those with the smallest hashes of their ids.
+
+    docs: (doc_id, text); marks: (doc_id, value_col), a row per document. Texts of
+    more than max_chars characters, empty and null ones aren't in it. Which rows
+    they are is settled on keys; only the texts of those, a number that the
+    parameters bound, go to the driver.
+    """
+    spark = docs.sparkSession
+    key = F.xxhash64("doc_id", "text")
+    small = docs.filter(f"length(text) between 1 and {max_chars}").select("doc_id", key.alias("k"))
+    small = Scratch(spark).save(small.join(marks, "doc_id").select(F.xxhash64("doc_id").alias("h"), "k", value_col), "sample")
+    picked = {}
+    for v in values:
+        for r in small.filter(F.col(value_col) == v).select("h", "k").distinct().orderBy("h", "k").limit(rows_each).collect():
+            picked[r["k"]] = v
+    if not picked:
+        return {v: [] for v in values}
+    keys = F.broadcast(spark.createDataFrame([(k,) for k in picked], "k long"))  # values * rows_each rows at most
+    texts = {r["k"]: r["text"] for r in docs.select(key.alias("k"), "text").join(keys, "k").collect()}
+    out: dict = {v: [] for v in values}
+    for k, v in picked.items():
+        out[v].append(texts[k])
+    return out
+
+
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 

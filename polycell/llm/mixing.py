@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, bounded_sample, table
 from .textkernel import chunks, mix, word_hashes
 
 #: Documents per domain that the classifier is trained on at most, and cells that words are hashed to.
@@ -83,13 +83,8 @@ def train(texts: list[str], labels: list[str], domains: list[str]) -> Classifier
 def labelled_sample(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[list[str], list[str]]:
     """Texts and domains of at most SAMPLE labelled documents of each domain, those with the smallest hashes; longer texts than SAMPLE_CHARS aren't trained on."""
     marks = labelled.filter("doc_id is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    rows = docs.select("doc_id", "text").filter(f"text is not null and length(text) between 1 and {SAMPLE_CHARS}").join(marks, "doc_id")
-    texts, labels = [], []
-    for d in domains:
-        for r in rows.filter(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "text").select("text").limit(SAMPLE).collect():
-            texts.append(r["text"])
-            labels.append(d)
-    return texts, labels
+    found = bounded_sample(docs.select("doc_id", "text"), marks, "domain", domains, SAMPLE, SAMPLE_CHARS)
+    return [t for d in domains for t in found[d]], [d for d in domains for _ in found[d]]
 
 
 def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -116,13 +111,13 @@ def _rate(gradients: list[np.ndarray], least: float, most: float):
     return F.aggregate(steps, rate, lambda r, g: F.least(F.greatest(r - move(g), F.lit(float(least))), F.lit(float(most))))
 
 
-def fit_rates(rows: DataFrame, weights: list[float], least: float = 0.0, most: float = 1e9, total: float | None = None, steps: int = 200, tolerance: float = 1e-4) -> tuple[list[np.ndarray], dict]:
+def fit_rates(rows: DataFrame, weights: list[float], least: float = 0.0, most: float = 1e9, total: float | None = None, steps: int = 60, tolerance: float = 5e-4) -> tuple[list[np.ndarray], dict]:
     """Gradients whose replay gives the rates, and a report, for rows (tokens, p).
 
     Targets are weights * total; total: all tokens by default, or the least total
-    that needs no rate below ``least`` if least > 0. A step moves rates by
-    p . g, where g is the residual of each domain over its curvature: gradient
-    descent in the metric that weighs a document by its tokens.
+    that needs no rate below ``least`` if least > 0. A step moves rates by p . g,
+    where g are the weighed residuals: gradient descent in the metric that weighs a
+    document by its tokens.
     """
     k = len(weights)
     w = np.array(weights) / sum(weights)
@@ -137,18 +132,17 @@ def fit_rates(rows: DataFrame, weights: list[float], least: float = 0.0, most: f
     for i in range(k):
         for j in range(i, k):
             c[i, j] = c[j, i] = first[f"c{i}_{j}"] or 0.0
-    # The largest eigenvalue bounds the step; within it, scaling by the curvature of each domain evens the pace.
-    scale = np.sqrt(np.maximum(np.diag(c), 1e-12))
-    pace = 1 / max(1.0, np.linalg.eigvalsh(c / np.outer(scale, scale)).max())
+    # Residuals are weighed by the inverse of c = sum of tokens p p'. The problem's largest curvature is 1 then, and so is the step.
+    inverse = np.linalg.inv(c + np.eye(k) * max(1e-9 * np.trace(c) / k, 1e-12))
     gradients: list[np.ndarray] = []
     totals, best = natural, np.inf
     for _ in range(steps):
         off = totals - target
         error = float(np.abs(off).sum() / max(total, 1e-12))
-        if error < tolerance or total == 0 or (len(gradients) > 20 and error > best * 0.9999):
+        if error < tolerance or total == 0 or (len(gradients) > 5 and error > best * 0.98):
             break
         best = min(best, error)
-        gradients.append(pace * off / np.maximum(np.diag(c), 1e-12))
+        gradients.append(inverse @ off)
         got = rows.agg(*sums(_rate(gradients, least, most))).first()
         totals = np.array([got[f"s{i}"] or 0.0 for i in range(k)])
     return gradients, {"target": target.tolist(), "expected": totals.tolist(), "steps": len(gradients), "error": float(np.abs(totals - target).sum() / max(total, 1e-12))}
