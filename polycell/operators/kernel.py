@@ -122,7 +122,7 @@ def enumerate_cell(a: np.ndarray, b: np.ndarray, inside: np.ndarray, tol: float
                 best = t.argmin(axis=1)
                 far = t[np.arange(len(e)), best]
                 with np.errstate(invalid="ignore"):
-                    near = (t - far[:, None]) * slope <= tol
+                    near = (slope > 1e-11) & ((t - far[:, None]) * slope <= tol)
                 ties = np.where(np.isfinite(far), near.sum(axis=1), 0)
                 for i in np.flatnonzero(~np.isfinite(far)):
                     rays.setdefault(support[i], (v[e[i, 0]], u[i]))
