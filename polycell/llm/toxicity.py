@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_sample, table
 
 SAMPLE, SAMPLE_CHARS = 3000, 30_000
 WINDOW, STEP = 48, 32
@@ -175,12 +175,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed) -> tuple[list[b
     # A document with several labels is toxic if one of them says so.
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total, toxic = marks.agg(F.count(F.lit(1)), F.sum("toxic")).first()
-    rows = docs.select("doc_id", "text").filter("text is not null and length(text) between 1 and " + str(SAMPLE_CHARS)).join(marks, "doc_id")
-    out = []
-    for label in (1, 0):
-        picked = rows.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "text").select("text").limit(SAMPLE).collect()
-        out.append([r["text"].encode("utf-8", "replace") for r in picked])
-    return out[0], out[1], min(0.99, max(0.001, (toxic or 0) / total)) if total else 0.1
+    found = bounded_sample(docs.select("doc_id", "text"), marks, "toxic", [1, 0], SAMPLE, SAMPLE_CHARS)
+    out = {label: [t.encode("utf-8", "replace") for t in found[label]] for label in (1, 0)}
+    return out[1], out[0], min(0.99, max(0.001, (toxic or 0) / total)) if total else 0.1
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed=None) -> Model:
