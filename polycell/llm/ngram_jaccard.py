@@ -156,7 +156,7 @@ def _bound(num: int, den: int, a: str = "na", b: str = "nb") -> str:
 
 
 def link_classes(spark: SparkSession, scratch: Scratch, classes: DataFrame, sets_of, num: int, den: int, ordered: bool, hubs: int = 3) -> DataFrame:
-    """(node, component) of classes (key, n, bits, marks) that are linked with another one.
+    """(node, component) of classes (key, n, copies, bits, marks) that are linked with another one.
 
     marks: the columns that a class enters the product with; two classes are
     compared if they share one. ordered: marks are prefixes in one global order,
@@ -164,12 +164,14 @@ def link_classes(spark: SparkSession, scratch: Scratch, classes: DataFrame, sets
     returns (key, grams) of the classes in pairs (a, b).
     """
     words = BITS // 64
-    entries = classes.select("key", "n", F.posexplode("marks").alias("pos", "gram"))
+    entries = classes.select("key", "n", F.least("copies", F.lit(1 << 30)).cast("int").alias("copies"), F.posexplode("marks").alias("pos", "gram"))
     lengths = entries.groupBy("gram").count().filter("count > 1").select("gram")
-    columns = entries.join(lengths, "gram").select("gram", "key", "n", "pos")
+    columns = entries.join(lengths, "gram").select("gram", "key", "n", "copies", "pos")
     columns = columns.withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num if num < den else 1.1)))
     columns = scratch.save(columns, "columns")
-    named = [F.min(F.struct(F.xxhash64(F.col("key"), F.lit(s)).alias("h"), "key", "n")).alias(f"hub{s}") for s in range(hubs)]
+    # Near copies are most often near the text that is copied most.
+    named = [F.max(F.struct("copies", "key", "n")).alias("hub0")]
+    named += [F.min(F.struct(F.xxhash64(F.col("key"), F.lit(s)).alias("h"), "key", "n")).alias(f"hub{s}") for s in range(1, hubs)]
     heads = columns.groupBy("gram", "size_class").agg(F.count(F.lit(1)).alias("c"), *named).filter("c > 1")
 
     reach = f"{_bound(num, den)} <= least(na, nb)"
@@ -182,11 +184,12 @@ def link_classes(spark: SparkSession, scratch: Scratch, classes: DataFrame, sets
     each = F.array_distinct(F.array(*[F.struct(F.col(f"hub{s}.key").alias("b"), F.col(f"hub{s}.n").alias("nb")) for s in range(hubs)]))
     star = columns.join(heads, ["gram", "size_class"]).select("gram", F.col("key").alias("a"), F.col("n").alias("na"), F.explode(each).alias("hub")).select("gram", "a", "na", "hub.b", "hub.nb").filter("a <> b").filter(reach)
     star = star.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count_distinct("gram").alias("shared")).filter(f"shared >= {needed}")
-    # Of its hubs, each row is tried with the one that shares most columns and one more; other pairs wait for the product.
-    star = star.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("s"), F.min(F.struct(F.xxhash64("b"), "b")).alias("t"))
+    sized = lambda c: classes.select(F.col("key").alias(c), F.col("bits").alias(f"x{c}"))
+    star = star.join(sized("a"), "a").join(sized("b"), "b").filter(close).select("a", "b", F.expr(apart).alias("gap"))
+    # Of its hubs, each row is tried with the nearest and one more; other pairs wait for the product.
+    star = star.groupBy("a").agg(F.min(F.struct("gap", "b")).alias("s"), F.min(F.struct(F.xxhash64("b"), "b")).alias("t"))
     star = star.select("a", F.explode(F.array(F.col("s.b"), F.col("t.b"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sized = lambda c: classes.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}"))
-    star = scratch.save(star.join(sized("a"), "a").join(sized("b"), "b").filter(close).select("a", "b"), "star")
+    star = scratch.save(star, "star")
     links = _links(scratch, star, sets_of, num, den)
     label = components(spark, links, scratch)
 
@@ -232,7 +235,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     scratch = Scratch(spark)
     counts = spark.sparkContext.broadcast(gram_counts(docs, text_col, k, counters))
     rows = scratch.save(prefix_rows(docs, id_col, text_col, k, num, den, counts), "rows")
-    classes = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("marks"))
+    classes = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("marks"))
     classes = scratch.save(classes, "classes")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
