@@ -61,7 +61,7 @@ def fold_events(events: DataFrame) -> DataFrame:
     return log.withColumn("start", start).select(
         "conv_id",
         "turn",
-        F.expr("coalesce(element_at(filter(transform(log, x -> x.role), r -> r is not null), -1), '')").alias("role"),
+        F.expr("coalesce(try_element_at(filter(transform(log, x -> x.role), r -> r is not null), -1), '')").alias("role"),
         F.expr("array_join(transform(slice(log, start + 1, size(log)), x -> x.text), '')").alias("text"),
     )
 

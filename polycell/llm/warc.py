@@ -98,10 +98,10 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict, overwrite: bool):
+    def __init__(self, options: dict, overwrite: bool):  # option names come in lower case
         self.path, self.overwrite = options["path"].rstrip("/"), overwrite
-        self.file_bytes = int(options.get("fileBytes", FILE_BYTES))
-        self.split_bytes = int(options.get("splitBytes", SPLIT_BYTES))
+        self.file_bytes = int(options.get("filebytes", FILE_BYTES))
+        self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, root = _store(self.path)
@@ -232,7 +232,7 @@ def records(f, start: int, end: int, wanted, packed: bool):
                         state["feed"], state["used"] = more, state["used"] + len(more)
                     inflater.decompress(state["feed"], 1 << 16)
                     state["feed"] = inflater.unconsumed_tail
-                at += state["used"] - len(inflater.unused_data) - len(state["feed"])
+                at += state["used"] - len(inflater.unused_data if inflater.eof else state["feed"])
         else:
             text = first
             while b"\r\n\r\n" not in text and (more := f.read(65536)):

@@ -12,8 +12,12 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 
 
 def canon(df):
-    cols = sorted(df.columns)
-    return sorted(tuple(None if str(v) in ("nan", "<NA>", "None") else round(v, 6) if isinstance(v, float) else v for v in r) for r in df[cols].astype(object).itertuples(index=False, name=None)) if False else sorted(map(str, ([None if str(v) in ("nan", "<NA>", "None", "NaN") else (int(v) if isinstance(v, float) and v == int(v) else round(v, 6) if isinstance(v, float) else v) for v in r] for r in df[cols].astype(object).itertuples(index=False, name=None))))
+    def one(v):
+        if v is None or str(v) in ("nan", "<NA>", "NaN"):
+            return None
+        return (int(v) if v == int(v) else round(v, 6)) if isinstance(v, float) else v
+
+    return sorted(str([one(v) for v in r]) for r in df[sorted(df.columns)].astype(object).itertuples(index=False, name=None))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -139,9 +139,9 @@ def test_kernel_doesnt_depend_on_the_batch():
 def test_repeated_passages_and_lines_are_cut(spark):
     rng = random.Random(9)
     passage = words(rng, 70, 10**6)
-    line = " ".join(words(rng, 40, 10**6))
+    line = " ".join(words(rng, 60, 10**6))
     near = line.split()
-    near[20] = "changed"
+    near[30] = "changed"  # 51 of 61 shingles are shared
     own = [words(rng, 120, 10**6) for _ in range(6)]
     texts = [" ".join(own[0][:50] + passage + own[0][50:]), " ".join(own[1]), " ".join(own[2][:31] + passage + own[2][31:]), " ".join(own[3]) + "\n" + line, " ".join(own[4]) + "\n" + " ".join(near) + "\nlast words", "", None, "short line\nshort line"]
     df = frame(spark, texts, key=1, start=2)
