@@ -17,6 +17,8 @@ from polycell.llm.common import Scratch, bitmap, held_by, table
 SIMILARITY, SHINGLE = 80, 5
 #: A document's score from which it counts as toxic.
 TOXIC = 0.3
+#: Pieces that a worker of the last stage remembers; the other stages' workers and heaps are still there.
+REMEMBERED = 250_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +33,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     scratch = Scratch(spark)
     found = scratch.save(ngram_jaccard.ngram_jaccard_join(spark, docs, SHINGLE, SIMILARITY, 100).filter("n_shingles > 0"), "groups")
     rows = found.groupBy("component_id", "doc_id", "row_key").agg(F.count(F.lit(1)).alias("times"))
-    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("kept"))
-    rows = rows.join(kept, F.col("kept").isNotNull() & rows.component_id.eqNullSafe(kept.component_id)).select("row_key", "times", (F.col("row_key") == F.col("kept.row_key")).alias("stays"))
+    kept = found.groupBy(F.col("component_id").alias("group")).agg(F.min(F.struct("doc_id", "row_key")).alias("kept"))
+    rows = rows.join(kept, F.col("component_id").eqNullSafe(F.col("group"))).select("row_key", "times", (F.col("row_key") == F.col("kept.row_key")).alias("stays"))
     touched = scratch.save(rows.filter("not stays or times > 1"), "touched")
     # Only rows that go, or are there more than once, take part in a shuffle.
     key = F.xxhash64(F.col("doc_id").cast("long"), "text")
@@ -69,7 +71,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every whole text as BPE ids, and hashes of the ids and of what they decode to."""
     import public_tokenizers
 
-    return bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, remembered=REMEMBERED)
 
 
 STAGES = [
