@@ -94,17 +94,40 @@ class Integral:
     interfaces: DataFrame | None = None
     version: int = -1
     running: bool = False
+    source: Integral | None = None
 
-    def integrate(self, algorithm: str = "fast_polygon", rays: int = 1000) -> int:
-        """Runs the algorithm and returns the number of cells that were updated."""
+    def integrate(self, algorithm: str = "fast_polygon", rays: int = 1000, force_source_update: bool = False) -> int:
+        """Runs the algorithm and returns the number of cells that were updated.
+
+        With a source, ``heuristic`` takes volumes and areas from it. A source that
+        is older than the mesh is an error, or is updated first if that is asked for.
+        """
         if self.running:
             raise RuntimeError("an integral depends on itself")
         self.running = True
         try:
+            if self.source is not None and algorithm == "heuristic":
+                self.owner._built()
+                if self.source.version != self.owner.version:
+                    if not force_source_update:
+                        raise RuntimeError("the source of the heuristic is out of date")
+                    self.source.integrate()
+                return self._from_source()
             return self._run(algorithm, rays)
         finally:
             self.running = False
 
+    def _from_source(self) -> int:
+        if self.f is None:
+            raise ValueError("the heuristic needs an integrand, as an expression")
+        if self.version == self.owner.version:
+            return 0
+        m = self.owner
+        bounded = self.source.interfaces.filter(F.col("area") < float("inf"))
+        self.cells, self.interfaces = integrate.heuristic_mc(m.nodes, m.vertices, self.source.cells, bounded, m.dim, self.f, m.boundary)
+        self.cells, self.interfaces, self.version = self.cells.persist(), self.interfaces.persist(), m.version
+        return self.cells.count()
+
     def _run(self, algorithm: str, rays: int) -> int:
         m = self.owner
         m._built()

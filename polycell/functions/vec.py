@@ -71,7 +71,7 @@ def rounded(a, digits: int = 6) -> Column:
 
 def canonical_hemisphere(a) -> Column:
     """a or -a, so that the first component that isn't zero is positive."""
-    first = F.element_at(F.filter(_c(a), lambda x: x != 0), 1)
+    first = F.try_element_at(F.filter(_c(a), lambda x: x != 0), F.lit(1))
     return F.when(first < 0, F.transform(_c(a), lambda x: -x)).otherwise(_c(a))
 
 

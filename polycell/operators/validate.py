@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,32 @@ def wrong_vertices(nodes: DataFrame, vertices: DataFrame, max_variance: float =
     return v.union(pairs.select("sigma", F.when(vec.distance("position", "coords") < F.col("r") - tol, "nearer").otherwise("missing").alias("reason")).distinct())
 
 
+def wrong_cells(nodes: DataFrame, vertices: DataFrame, infinite_edges: DataFrame, dim: int, cells: DataFrame, boundary: Boundary | None = None, **kind) -> DataFrame:
+    """(cell, what) of the given cells (id): wrong vertices and edges that aren't closed."""
+    own = vertices.select("sigma", "position", F.explode("sigma").alias("id")).join(cells.select("id"), "id", "left_semi").select("sigma", "position").dropDuplicates(["sigma"])
+    wrong = wrong_vertices(nodes, own, boundary=boundary, **kind).select(F.explode("sigma").alias("id"), "reason").join(cells.select("id"), "id", "left_semi")
+    ends = open_edges(vertices, infinite_edges, dim, cells).select(F.col("cell").alias("id"), F.lit("edge").alias("reason"))
+    return wrong.union(ends).distinct().select(F.col("id").alias("cell"), F.col("reason").alias("what"))
+
+
+def flat_vertices(nodes: DataFrame, vertices: DataFrame, boundary: Boundary | None = None) -> DataFrame:
+    """(sigma, rank): vertices whose generators don't span the space; planes count by their normals."""
+    d = nodes.select(F.max(F.size("coords"))).first()[0]
+    rows = vertices.select("sigma", F.explode("sigma").alias("id"))
+    own = rows.filter("id >= 0").join(nodes.select("id", "coords"), "id").select("sigma", F.lit(False).alias("plane"), F.col("coords").alias("x"))
+    if boundary is not None and boundary.planes:
+        p = boundary.frame(nodes.sparkSession).select((-1 - F.col("plane")).cast("long").alias("id"), F.col("normal").alias("x"))
+        own = own.unionByName(rows.filter("id < 0").join(F.broadcast(p), "id").select("sigma", F.lit(True).alias("plane"), "x"))
+    first = own.filter("not plane").groupBy("sigma").agg(F.min("x").alias("o"))
+    span = own.join(first, "sigma").select("sigma", F.when(F.col("plane"), F.col("x")).otherwise(vec.sub("x", "o")).alias("v")).groupBy("sigma").agg(F.collect_list("v").alias("vs"))
+
+    @F.arrow_udf("int")
+    def rank(vs: pa.Array) -> pa.Array:
+        return pa.array([int(np.linalg.matrix_rank(np.array(v), tol=1e-9)) for v in vs.to_pylist()], pa.int32())
+
+    return span.select("sigma", rank("vs").alias("rank")).filter(F.col("rank") < d)
+
+
 def open_edges(vertices: DataFrame, infinite_edges: DataFrame, dim: int, cells: DataFrame | None = None) -> DataFrame:
     """(cell, edge, ends): edges of cells, in general position, that don't have two ends, of which an unbounded edge may be one.
 

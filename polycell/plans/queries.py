@@ -128,6 +128,20 @@ def source_cuboid_neighbours(spark, d):
     return tables.cuboid_neighbours(spark, [3, 3, 3])
 
 
+@query("""WITH c AS (SELECT i, i // 25 AS a, (i // 5) % 5 AS b, i % 5 AS c FROM range(125) t(i))
+SELECT i AS cell, CASE WHEN least(a, b, c) = 0 OR greatest(a, b, c) = 4 THEN 'inf' ELSE '3.0' END AS volume FROM c""")
+def source_cuboid_cells(spark, d):
+    m = tables.CuboidMesh(spark, [0.0] * 3, [1.0, 1.5, 2.0], [5, 5, 5])
+    return m.cells.select("cell", F.when(F.col("volume") == float("inf"), "inf").otherwise(F.col("volume").cast("string")).alias("volume"))
+
+
+@query("""WITH c AS (SELECT i, i // 5 AS a, i % 5 AS b FROM range(25) t(i))
+SELECT x.i AS cell, y.i AS neighbour, CASE WHEN x.a = y.a THEN CASE WHEN x.a IN (0, 4) THEN 'inf' ELSE '1.0' END ELSE CASE WHEN x.b IN (0, 4) THEN 'inf' ELSE '2.0' END END AS area FROM c x JOIN c y ON abs(x.a - y.a) + abs(x.b - y.b) = 1""")
+def source_cuboid_interfaces(spark, d):
+    m = tables.CuboidMesh(spark, [0.0] * 2, [1.0, 2.0], [5, 5])
+    return m.interfaces.select("cell", "neighbour", F.when(F.col("area") == float("inf"), "inf").otherwise(F.col("area").cast("string")).alias("area"))
+
+
 @query(f"WITH {_Q}, {_P} SELECT qid, plane, round(nx * 2 * (x - 0.5) + ny * 2 * (y - 0.5) - c, 6) AS value FROM q, p")
 def plane_values(spark, d):
     q = asks(spark, d).withColumn("point", F.transform("point", lambda x: 2 * (x - 0.5)))
@@ -471,6 +485,23 @@ def validate_vertices(spark, d):
     return _bounded(spark, d).wrong_vertices(max_variance=1e-18).select(_name(), "reason")
 
 
+@query("SELECT CAST(NULL AS BIGINT) AS cell, CAST(NULL AS VARCHAR) AS what WHERE false")
+def validate_cells(spark, d):
+    m = VoronoiMesh.from_df(sites(spark, d)).compute()
+    return validate.wrong_cells(m.nodes, m.vertices, m.infinite_edges, 2, m.nodes, max_variance=1e-18)
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS sigma, CAST(NULL AS INTEGER) AS rank WHERE false")
+def validate_ranks(spark, d):
+    return validate.flat_vertices(sites(spark, d), _bounded(spark, d).vertices, BOX).select(_name(), "rank")
+
+
+@query(SQL["voronoi_vertices"].replace("round(px, 6) AS x0, round(py, 6) AS x1 FROM v", "round(px, 5) AS x0, round(py, 5) AS x1 FROM v"))
+def voronoi_vertices_through_the_facade(spark, d):
+    m = VoronoiMesh.from_df(sites(spark, d)).set_boundary(BOX)
+    return m.vertices.select(_name(), *_xs("position", 2, 5))
+
+
 @query("SELECT CAST(NULL AS BIGINT) AS cell, CAST(NULL AS BIGINT) AS ends WHERE false")
 def validate_edges(spark, d):
     m = VoronoiMesh.from_df(sites(spark, d)).compute()

@@ -105,6 +105,57 @@ def cuboid_neighbours(spark: SparkSession, counts: list[int]) -> DataFrame:
     return rows.withColumn("occurrence", F.lit(0))
 
 
+def cuboid_cells(spark: SparkSession, spacing, counts: list[int]) -> DataFrame:
+    """(cell, volume) of the grid's inner cells, computed; cells at the rim have no volume of their own."""
+    size = prod(float(h) for h in spacing)
+    at = _place("id", counts)
+    rim = F.lit(False)
+    for k, c in zip(at, counts, strict=True):
+        rim = rim | (k == 0) | (k == c - 1)
+    return spark.range(prod(counts)).select(F.col("id").alias("cell"), F.when(rim, float("inf")).otherwise(size).alias("volume"))
+
+
+def cuboid_interfaces(spark: SparkSession, spacing, counts: list[int]) -> DataFrame:
+    """(cell, neighbour, area) of the grid, computed; inf where a facet reaches the rim."""
+    at, rows = _place("id", counts), []
+    for i, k in enumerate(at):
+        step = prod(counts[i + 1 :])
+        area = prod(float(h) for j, h in enumerate(spacing) if j != i)
+        rim = F.lit(False)
+        for j, c in enumerate(counts):
+            if j != i:
+                rim = rim | (at[j] == 0) | (at[j] == c - 1)
+        size = F.when(rim, float("inf")).otherwise(area)
+        rows += [F.struct(F.when(k > 0, F.col("id") - step).alias("neighbour"), size.alias("area")), F.struct(F.when(k < counts[i] - 1, F.col("id") + step).alias("neighbour"), size.alias("area"))]
+    return spark.range(prod(counts)).select(F.col("id").alias("cell"), F.explode(F.array(*rows)).alias("r")).select("cell", "r.neighbour", "r.area").filter("neighbour is not null")
+
+
+class CuboidMesh:
+    """The grid as a mesh that is read only: its tables are computed when they are asked for."""
+
+    def __init__(self, spark: SparkSession, start, spacing, counts: list[int]):
+        self.spark, self.start, self.spacing, self.counts = spark, start, spacing, counts
+
+    @property
+    def nodes(self) -> DataFrame:
+        return cuboid_nodes(self.spark, self.start, self.spacing, self.counts)
+
+    @property
+    def vertices(self) -> DataFrame:
+        return cuboid_vertices(self.spark, self.start, self.spacing, self.counts)
+
+    def neighbours(self) -> DataFrame:
+        return cuboid_neighbours(self.spark, self.counts)
+
+    @property
+    def cells(self) -> DataFrame:
+        return cuboid_cells(self.spark, self.spacing, self.counts)
+
+    @property
+    def interfaces(self) -> DataFrame:
+        return cuboid_interfaces(self.spark, self.spacing, self.counts)
+
+
 def without_erased(engine_rows: DataFrame, stored_rows: DataFrame, erased: DataFrame) -> DataFrame:
     """Vertices of an analytic engine and of a store in one table, less the engine's erased ones."""
     return engine_rows.join(erased.select("sigma"), "sigma", "left_anti").unionByName(stored_rows.select(*engine_rows.columns)).dropDuplicates(["sigma"])

@@ -361,3 +361,30 @@ def test_stored_and_engine_vertices(spark):
     assert {(r["neighbour"], r["area"]) for r in integrate.retargeted(old, now).collect()} == {(1, 2.5), (2, None)}
     r = spark.createDataFrame([(0, 1, [1], 2.0), (1, 0, [-1], 3.0)], "cell long, neighbour long, shift array<int>, area double")
     assert {(x["area"], x["other_area"]) for x in mesh.reciprocal(r).collect()} == {(2.0, 3.0), (3.0, 2.0)}
+
+
+def test_a_stale_source_is_an_error(spark):
+    df = points(spark, spread(20, 2, 0.05, 0.95, 0.05))
+    m = VoronoiMesh.from_df(df.filter("id < 15"), Boundary.cuboid([1.0, 1.0])).compute()
+    geometry = Integral(m)
+    geometry.integrate()
+    h = Integral(m, lambda x: F.array(1 + 2 * x[0]), integrate.Options(), source=geometry)
+    assert h.integrate("heuristic") == 15 and h.integrate("heuristic") == 0
+    exact = Integral(m, lambda x: 1 + 2 * x[:, :1], integrate.Options())
+    exact.integrate("heuristic")
+    a, b = (sorted((r["cell"], r["bulk"][0]) for r in i.cells.collect()) for i in (h, exact))
+    assert np.allclose(a, b)
+    m.refine(df.filter("id >= 15"))
+    with pytest.raises(RuntimeError, match="out of date"):
+        h.integrate("heuristic")
+    assert h.integrate("heuristic", force_source_update=True) == 20
+
+
+def test_wrong_cells_are_found(spark):
+    m = VoronoiMesh.from_df(points(spark, spread(15, 2, 0.05, 0.95, 0.05)), Boundary.cuboid([1.0, 1.0])).compute()
+    one = m.vertices.limit(1).persist()
+    moved = m.vertices.join(one.select("sigma"), "sigma", "left_anti").unionByName(one.withColumn("position", F.transform("position", lambda x: x + 0.01)))
+    assert not validate.wrong_cells(m.nodes, moved, m.infinite_edges, 2, m.nodes, m.boundary, max_variance=1e-16).isEmpty()
+    fewer = m.vertices.join(one.select("sigma"), "sigma", "left_anti")
+    assert not validate.open_edges(fewer, m.infinite_edges, 2).isEmpty()
+    assert validate.flat_vertices(m.nodes, m.vertices, m.boundary).isEmpty()
