@@ -28,24 +28,28 @@ from .common import table
 
 LONG_BYTES = 256
 #: Pieces that a worker remembers, and texts' characters that it handles at once.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_600_000
 BATCH_CHARS = 1 << 20
 
+#: Rows are (place, id): word and position in one number, word * 1024 + position, so that one sorted column orders them.
 _STEP = """
-WITH RECURSIVE t(w, pos, id, step) AS (
-  SELECT w, pos, id, 0 FROM start
+WITH RECURSIVE t(place, id, step) AS (
+  SELECT place, id, 0 FROM start
   UNION ALL
   (WITH p AS MATERIALIZED (
-    SELECT w, pos, id, step, (id::BIGINT << 20) | lead(id) OVER o AS pair, lag(pos) OVER o AS before
-    FROM t WINDOW o AS (PARTITION BY w ORDER BY pos)
+    SELECT place, id, step, lag(place) OVER o AS before,
+      (id::BIGINT << 20) | CASE WHEN lead(place) OVER o >> 10 = place >> 10 THEN lead(id) OVER o END AS pair
+    FROM t WINDOW o AS (ORDER BY place)
   ), b AS (
-    SELECT p.w, min((m.id::BIGINT << 10) | p.pos) AS best FROM p JOIN merges m ON m.pair = p.pair GROUP BY p.w
+    SELECT place >> 10 AS w, min((m.id::BIGINT << 10) | (place & 1023)) AS best FROM p JOIN merges m ON m.pair = p.pair GROUP BY 1
   )
-  SELECT p.w, p.pos, CASE WHEN p.pos = best & 1023 THEN (best >> 10)::INTEGER ELSE p.id END, step + 1
-  FROM p JOIN b ON p.w = b.w
-  WHERE before IS NULL OR before <> best & 1023)
+  SELECT place, CASE WHEN place & 1023 = best & 1023 THEN (best >> 10)::INTEGER ELSE id END, step + 1
+  FROM p JOIN b ON place >> 10 = w
+  WHERE before IS NULL OR before <> (w << 10 | (best & 1023)))
 )
-SELECT w, id FROM (SELECT *, max(step) OVER (PARTITION BY w) AS last FROM t) WHERE step = last ORDER BY w, pos
+SELECT place >> 10 AS w, id
+FROM t JOIN (SELECT place >> 10 AS w, max(step) AS last FROM t GROUP BY 1) l ON place >> 10 = l.w AND step = last
+ORDER BY place
 """
 
 _DECODE = "SELECT doc, string_agg(piece, '' ORDER BY pos) AS text FROM ids JOIN vocabulary USING (id) GROUP BY doc"
@@ -54,7 +58,7 @@ _DECODE = "SELECT doc, string_agg(piece, '' ORDER BY pos) AS text FROM ids JOIN
 class Encoder:
     """Encodes and decodes with the ranks of a tiktoken file, as one worker needs it."""
 
-    def __init__(self, path: str, pattern: str, long_bytes: int = LONG_BYTES):
+    def __init__(self, path: str, pattern: str, long_bytes: int = LONG_BYTES, remembered: int = REMEMBERED):
         import duckdb
         import regex
 
@@ -62,6 +66,7 @@ class Encoder:
             raise ValueError("long_bytes must be from 1 to 1024")
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, map(bytes.strip, f)))}
+        self.remembered = remembered
         self.find, self.long_bytes = regex.compile(pattern).findall, long_bytes
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
@@ -95,27 +100,24 @@ class Encoder:
         self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
     def learn(self, pieces: set[str]) -> None:
-        whole, recursive = [], []
-        for p in pieces:
-            b = p.encode("utf-8", "replace")
-            if b in self.ranks:
-                whole.append((p, [self.ranks[b]]))
-            elif len(b) > self.long_bytes:
-                whole.append((p, self._heap(b)))
-            else:
-                recursive.append((p, b))
-        if whole:
-            self._remember([p for p, _ in whole], np.array([len(i) for _, i in whole]), np.concatenate([np.array(i, np.int32) for _, i in whole]))
-        for at in range(0, len(recursive), 20_000):
-            part = recursive[at : at + 20_000]
-            data = np.frombuffer(b"".join(b for _, b in part), np.uint8)
-            sizes = np.array([len(b) for _, b in part])
-            word = np.repeat(np.arange(len(part)), sizes)
-            pos = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            self.db.register("start", pa.table({"w": word.astype(np.int32), "pos": pos.astype(np.int32), "id": self.byte_ids[data]}))
+        names = list(pieces)
+        raw = [p.encode("utf-8", "replace") for p in names]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        whole = np.fromiter((-1 if (r := self.ranks.get(b)) is None else r for b in raw), np.int64, len(raw))
+        at = np.flatnonzero(whole >= 0)
+        self._remember([names[i] for i in at], np.ones(len(at), np.int64), whole[at])
+        for i in np.flatnonzero((whole < 0) & (sizes > self.long_bytes)):
+            ids = self._heap(raw[i])
+            self._remember([names[i]], np.array([len(ids)]), np.array(ids, np.int32))
+        rest = np.flatnonzero((whole < 0) & (sizes <= self.long_bytes))
+        for s in range(0, len(rest), 20_000):
+            part = rest[s : s + 20_000]
+            data, size = np.frombuffer(b"".join([raw[i] for i in part]), np.uint8), sizes[part]
+            at = np.arange(len(data)) + np.repeat((np.arange(len(part)) << 10) - (np.cumsum(size) - size), size)
+            self.db.register("start", pa.table({"place": at, "id": self.byte_ids[data]}))
             got = self.db.execute(_STEP).fetchnumpy()
             self.db.unregister("start")
-            self._remember([p for p, _ in part], np.bincount(np.asarray(got["w"]), minlength=len(part)), np.asarray(got["id"]).astype(np.int32))
+            self._remember([names[i] for i in part], np.bincount(np.asarray(got["w"]), minlength=len(part)), np.asarray(got["id"]).astype(np.int32))
 
     def _heap(self, b: bytes) -> list[int]:
         """The same contraction for one long piece: a heap of pairs by rank and place."""
@@ -148,7 +150,7 @@ class Encoder:
         per_text = np.array([len(f) for f in found])
         pieces = list(chain.from_iterable(found))
         new = set(pieces).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) + len(new) > self.remembered:
             self._forget()
             new = set(pieces)
         if new:
@@ -177,12 +179,13 @@ class Encoder:
 _ENCODERS: dict = {}
 
 
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, remembered: int = REMEMBERED) -> Encoder:
     """The worker's encoder, built once."""
-    if (path, pattern) not in _ENCODERS:
+    key = path, pattern, remembered
+    if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path, pattern] = Encoder(path, pattern)
-    return _ENCODERS[path, pattern]
+        _ENCODERS[key] = Encoder(path, pattern, remembered=remembered)
+    return _ENCODERS[key]
 
 
 def _slices(texts: list[str], limit: int):
@@ -196,34 +199,37 @@ def _slices(texts: list[str], limit: int):
         yield a, len(texts)
 
 
-def _with_texts(df: DataFrame, text_col: str, schema: str, path: str, pattern: str, fn) -> DataFrame:
+def _with_texts(df: DataFrame, text_col: str, schema: str, path: str, pattern: str, remembered: int, fn) -> DataFrame:
     """Runs fn(encoder, texts) -> columns over the texts of ``df``; other columns pass through."""
+    df = df.drop(*[x.split()[0] for x in schema.split(", ") if x.split()[0] != text_col])  # ours take their place
     names = [c for c in df.columns if c != text_col]
     place = df.columns.index(text_col)
 
     def rows(batches):
-        enc = encoder(path, pattern)
+        enc = encoder(path, pattern, remembered)
         for b in batches:
             texts = [t or "" for t in b.column(place).to_pylist()]
             rest = b.drop_columns([b.schema.names[place]])
             for a, z in _slices(texts, BATCH_CHARS):
                 yield pa.RecordBatch.from_arrays([*rest.slice(a, z - a).columns, *fn(enc, texts[a:z])], [*names, *[x.split()[0] for x in schema.split(", ")]])
+        if remembered < REMEMBERED:
+            enc._forget()  # the worker's memory is wanted elsewhere
 
     kept = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c != text_col)
     return df.mapInArrow(rows, f"{kept}, {schema}" if kept else schema)
 
 
-def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", remembered: int = REMEMBERED) -> DataFrame:
     """Puts the ids of every whole text, an array of int, in the place of the text; a null text has none."""
 
     def fn(enc, texts):
         ids, counts = enc.encode(texts)
         return [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))]
 
-    return _with_texts(df, text_col, f"{ids_col} array<int>", path, pattern, fn)
+    return _with_texts(df, text_col, f"{ids_col} array<int>", path, pattern, remembered, fn)
 
 
-def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """Encodes every whole text and decodes its ids: n_tokens, ids_sha256, decoded_sha256 in the place of the text.
 
     ids_sha256 is over the ids as little-endian unsigned 32-bit integers,
@@ -238,7 +244,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text") -
         back = [hashlib.sha256(b).hexdigest() for b in enc.decode(ids, counts)]
         return [pa.array(counts, pa.int64()), pa.array(hashed), pa.array(back)]
 
-    return _with_texts(df, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", path, pattern, fn)
+    return _with_texts(df, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", path, pattern, remembered, fn)
 
 
 def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows and bytes of texts that go to a Python worker at once, where the session doesn't say otherwise.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a worker holds of texts of any length; settings that the session has are left as they are."""
+    for name, usual, ours in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", None, BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name, usual) in (usual, "9223372036854775807", "67108864"):
+            spark.conf.set(name, str(ours))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +48,7 @@ class Scratch:
     """Tables written in the shared folder, which cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/polycell-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:

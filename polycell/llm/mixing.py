@@ -103,11 +103,11 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     return docs.mapInArrow(rows, ", ".join([*kinds, "tokens long, p array<double>"]))
 
 
-def _rate(gradients: list[np.ndarray], least: float, most: float):
+def _rate(gradients: list[np.ndarray], least: float, most: float, p: str = "p"):
     """A document's rate after projected steps, replayed from the gradients so far."""
     rate = F.lit(1.0)
     steps = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in gradients]).cast("array<array<double>>")
-    move = lambda g: F.aggregate(F.zip_with("p", g, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
+    move = lambda g: F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
     return F.aggregate(steps, rate, lambda r, g: F.least(F.greatest(r - move(g), F.lit(float(least))), F.lit(float(most))))
 
 
@@ -176,8 +176,8 @@ def repeated(docs: DataFrame, model: Classifier, gradients: list[np.ndarray], le
 
     names = docs.columns
     chance = F.pmod(F.xxhash64("doc_id", "text", F.lit("mix")), F.lit(1 << 20)) / float(1 << 20)
-    rows = docs.withColumn("p", member("text")).withColumn("p", F.col("p.p"))
-    rows = rows.withColumn("__n", F.floor(_rate(gradients, least, most) + 1 - chance - 2.0**-21).cast("int"))
+    rows = docs.withColumn("__m", member("text")).withColumn("__p", F.col("__m.p"))
+    rows = rows.withColumn("__n", F.floor(_rate(gradients, least, most, "__p") + 1 - chance - 2.0**-21).cast("int"))
     return rows.select(*names, F.explode(F.array_repeat(F.lit(0), F.col("__n"))).alias("__c")).drop("__c")
 
 

@@ -184,19 +184,23 @@ def fit(docs: DataFrame, labels: DataFrame, allowed=None) -> Model:
     return train(*labelled_sample(docs, labels, F.lit(True) if allowed is None else allowed))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """Adds score (0 to 1) and predicted (1 if score >= threshold) to rows with a text; null texts are scored as empty ones."""
-    place, names = docs.columns.index("text"), docs.columns
+def score(docs: DataFrame, model: Model, threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Adds a score (0 to 1) and a prediction (1 if score >= threshold) to rows with a text, in the place of columns of these names.
+
+    Null texts are scored as empty ones; repeated rows get a score each.
+    """
+    docs = docs.drop(*names)
+    place, held = docs.columns.index("text"), [*docs.columns, *names]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
 
     def rows(batches):
         for b in batches:
             texts = [(t or "").encode("utf-8", "replace") for t in b.column(place).to_pylist()]
             found = shared.value.scores(texts) if texts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64()), pa.array((found >= threshold).astype(np.int32))], [*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64()), pa.array((found >= threshold).astype(np.int32))], held)
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(rows, f"{kinds}, score double, predicted int")
+    return docs.mapInArrow(rows, f"{kinds}, `{names[0]}` double, `{names[1]}` int")
 
 
 def in_fold(column: str = "doc_id"):

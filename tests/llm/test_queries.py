@@ -46,3 +46,29 @@ def test_pipeline(spark):
             assert now.columns == docs.columns
     assert seen[1] < seen[0] and seen[2] < seen[1] and seen[4] >= seen[3] and seen[5] == seen[4]
     assert now.filter("n_tokens is null").count() == 0
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, score string, p int, n_tokens int, __x long"
+
+
+@pytest.mark.parametrize("rows", [0, 1])
+def test_stages_on_odd_and_empty_tables(spark, tmp_path, rows):
+    import corpus_pipeline as p
+
+    line = " ".join(f"w{i}" for i in range(70))
+    odd = [(1, line, "en", "s", len(line), "a", 1, 2, 3), (1, line, "en", "s", len(line), "a", 1, 2, 3), (2, line + " x", None, None, None, None, None, None, None), (3, None, "en", "s", 0, "b", 1, 1, 1), (4, "", "en", "s", 0, "b", 1, 1, 1), (None, "only one line", "de", "s", 13, "b", 1, 1, 1), (5, "z" * 70_000, "fr", "s", 70_000, "b", 1, 1, 1), (6, "other words " * 9000, "fr", "s", 1, "b", 1, 1, 1), (4, "", "en", "s", 0, "b", 1, 1, 1)] * rows
+    spark.createDataFrame(odd, ODD).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (2, None, None)] * rows, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    names = now.columns
+    for k, (name, stage) in enumerate(p.STAGES):
+        now = stage(spark, now, str(tmp_path))
+        at = str(tmp_path / f"out{k}")
+        now.write.parquet(at)
+        now = spark.read.parquet(at)
+        if k < 4:
+            assert now.columns == names
+        if k == 1 and rows:
+            assert sorted(str(r["doc_id"]) for r in now.collect()) == ["1", "3", "4", "4", "5", "6", "None"]
+    got = {r["doc_id"] for r in now.collect()}
+    assert got == ({1, 3, 4, 5, 6, None} if rows else set())
