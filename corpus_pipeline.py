@@ -17,6 +17,8 @@ from polycell.llm.common import Scratch, bitmap, held_by, table
 SIMILARITY, SHINGLE = 80, 5
 #: A document's score from which it counts as toxic.
 TOXIC = 0.3
+#: Rates of the mixing stage: no document is lost, none is repeated more often.
+LEAST, MOST = 1.0, 8.0
 #: Pieces that a worker of the last stage remembers; the other stages' workers and heaps are still there.
 REMEMBERED = 250_000
 
@@ -25,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that compression distance takes for toxic go; learned from labelled rows outside the held-out fold."""
     labels = table(spark, sf_dir, "labels")
     model = toxicity.fit(table(spark, sf_dir, "documents").select("doc_id", "text"), labels, ~toxicity.in_fold())
-    return toxicity.score(docs, model, TOXIC).filter("predicted = 0").select(*docs.columns)
+    return toxicity.score(docs, model, TOXIC, ("__score", "__toxic")).filter("__toxic = 0").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +65,8 @@ def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     labelled = source.join(labels, "doc_id").select("doc_id", F.col("lang").alias("domain"))
     model = mixing.train(*mixing.labelled_sample(source, labelled, sorted(mixing.TARGETS)), sorted(mixing.TARGETS))
     place = Scratch(spark).save(mixing.memberships(docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text"), model), "memberships")
-    gradients, _ = mixing.fit_rates(place, [mixing.TARGETS[d] for d in sorted(mixing.TARGETS)], least=1.0)
-    return mixing.repeated(docs, model, gradients, least=1.0)
+    gradients, _ = mixing.fit_rates(place, [mixing.TARGETS[d] for d in sorted(mixing.TARGETS)], least=LEAST, most=MOST)
+    return mixing.repeated(docs, model, gradients, LEAST, MOST)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
