@@ -12,7 +12,7 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 
 
 def cases(spark):
-    """Name to function; construct_* and integrate_* are the reference's own benchmark shapes (uniform points in the unit cube, five dimensions)."""
+    """Name to function; construct_* and integrate_*: uniform points in the unit cube, five dimensions."""
     from polycell.api import Integral, VoronoiMesh
     from polycell.operators import construct
     from polycell.plans.boundary import Boundary

@@ -168,7 +168,11 @@ def infinite_edges(rows: DataFrame) -> DataFrame:
     return rows.filter("kind = 'edge'").select("sigma", F.col("position").alias("origin"), "direction")
 
 
-def splitmix_points(n: int, d: int, seed: int = 0x485642454E434835) -> np.ndarray:
+#: Fixed value: the seed of the benchmark's points.
+BENCH_SEED = 0x485642454E434835
+
+
+def splitmix_points(n: int, d: int, seed: int = BENCH_SEED) -> np.ndarray:
     """Points in the unit cube from the SplitMix64 generator."""
     k = np.arange(1, n * d + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):

@@ -141,10 +141,6 @@ def _exact(cell: int, x: np.ndarray, sigmas: list, points: np.ndarray, f, determ
     return rows
 
 
-def _no_function(x):
-    raise AssertionError
-
-
 def exact(nodes: DataFrame, vertices: DataFrame, f: Callable | None = None, method: str = "fast_polygon", cells: DataFrame | None = None) -> DataFrame:
     """(cell, neighbour, measure, integral): areas of interfaces, and volumes where neighbour is null."""
     if method not in ("fast_polygon", "polygon", "heuristic"):
@@ -210,7 +206,6 @@ def monte_carlo(nodes: DataFrame, neighbours: DataFrame, boundary: Boundary | No
     if f is None:
         return cells.withColumn("bulk", F.lit(None).cast("array<double>")), hits.groupBy("cell", "neighbour").agg(F.sum(weight).alias("area")).withColumn("integral", F.lit(None).cast("array<double>"))
     at = hits.join(nodes.select(F.col("id").alias("cell"), F.col("coords").alias("x")), "cell").join(F.broadcast(rays), "ray")
-    sums = lambda name: F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: i)  # noqa: E731, F841
     face = at.select("cell", "neighbour", weight.alias("w"), F.posexplode(f(vec.axpy("x", "t", "u"))).alias("k", "v"))
     integral = face.groupBy("cell", "neighbour", "k").agg(F.sum(F.col("w") * F.col("v")).alias("s")).groupBy("cell", "neighbour").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]).alias("integral"))
     area = hits.groupBy("cell", "neighbour").agg(F.sum(weight).alias("area"))
