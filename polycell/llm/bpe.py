@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .textkernel import trim
 
 LONG_BYTES = 256
 #: Pieces that a worker remembers, and texts' characters that it handles at once.
@@ -72,8 +73,9 @@ class Encoder:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         if len(self.ranks) >= 1 << 20:
             raise ValueError("a vocabulary may have 2**20 tokens at most")
-        merges = [(self.ranks[t[:i]] << 20 | self.ranks[t[i:]], n) for t, n in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        self._create("merges", pa.table({"pair": pa.array([p for p, _ in merges], pa.int64()), "id": pa.array([n for _, n in merges], pa.int32())}))
+        parts = ((l << 20 | r, n) for t, n in self.ranks.items() for i in range(1, len(t)) if (l := self.ranks.get(t[:i])) is not None and (r := self.ranks.get(t[i:])) is not None)
+        merges = np.fromiter(chain.from_iterable(parts), np.int64).reshape(-1, 2)
+        self._create("merges", pa.table({"pair": pa.array(merges[:, 0]), "id": pa.array(merges[:, 1].astype(np.int32))}))
         self._create("vocabulary", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": pa.array([t.decode("latin-1") for t in self.ranks])}))
         self._forget()
 
@@ -214,6 +216,7 @@ def _with_texts(df: DataFrame, text_col: str, schema: str, path: str, pattern: s
                 yield pa.RecordBatch.from_arrays([*rest.slice(a, z - a).columns, *fn(enc, texts[a:z])], [*names, *[x.split()[0] for x in schema.split(", ")]])
         if remembered < REMEMBERED:
             enc._forget()  # the worker's memory is wanted elsewhere
+            trim()
 
     kept = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c != text_col)
     return df.mapInArrow(rows, f"{kept}, {schema}" if kept else schema)
