@@ -215,7 +215,10 @@ def _with_texts(df: DataFrame, text_col: str, schema: str, path: str, pattern: s
             for a, z in _slices(texts, BATCH_CHARS):
                 yield pa.RecordBatch.from_arrays([*rest.slice(a, z - a).columns, *fn(enc, texts[a:z])], [*names, *[x.split()[0] for x in schema.split(", ")]])
         if remembered < REMEMBERED:
-            enc._forget()  # the worker's memory is wanted elsewhere
+            # The worker's memory is wanted elsewhere.
+            enc.db.close()
+            _ENCODERS.clear()
+            del enc
             trim()
 
     kept = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c != text_col)

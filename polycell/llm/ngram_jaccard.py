@@ -233,7 +233,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     are ignored, whatever their names.
     """
     scratch = Scratch(spark)
-    counts = spark.sparkContext.broadcast(gram_counts(docs, text_col, k, counters))
+    counts = np.minimum(gram_counts(docs, text_col, k, counters), np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    counts = spark.sparkContext.broadcast(counts)
     rows = scratch.save(prefix_rows(docs, id_col, text_col, k, num, den, counts), "rows")
     classes = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("marks"))
     classes = scratch.save(classes, "classes")

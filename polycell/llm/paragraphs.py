@@ -217,7 +217,12 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, num: int = 80, den: int
     runs = pieces.join(common, "key").filter(~place.eqNullSafe(F.col("kept")))
 
     found = again.drop("kept").unionByName(runs.drop("kept")).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("line", "start", "end", "w0", "w1")).alias("found"))
-    merge = F.udf(merge_spans, "array<struct<start: int, end: int, words: int>>")
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]))
+
+    @F.arrow_udf("array<struct<start: int, end: int, words: int>>")
+    def merge(rows: pa.Array) -> pa.Array:
+        return pa.array([[{"start": a, "end": z, "words": n} for a, z, n in merge_spans(r)] for r in rows.to_pylist()], kind)
+
     return scratch.save(found.select("doc_id", "row_key", merge("found").alias("spans")).filter("size(spans) > 0"), "spans")
 
 

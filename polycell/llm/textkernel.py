@@ -7,6 +7,8 @@ shingles collide with probability 2**-64 each, which is the only inexactness.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -17,7 +19,7 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 _POWERS = np.cumprod(np.full(1 << 12, _ODD, dtype=np.uint64))
 
 #: Bytes of text that a kernel call handles at once; a longer text stands alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 256 << 10
 
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -61,6 +63,14 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]] if len(offsets) else data, offsets - offsets[0]
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can: workers stay, idle, beside those of other stages."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def chunks(column: pa.ChunkedArray | pa.Array, limit: int = CHUNK_BYTES):
     """(first row, bytes, offsets) of runs of rows with about ``limit`` bytes of text."""
     row = 0
@@ -72,6 +82,7 @@ def chunks(column: pa.ChunkedArray | pa.Array, limit: int = CHUNK_BYTES):
             yield row + a, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             a = b
         row += len(part)
+    trim()
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, table
+from .textkernel import trim
 
 SAMPLE, SAMPLE_CHARS = 3000, 30_000
 WINDOW, STEP = 48, 32
@@ -198,6 +199,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, names: tuple[st
             texts = [(t or "").encode("utf-8", "replace") for t in b.column(place).to_pylist()]
             found = shared.value.scores(texts) if texts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64()), pa.array((found >= threshold).astype(np.int32))], held)
+        trim()
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
     return docs.mapInArrow(rows, f"{kinds}, `{names[0]}` double, `{names[1]}` int")
