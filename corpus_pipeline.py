@@ -20,7 +20,7 @@ TOXIC = 0.3
 #: Rates of the mixing stage: no document is lost, none is repeated more often.
 LEAST, MOST = 1.0, 8.0
 #: Pieces that a worker of the last stage remembers; the other stages' workers and heaps are still there.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
