@@ -190,6 +190,14 @@ def encoder(path: str, pattern: str, remembered: int = REMEMBERED) -> Encoder:
     return _ENCODERS[key]
 
 
+def release() -> None:
+    """Drops the worker's encoder."""
+    for enc in _ENCODERS.values():
+        enc.db.close()
+    _ENCODERS.clear()
+    trim()
+
+
 def _slices(texts: list[str], limit: int):
     a, size = 0, 0
     for i, t in enumerate(texts):
@@ -215,11 +223,8 @@ def _with_texts(df: DataFrame, text_col: str, schema: str, path: str, pattern: s
             for a, z in _slices(texts, BATCH_CHARS):
                 yield pa.RecordBatch.from_arrays([*rest.slice(a, z - a).columns, *fn(enc, texts[a:z])], [*names, *[x.split()[0] for x in schema.split(", ")]])
         if remembered < REMEMBERED:
-            # The worker's memory is wanted elsewhere.
-            enc.db.close()
-            _ENCODERS.clear()
             del enc
-            trim()
+            release()  # the worker's memory is wanted elsewhere
 
     kept = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c != text_col)
     return df.mapInArrow(rows, f"{kept}, {schema}" if kept else schema)
