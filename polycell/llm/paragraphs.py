@@ -2,8 +2,8 @@
 
 Paragraphs are of two kinds, both from whole texts:
 
-* lines of at least ``MIN_WORDS`` words. MinHash bands over their 5-word shingles
-  bring lines together, exact Jaccard similarity on whole sets decides, and
+* lines of at least ``SHINGLE`` words. Lines with equal sets of 5-word shingles are
+  one class, MinHash bands over the sets bring classes together, exact Jaccard similarity on whole sets decides, and
   clusters are the components of the links. Of a cluster, the first line stays.
 * content-defined paragraphs, for passages that stand within other text. They
   begin where a 5-word shingle's hash is the least of its neighbourhood, so that
@@ -26,6 +26,7 @@ from .common import Scratch, bitmap, held_by, in_bitmap, table
 from .ngram_jaccard import BITS, _key, bitmap_of, link_classes
 from .textkernel import chunks, mix, word_hashes, word_spans
 
+#: Words of a shingle, and of the shortest line; words of the shortest run of repeated passages inside lines.
 SHINGLE, MIN_WORDS = 5, 20
 BANDS, BAND_ROWS = 5, 3
 #: Half the neighbourhood, in words, in which a content-defined paragraph's first shingle is the least.
@@ -50,14 +51,14 @@ class Chunk:
             self.shingles = mix(s)
 
     def lines(self):
-        """(row, first word, end word) of lines with MIN_WORDS words at least."""
+        """(row, first word, end word) of lines with SHINGLE words at least."""
         if not len(self.words):
             return np.zeros((0, 3), np.int64)
         row = np.searchsorted(self.first, np.arange(len(self.words)), side="right") - 1
         line = np.searchsorted(np.flatnonzero(self.data == 10), self.starts)
         cut = np.flatnonzero((np.diff(row) != 0) | (np.diff(line) != 0)) + 1
         a, b = np.concatenate([[0], cut]), np.concatenate([cut, [len(self.words)]])
-        keep = b - a >= MIN_WORDS
+        keep = b - a >= SHINGLE
         return np.stack([row[a[keep]], a[keep], b[keep]], axis=1)
 
     def bands(self, lines: np.ndarray) -> np.ndarray:

@@ -182,6 +182,21 @@ def test_line_clusters_equal_brute_force(spark):
     assert found >= {i for i, c in enumerate(comp) if c != i}
 
 
+def test_short_lines_that_stand_alone_are_cut(spark):
+    rng = random.Random(12)
+    short = {n: " ".join(words(rng, n, 10**6)) for n in (4, 5, 6, 12, 19)}
+    near = short[19].split() + ["more"]  # 15 of 16 shingles are shared
+    own = [" ".join(words(rng, 40, 10**6)) for _ in range(12)]
+    texts = ["\n".join([own[2 * i], short[n], own[2 * i + 1]]) for i, n in enumerate(short)]
+    again = ["\n".join([x, short[n], y]) for n, x, y in zip(short, [" ".join(words(rng, 40, 10**6)) for _ in short], [" ".join(words(rng, 40, 10**6)) for _ in short], strict=True)]
+    docs = [*texts, *again, "\n".join([own[10], " ".join(near), own[11]])]
+    got = {r["doc_id"]: r["text"] for r in paragraphs.without_repeats(spark, frame(spark, docs)).collect()}
+    assert [got[i] for i in range(6)] == [*texts, again[0]]
+    for i in range(6, 11):
+        first, _, last = docs[i].split("\n")
+        assert got[i] == f"{first}\n{last}"
+
+
 def test_merge_spans():
     row = lambda line, a, z, w0, w1: {"line": line, "start": a, "end": z, "w0": w0, "w1": w1}
     assert paragraphs.merge_spans([row(False, 0, 50, 0, 10), row(False, 40, 110, 8, 22)]) == [(0, 110, 22)]
