@@ -34,9 +34,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of linked documents the one with the smallest (doc_id, hash of the row) stays, once if repeated."""
     scratch = Scratch(spark)
     found = scratch.save(ngram_jaccard.ngram_jaccard_join(spark, docs, SHINGLE, SIMILARITY, 100).filter("n_shingles > 0"), "groups")
-    rows = found.groupBy("component_id", "doc_id", "row_key").agg(F.count(F.lit(1)).alias("times"))
-    kept = found.groupBy(F.col("component_id").alias("group")).agg(F.min(F.struct("doc_id", "row_key")).alias("kept"))
-    rows = rows.join(kept, F.col("component_id").eqNullSafe(F.col("group"))).select("row_key", "times", (F.col("row_key") == F.col("kept.row_key")).alias("stays"))
+    rows = found.groupBy("part", "doc_id", "row_key").agg(F.count(F.lit(1)).alias("times"))
+    kept = found.groupBy("part").agg(F.min(F.struct("doc_id", "row_key")).alias("kept"))
+    rows = rows.join(kept, "part").select("row_key", "times", (F.col("row_key") == F.col("kept.row_key")).alias("stays"))
     touched = scratch.save(rows.filter("not stays or times > 1"), "touched")
     # Only rows that go, or are there more than once, take part in a shuffle.
     key = F.xxhash64(F.col("doc_id").cast("long"), "text")

@@ -223,8 +223,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     """Links documents whose sets of k-word shingles have Jaccard similarity >= num / den.
 
     Returns a row per row of ``docs``: doc_id, row_key (xxhash64 of id and text),
-    n_shingles, class_id (smallest doc_id with the same set) and component_id
-    (smallest doc_id reachable by links). Words are runs of anything but ASCII white space, A-Z lower-cased. A
+    n_shingles, class_id (smallest doc_id with the same set), component_id
+    (smallest doc_id reachable by links) and part (the component's own key, which
+    no two components share, whatever their ids; null without shingles). Words are runs of anything but ASCII white space, A-Z lower-cased. A
     text with fewer than k words has the whole sequence as its one shingle. A
     null or empty text, or one without words, has no shingle and is linked with
     nothing: its class and component are its own doc_id. A row whose doc_id is
@@ -249,13 +250,13 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     label = link_classes(spark, scratch, classes, sets_of, num, den, ordered=True)
     named = classes.join(label.select(F.col("node").alias("key"), "component"), "key", "left").select("key", "class_id", F.coalesce("component", "key").alias("part"))
     least = named.groupBy("part").agg(F.min("class_id").alias("component_id"))
-    named = scratch.save(named.join(least, "part").select("key", "class_id", "component_id"), "named")
-    full = rows.filter("n > 0").select("doc_id", "row_key", "n", "key").join(named, "key").select("doc_id", "row_key", F.col("n").cast("long").alias("n_shingles"), "class_id", "component_id")
-    return full.union(rows.filter("n = 0").select("doc_id", "row_key", F.lit(0).cast("long"), "doc_id", "doc_id"))
+    named = scratch.save(named.join(least, "part").select("key", "class_id", "component_id", "part"), "named")
+    full = rows.filter("n > 0").select("doc_id", "row_key", "n", "key").join(named, "key").select("doc_id", "row_key", F.col("n").cast("long").alias("n_shingles"), "class_id", "component_id", "part")
+    return full.union(rows.filter("n = 0").select("doc_id", "row_key", F.lit(0).cast("long"), "doc_id", "doc_id", F.lit(None).cast("long")))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(spark, table(spark, sf_dir, "documents"), k=3, num=90, den=100).drop("row_key")
+    return ngram_jaccard_join(spark, table(spark, sf_dir, "documents"), k=3, num=90, den=100).drop("row_key", "part")
 
 
 QUERIES = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}

@@ -72,3 +72,12 @@ def test_stages_on_odd_and_empty_tables(spark, tmp_path, rows):
             assert sorted(str(r["doc_id"]) for r in now.collect()) == ["1", "3", "4", "4", "5", "6", "None"]
     got = {r["doc_id"] for r in now.collect()}
     assert got == ({1, 3, 4, 5, 6, None} if rows else set())
+
+
+def test_unrelated_documents_without_or_with_one_id_stay(spark):
+    import corpus_pipeline as p
+
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcde"]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (None, texts[4])]
+    left = p.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(r["text"] for r in left) == sorted(texts)
