@@ -7,6 +7,8 @@ the columns of documents.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ from polycell.llm.common import Scratch, bitmap, held_by, table
 SIMILARITY, SHINGLE = 80, 5
 #: A document's score from which it counts as toxic.
 TOXIC = 0.3
-#: Rates of the mixing stage: no document is lost, none is repeated more often.
-LEAST, MOST = 1.0, 8.0
+#: Least rate of the mixing stage: no document is lost.
+LEAST = 1.0
 #: Pieces that a worker of the last stage remembers; the other stages' workers and heaps are still there.
 REMEMBERED = 120_000
 
@@ -65,8 +67,10 @@ def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     labelled = source.join(labels, "doc_id").select("doc_id", F.col("lang").alias("domain"))
     model = mixing.train(*mixing.labelled_sample(source, labelled, sorted(mixing.TARGETS)), sorted(mixing.TARGETS))
     place = Scratch(spark).save(mixing.memberships(docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text"), model), "memberships")
-    gradients, _ = mixing.fit_rates(place, [mixing.TARGETS[d] for d in sorted(mixing.TARGETS)], least=LEAST, most=MOST)
-    return mixing.repeated(docs, model, gradients, LEAST, MOST)
+    gradients, report = mixing.fit_rates(place, [mixing.TARGETS[d] for d in sorted(mixing.TARGETS)], least=LEAST)
+    if report["error"] > mixing.TOLERANCE:
+        warnings.warn(f"mixing: {report['error']:.2%} of the tokens miss their targets after {report['steps']} steps", stacklevel=2)
+    return mixing.repeated(docs, model, gradients, LEAST)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

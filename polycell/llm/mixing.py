@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, bounded_sample, table
 from .textkernel import chunks, mix, word_hashes
 
+#: Tokens beside their targets, as a share of all, at which a fit is done.
+TOLERANCE = 1e-4
 #: Documents per domain that the classifier is trained on at most, and cells that words are hashed to.
 SAMPLE, CELLS = 1500, 1 << 14
 SAMPLE_CHARS = 30_000
@@ -111,13 +113,14 @@ def _rate(gradients: list[np.ndarray], least: float, most: float, p: str = "p"):
     return F.aggregate(steps, rate, lambda r, g: F.least(F.greatest(r - move(g), F.lit(float(least))), F.lit(float(most))))
 
 
-def fit_rates(rows: DataFrame, weights: list[float], least: float = 0.0, most: float = 1e9, total: float | None = None, steps: int = 60, tolerance: float = 5e-4) -> tuple[list[np.ndarray], dict]:
+def fit_rates(rows: DataFrame, weights: list[float], least: float = 0.0, most: float = 1e9, total: float | None = None, steps: int = 200, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], dict]:
     """Gradients whose replay gives the rates, and a report, for rows (tokens, p).
 
     Targets are weights * total; total: all tokens by default, or the least total
     that needs no rate below ``least`` if least > 0. A step moves rates by p . g,
     where g are the weighed residuals: gradient descent in the metric that weighs a
-    document by its tokens.
+    document by its tokens. Where steps only lead away from targets that no rates
+    reach, as of a domain without documents, the nearest rates so far are given.
     """
     k = len(weights)
     w = np.array(weights) / sum(weights)
@@ -135,16 +138,19 @@ def fit_rates(rows: DataFrame, weights: list[float], least: float = 0.0, most: f
     # Residuals are weighed by the inverse of c = sum of tokens p p'. The problem's largest curvature is 1 then, and so is the step.
     inverse = np.linalg.inv(c + np.eye(k) * max(1e-9 * np.trace(c) / k, 1e-12))
     gradients: list[np.ndarray] = []
-    totals, best = natural, np.inf
+    totals, best, nearest = natural, np.inf, (0, natural)
     for _ in range(steps):
         off = totals - target
         error = float(np.abs(off).sum() / max(total, 1e-12))
-        if error < tolerance or total == 0 or (len(gradients) > 5 and error > best * 0.98):
+        if error < tolerance or total == 0 or (len(gradients) > 20 and error > best * 0.9999):
             break
-        best = min(best, error)
+        if error < best:
+            best, nearest = error, (len(gradients), totals)
         gradients.append(inverse @ off)
         got = rows.agg(*sums(_rate(gradients, least, most))).first()
         totals = np.array([got[f"s{i}"] or 0.0 for i in range(k)])
+    if np.abs(totals - target).sum() > np.abs(nearest[1] - target).sum():
+        gradients, totals = gradients[: nearest[0]], nearest[1]
     return gradients, {"target": target.tolist(), "expected": totals.tolist(), "steps": len(gradients), "error": float(np.abs(totals - target).sum() / max(total, 1e-12))}
 
 

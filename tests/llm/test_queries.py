@@ -81,3 +81,24 @@ def test_unrelated_documents_without_or_with_one_id_stay(spark):
     rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (None, texts[4])]
     left = p.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
     assert sorted(r["text"] for r in left) == sorted(texts)
+
+
+def test_mixing_meets_its_targets_on_a_skewed_corpus(spark, tmp_path):
+    import corpus_pipeline as p
+
+    kinds = {"en": ("the of and to in is", 600), "de": ("der die und ist von zu", 6), "fr": ("le et un que pour dans", 6), "es": ("el los con por una del", 6)}
+    rows = [(1000 * k + i, " ".join(words.split() * 10), lang) for k, (lang, (words, n)) in enumerate(kinds.items()) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs.select("doc_id").write.parquet(str(tmp_path / "labels.parquet"))
+    got = p.mix_languages(spark, docs, str(tmp_path)).groupBy("lang").count().toPandas().set_index("lang")["count"]
+    assert got["en"] >= 600
+    assert all(abs(got[x] / got.sum() - w) < 0.02 for x, w in {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}.items())
+
+
+def test_targets_that_no_rates_reach_repeat_nothing_endlessly(spark):
+    from polycell.llm import mixing
+
+    rows = spark.createDataFrame([(100, [1 - 1e-3 * (i % 7), 1e-3 * (i % 7)]) for i in range(200)], "tokens long, p array<double>")
+    _, report = mixing.fit_rates(rows, [0.4, 0.6], least=1.0)
+    assert sum(report["expected"]) <= 3 * 200 * 100
