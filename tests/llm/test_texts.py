@@ -302,32 +302,72 @@ def tokenizer():
 ODD = ["", "a", " ", "\n\n  x", "a" * 3000, "ab" * 700, "é" * 300, "\U0001f600 \U0001f468‍\U0001f469", "don't we'll I'd", "<|endoftext|>", "\0\x1c\x85 　", "x" * 64, "y" * 65, "12345 ²Ⅷ", "!?" * 200 + " " * 300]
 
 
+def encoded(e, texts):
+    """Ids and decoded bytes of each text."""
+    ids, back = [[] for _ in texts], [b"" for _ in texts]
+    for index, counts, flat in e.encode(texts):
+        ends = np.cumsum(counts)
+        for i, n, z, x in zip(index, counts, ends, e.decode(flat, counts), strict=True):
+            ids[i] += flat[z - n : z].tolist()
+            back[i] += x
+    return ids, back
+
+
 def test_bpe_equals_the_library(tokenizer):
     e, t = tokenizer
     texts = ODD + [x for x in corpus(7) if x]
-    ids, counts = e.encode(texts)
-    ends = np.cumsum(counts)
-    assert [ids[z - n : z].tolist() for z, n in zip(ends, counts, strict=True)] == [t.encode_ordinary(x) for x in texts]
-    assert e.decode(ids, counts) == [x.encode() for x in texts]
+    assert encoded(e, texts) == ([t.encode_ordinary(x) for x in texts], [x.encode() for x in texts])
 
 
 def test_bpe_of_random_texts(tokenizer):
     e, t = tokenizer
     rng = random.Random(8)
     texts = ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 800), rng.randrange(0x4E00, 0x4F00), 10, 32])) for _ in range(rng.randrange(200))) for _ in range(150)]
-    ids, counts = e.encode(texts)
-    ends = np.cumsum(counts)
-    assert [ids[z - n : z].tolist() for z, n in zip(ends, counts, strict=True)] == [t.encode_ordinary(x) for x in texts]
+    assert encoded(e, texts)[0] == [t.encode_ordinary(x) for x in texts]
+
+
+@pytest.mark.parametrize("window", [8, 32, 384, 1 << 20])
+def test_bpe_of_long_words(tokenizer, monkeypatch, window):
+    """Words of one piece, of random letters and of repeated parts, in windows of any size and in one."""
+    e, t = tokenizer
+    monkeypatch.setattr(bpe, "WINDOW", window)
+    rng = random.Random(window)
+    texts = [unit * (2000 // len(unit) + rng.randrange(9)) for unit in ("the", "z", "aab", "xyzzy", "\u2500", "\u00e9", "-=", "\U0001f600", "ing", "tion")]
+    texts += ["".join(rng.choice(kind) for _ in range(rng.randrange(1, 1500))) for kind in ("aeiou", "etaoinshr", "th", "\u0430\u0435\u043e", "=-", "abcdefghijklmnopqrstuvwxyz") for _ in range(2)]
+    e._forget()
+    assert encoded(e, texts)[0] == [t.encode_ordinary(x) for x in texts]
+    e._forget()
 
 
-def test_heap_and_recursion_agree(tokenizer):
+def test_bpe_of_huge_texts_in_bounded_runs(tokenizer, monkeypatch):
     e, t = tokenizer
-    for x in ("thththatreingly", "aaaaaaaa", "unbelievablenesses", "zzzzabzzzz"):
-        e._forget()
-        e.learn({x})
-        k = e.known[x]
-        assert e.flat[e.begin[k] : e.begin[k] + e.size[k]].tolist() == t.encode_ordinary(x) or x.encode() in e.ranks
-        assert e._heap(x.encode()) == t.encode_ordinary(x) or x.encode() in e.ranks
+    rng = random.Random(3)
+    texts = ["some words " * 300_000, "q" * 5_000_000, "", "".join(rng.choice("aeiou ") for _ in range(30_000)), "the" * 700_000]
+    ids, back = encoded(e, texts)
+    assert back == [x.encode() for x in texts]
+    assert [ids[i] for i in (0, 2, 3)] == [t.encode_ordinary(texts[i]) for i in (0, 2, 3)]
+    monkeypatch.setattr(bpe, "RUN_CHARS", 50)
+    monkeypatch.setattr(bpe, "DECODED_IDS", 7)
+    e._forget()
+    some = [x for x in corpus(9) if x] + ODD
+    assert encoded(e, some) == ([t.encode_ordinary(x) for x in some], [x.encode() for x in some])
+
+
+def test_only_pairs_that_would_be_next_share_a_round(tmp_path):
+    """A vocabulary in which a token's pairs have lower ranks than the token itself."""
+    import base64
+
+    import tiktoken
+
+    tokens = [bytes([i]) for i in range(256)] + [b"abc", b"bca", b"bcbc", b"bc", b"aa", b"aaa", b"cab", b"abca", b"ca", b"aab"]
+    path = tmp_path / "own.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(x) + b" %d\n" % i for i, x in enumerate(tokens)))
+    e = bpe.Encoder(str(path), r"\p{L}+|[^\p{L}]+")
+    t = tiktoken.Encoding("own", pat_str=r"\p{L}+|[^\p{L}]+", mergeable_ranks=e.ranks, special_tokens={})
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 900))) for _ in range(60)]
+    assert encoded(e, texts)[0] == [t.encode_ordinary(x) for x in texts]
+    e.close()
 
 
 def test_round_trip_frame(spark, tokenizer):
