@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polycell.llm import bpe, mixing, ngram_jaccard, paragraphs, toxicity
-from polycell.llm.common import Scratch, bitmap, held_by, table
+from polycell.llm.common import Scratch, bitmap, held_by, table, temporary
 
 #: Jaccard similarity, in per cent, and words of a shingle for near-duplicate documents.
 SIMILARITY, SHINGLE = 80, 5
@@ -96,5 +96,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        with temporary(spark):
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
     return docs

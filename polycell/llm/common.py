@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,24 +33,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` as the session names it.
 
-    Only where it is unset, as in tests on one machine, a temporary folder is set.
+    Only where it is unset and the session runs on one machine, as in tests, a
+    temporary folder is set; a cluster without it is an error.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="polycell-"))
         known = spark.sparkContext.getCheckpointDir()
     return known.rstrip("/")
 
 
+#: Folders of scratch tables that were made within temporary(), innermost last.
+_OPEN: list[list[str]] = []
+
+
 class Scratch:
     """Tables written in the shared folder, which cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession):
         small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/polycell-{uuid.uuid4().hex}"
+        self.shared: list = []
+        if _OPEN:
+            _OPEN[-1].append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
@@ -61,10 +72,36 @@ class Scratch:
         out._scratch_path = at
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table that save() returned and that nothing reads any more."""
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that save() returned and that nothing reads any more."""
+        for df in tables:
+            delete(self.spark, df._scratch_path)
+
+    def share(self, value):
+        """A broadcast of a value of bounded size, until release()."""
+        self.shared.append(self.spark.sparkContext.broadcast(value))
+        return self.shared[-1]
+
+    def release(self) -> None:
+        """Destroys what share() returned: tables that were made with it are written."""
+        while self.shared:
+            self.shared.pop().destroy()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Deletes, at its end, the scratch tables of operators that were called within; what they returned must be written by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for root in _OPEN.pop():
+            delete(spark, root)
 
 
 def bounded_sample(docs: DataFrame, marks: DataFrame, value_col: str, values: list, rows_each: int, max_chars: int) -> dict:
@@ -172,51 +209,36 @@ def summed_sketch(df: DataFrame, fn, length: int) -> np.ndarray:
     return out
 
 
-def spanning(df: DataFrame) -> DataFrame:
-    """Within each partition, a spanning forest of edges (a, b) in place of all its edges."""
-
-    def forest(batches):
-        for b in batches:
-            parent: dict[int, int] = {}
-
-            def root(x, parent=parent):
-                while (p := parent.get(x, x)) != x:
-                    parent[x] = x = parent.get(p, p)
-                return x
-
-            out = []
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                p, q = root(x), root(y)
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-                    out.append((x, y))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
-
-    return df.mapInArrow(forest, "a long, b long")
-
-
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """(node, component) of every node in edges (a long, b long); component: its smallest node.
 
     Alternating large-star and small-star passes (Kiveris et al., 2014) until no
-    edge changes. Each pass takes minima with map-side combining, so a node with
-    very many edges is no hot group, and joins them back, where AQE splits skew.
-    Null ends and loops are left out.
+    edge changes, which the number and the hashes of the edges tell that each pass
+    observes as it writes them: a pass is one job. Each pass takes minima with
+    map-side combining, so a node with very many edges is no hot group, and joins
+    them back, where AQE splits skew. Null ends and loops are left out.
     """
+
+    def written(df: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        out = scratch.save(df.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")), "edges")
+        return out, (seen.get["n"], seen.get["h"])
+
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("a is not null and b is not null and a <> b").distinct()
-    now = scratch.save(now, "edges")
-    for _ in range(rounds):
+    now, state = written(now)
+    for _ in range(rounds if state[0] else 0):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        after = scratch.save(small, "edges")
+        before = state
+        after, state = written(small)
         scratch.drop(now)
         now = after
-        n, nodes = now.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
-        if n == nodes and is_empty(now.join(now.select(F.col("v").alias("u")), "u", "left_semi")):
+        if state == before:
             break
     else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        if state[0]:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

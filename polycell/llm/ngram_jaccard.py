@@ -204,6 +204,7 @@ def link_classes(spark: SparkSession, scratch: Scratch, classes: DataFrame, sets
     # No entry of a pair that reaches the threshold fails the test of places, so for such a pair the sum is the whole overlap of the prefixes.
     product = product.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count(F.lit(1)).alias("shared"))
     rest = scratch.save(product.filter(f"shared >= {needed}").select("a", "b"), "rest")
+    scratch.drop(columns, open_)
     if not is_empty(rest):
         label = components(spark, links.union(_links(scratch, rest, sets_of, num, den)), scratch)
     return label
@@ -214,8 +215,9 @@ def _links(scratch: Scratch, pairs: DataFrame, sets_of, num: int, den: int) -> D
     if is_empty(pairs):
         return pairs
     sets = scratch.save(sets_of(pairs), "sets")
+    scratch.release()
     out = scratch.save(_verified(pairs, sets, num, den), "links")
-    scratch.drop(sets)
+    scratch.drop(sets, pairs)
     return out
 
 
@@ -235,8 +237,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     """
     scratch = Scratch(spark)
     counts = np.minimum(gram_counts(docs, text_col, k, counters), np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    counts = spark.sparkContext.broadcast(counts)
-    rows = scratch.save(prefix_rows(docs, id_col, text_col, k, num, den, counts), "rows")
+    rows = scratch.save(prefix_rows(docs, id_col, text_col, k, num, den, scratch.share(counts)), "rows")
+    scratch.release()
     classes = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("marks"))
     classes = scratch.save(classes, "classes")
 
@@ -244,7 +246,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
         # Another pass over the texts, for the ids of the pairs' classes.
         ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
         wanted = scratch.save(classes.join(ends, "key", "left_semi").select("key", "class_id"), "wanted")
-        held = spark.sparkContext.broadcast(bitmap(wanted, "class_id"))
+        held = scratch.share(bitmap(wanted, "class_id"))
         return whole_sets(docs, id_col, text_col, k, held).join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.first("grams").alias("grams"))
 
     label = link_classes(spark, scratch, classes, sets_of, num, den, ordered=True)

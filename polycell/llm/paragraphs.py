@@ -203,7 +203,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, num: int = 80, den: int
     def sets_of(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
         wanted = scratch.save(classes.join(ends, "key", "left_semi").select("key", "head.row_key"), "wanted")
-        held = spark.sparkContext.broadcast(bitmap(wanted, "row_key"))
+        held = scratch.share(bitmap(wanted, "row_key"))
         return _line_sets(docs, held).join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.first("grams").alias("grams"))
 
     label = link_classes(spark, scratch, classes, sets_of, num, den, ordered=False)
