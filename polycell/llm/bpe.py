@@ -12,7 +12,7 @@ change no result:
 
 * A word is cut where two bytes meet that stand side by side in no token, as no
   token can ever reach over such a place.
-* Places of one word with the same pair of minimum rank are contracted in one
+* Places of one longer word with the same pair of minimum rank are contracted in one
   round, from the left and without overlap, if no pair with the token that they
   give has a lower rank: then the leftmost of them would be next anyhow. Tokens
   for which that isn't so are contracted one place a round.
@@ -52,7 +52,30 @@ RUN_CHARS, ROUND_BYTES, DECODED_IDS = 1 << 20, 400_000, 1 << 19
 WINDOW = 384
 MEMORY = "300MB"
 
+#: Bytes of words that are contracted one pair a round, which is cheaper where rounds are few.
+SHORT = 32
+
 #: Rows are (place, id): word and position in one number, word * 2**32 + position, so that one sorted column orders them.
+_SINGLE = """
+WITH RECURSIVE t(place, id, step) AS (
+  SELECT place, id, 0 FROM start
+  UNION ALL
+  (WITH p AS MATERIALIZED (
+    SELECT place, id, step, lag(place) OVER o AS before,
+      CASE WHEN lead(place) OVER o >> 32 = place >> 32 THEN (id::BIGINT << 20) | lead(id) OVER o END AS pair
+    FROM t WINDOW o AS (ORDER BY place)
+  ), b AS (
+    SELECT place >> 32 AS w, min((merges.id::BIGINT << 32) | (place & 4294967295)) AS best FROM p JOIN merges USING (pair) GROUP BY 1
+  )
+  SELECT place, CASE WHEN place & 4294967295 = best & 4294967295 THEN (best >> 32)::INTEGER ELSE id END, step + 1
+  FROM p JOIN b ON place >> 32 = w
+  WHERE before IS NULL OR before <> (w << 32 | (best & 4294967295)))
+)
+SELECT place, id FROM t JOIN (SELECT place >> 32 AS w, max(step) AS last FROM t GROUP BY 1) l ON place >> 32 = l.w AND step = last
+ORDER BY place
+"""
+
+#: The same with all places of the word's best pair in a round, and with the latest row of each place only.
 _STEP = """
 WITH RECURSIVE t(place, id, step) USING KEY (place) AS (
   SELECT place, id, 0 FROM start
@@ -172,15 +195,19 @@ class Encoder:
         word = np.repeat(np.arange(len(starts)), lengths)
         own = self.byte_ids[data]
         one = starts[wanted & (lengths == 1)]  # a single byte is its own token
-        some = (wanted & (lengths > 1))[word]
-        if not some.any():
-            return one, own[one]
+        at, ids = [one], [own[one]]
         place = (word << 32) + np.arange(len(data)) - starts[word]
-        self.db.register("start", pa.table({"place": place[some], "id": own[some]}))
-        got = self.db.execute(_STEP).fetchnumpy()
-        self.db.unregister("start")
-        at = np.asarray(got["place"])
-        at, ids = np.concatenate([one, starts[at >> 32] + (at & 0xFFFFFFFF)]), np.concatenate([own[one], np.asarray(got["id"]).astype(np.int32)])
+        short = lengths <= SHORT
+        for query, some in ((_SINGLE, wanted & short & (lengths > 1)), (_STEP, wanted & ~short)):
+            some = some[word]
+            if some.any():
+                self.db.register("start", pa.table({"place": place[some], "id": own[some]}))
+                got = self.db.execute(query).fetchnumpy()
+                self.db.unregister("start")
+                found = np.asarray(got["place"])
+                at.append(starts[found >> 32] + (found & 0xFFFFFFFF))
+                ids.append(np.asarray(got["id"]).astype(np.int32))
+        at, ids = np.concatenate(at), np.concatenate(ids)
         order = np.argsort(at, kind="stable")
         return at[order], ids[order]
 
