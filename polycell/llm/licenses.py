@@ -1,20 +1,25 @@
 """License scans as an exact set-similarity join, with DataFrame functions only.
 
-Blocks are the lines of every text; a block's set is its distinct words. Templates
-are license notices. A block meets a template when it contains at least
+Templates are license notices. Blocks are all runs of consecutive words of a text,
+over line ends or not, as long as the template and a quarter more (``span``). A
+block's set is its distinct words. It meets a template when it contains at least
 ``threshold`` of the template's distinct words, that is o = ceil(threshold |T|) of
-them. All such pairs are found with the usual filters of exact joins:
+them, and tells it from its rivals: of another template whose own words would
+suffice for that, at least one word must be missing there and stand here. All such
+pairs are found with the usual filters of exact joins:
 
 * order: words of templates are ordered by their document counts over the whole
   corpus, rare ones first; words outside all templates come after them and can
   be left out of the sets, as they match nothing;
 * prefix: a block with o common words has one of the template's |T| - o + 1 rarest;
-* length: a block with fewer than o words can't meet the template;
-* position: words before, at and after a shared one must add up to o.
+  so only blocks around such a word are looked at, together as its neighbourhood;
+* length: a neighbourhood with fewer than o words can't meet the template;
+* position: words before, at and after the shared one must add up to o.
 
 Templates are fixed text of this module or a parameter, so their table is small
 whatever the corpus: it joins as a broadcast and the documents aren't shuffled.
-Only the few (block, template) candidates are, to be verified and gathered.
+Only the few (neighbourhood, template) candidates are, to be verified block by
+block and gathered.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ PHRASES = {
 TEMPLATES = {
     "notice:gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
     "notice:gpl-work": "this work is licensed under the gnu general public license version",
-    "notice:lgpl": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license",
+    "notice:lgpl": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
     "notice:apache": "licensed under the apache license version",
     "notice:mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
     "notice:mit-release": "released under the mit license",
@@ -81,12 +86,24 @@ def _last(p: Column, phrase: str) -> Column:
     return (_spaces(p) - 1 - _spaces(tail) - len(phrase.split())).cast("long")
 
 
+def span(template: str) -> int:
+    """Words of a block that may meet the template."""
+    n = len(template.split())
+    return n + max(4, n // 4)
+
+
+def rivals(label: str, sets: dict[str, list[str]], need: dict[str, int]) -> list[list[str]]:
+    """Words of the template that each template lacks whose words would suffice to meet it."""
+    own = set(sets[label])
+    return [sorted(own - set(s)) for other, s in sets.items() if other != label and own - set(s) and len(own & set(s)) >= need[label]]
+
+
 def scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, threshold: float = 0.9) -> DataFrame:
     """Labels of every document: (doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score).
 
     Phrases and templates are lower-case words with single spaces. score is 1
     where a phrase stands, else the largest contained share of a template that a
-    block meets, else 0. Null and empty texts have no words, no labels and score
+    block of the whole text meets, else 0. Null and empty texts have no words, no labels and score
     0. Repeated rows give a row each; a null doc_id is kept; other columns are
     ignored. No phrase may begin with the word that it ends with.
     """
@@ -105,10 +122,12 @@ def scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     prefix = []
     for label, s in sets.items():
         ranks = sorted(rank[w] for w in s)
-        prefix += [(r, label, i, ranks, need[label]) for i, r in enumerate(ranks[: len(ranks) - need[label] + 1])]
+        apart = [sorted(rank[w] for w in r) for r in rivals(label, sets, need)]
+        prefix += [(r, label, i, ranks, need[label], span(templates[label]), apart) for i, r in enumerate(ranks[: len(ranks) - need[label] + 1])]
     rare = [order[r] for r in sorted({r for r, *_ in prefix})]
+    reach = max((x[5] for x in prefix), default=1) - 1
 
-    # One pass over the texts: the base, and the blocks of documents that hold a rare template word.
+    # One pass over the texts: the base, and the neighbourhoods of rare template words.
     p = p.withColumn("p", normal(F.col("text"))).withColumn("key", F.xxhash64("doc_id", "text"))
     any_phrase = F.lit(False)
     for phrase in phrases:
@@ -121,8 +140,11 @@ def scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
         firsts.append(F.when(here, _first(F.col("p"), phrase)))
         lasts.append(F.when(here, _last(F.col("p"), phrase)))
         labels.append(F.when(here, F.lit(label)))
-    block = lambda line: F.transform(F.array_intersect(F.split(normal(line), " "), literal(order)), lambda w: F.array_position(literal(order), w).cast("int") - 1)
-    blocks = F.filter(F.transform(F.split("text", "\n"), lambda line: F.sort_array(block(line))), lambda b: F.size(b) > 0)
+    words = F.split(F.trim("p"), " ")
+    places = F.array_compact(F.transform(words, lambda w, i: F.when(F.array_contains(literal(rare), w), i)))
+    first = lambda i: F.greatest(i - reach, F.lit(0))
+    ranked = lambda i: F.transform(F.slice(words, first(i) + 1, i - first(i) + 1 + reach), lambda w: F.array_position(literal(order), w).cast("int") - 1)
+    blocks = F.transform(places, lambda i: F.struct(i.alias("at"), first(i).alias("first"), ranked(i).alias("ranked")))
     none = F.lit(None).cast("long")
     done = p.select(
         "doc_id",
@@ -136,13 +158,18 @@ def scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     )
     done = scratch.save(done, "scan")
 
-    kind = "array<struct<rank: int, label: string, i: int, ranks: array<int>, need: int>>"
-    posting = lambda r, label, i, ranks, o: F.struct(F.lit(r).alias("rank"), F.lit(label).alias("label"), F.lit(i).alias("i"), F.array(*map(F.lit, ranks)).alias("ranks"), F.lit(o).alias("need"))
+    kind = "array<struct<rank: int, label: string, i: int, ranks: array<int>, need: int, span: int, apart: array<array<int>>>>"
+    ints = lambda xs: F.array(*map(F.lit, xs)).cast("array<int>")
+    posting = lambda r, label, i, ranks, o, n, apart: F.struct(F.lit(r).alias("rank"), F.lit(label).alias("label"), F.lit(i).alias("i"), ints(ranks).alias("ranks"), F.lit(o).alias("need"), F.lit(n).alias("span"), F.array(*map(ints, apart)).cast("array<array<int>>").alias("apart"))
     postings = F.broadcast(spark.range(1).select(F.explode(F.array(*[posting(*x) for x in prefix]).cast(kind)).alias("p")).select("p.*"))
-    b = done.filter("blocks is not null").dropDuplicates(["key"]).select("key", F.posexplode("blocks").alias("line", "b"))
-    b = b.select("key", "line", "b", F.posexplode("b").alias("j", "rank"))
-    candidates = b.join(postings, "rank").filter("size(b) >= need and least(i, j) + 1 + least(size(ranks) - i - 1, size(b) - j - 1) >= need")
-    found = candidates.dropDuplicates(["key", "line", "label"]).withColumn("both", F.size(F.array_intersect("b", "ranks"))).filter("both >= need")
+    b = done.filter("blocks is not null").dropDuplicates(["key"]).select("key", F.explode("blocks").alias("b")).select("key", "b.*")
+    b = b.withColumn("rank", F.expr("ranked[at - first]")).withColumn("own", F.expr("array_sort(array_distinct(filter(ranked, r -> r >= 0)))"))
+    b = b.join(postings, "rank").withColumn("j", F.expr("cast(array_position(own, rank) as int) - 1"))
+    candidates = b.filter("size(own) >= need and least(i, j) + 1 + least(size(ranks) - i - 1, size(own) - j - 1) >= need and size(array_intersect(own, ranks)) >= need")
+    # Every block of the span that holds the rare word.
+    block = "slice(ranked, s - first + 1, span)"
+    met = f"filter(transform(sequence(greatest(at - span + 1, 0), at), s -> if(forall(apart, a -> arrays_overlap(a, {block})), size(array_intersect({block}, ranks)), 0)), n -> n >= need)"
+    found = candidates.withColumn("both", F.expr(f"array_max({met})")).filter("both is not null")
     found = found.groupBy("key").agg(F.sort_array(F.collect_set("label")).alias("more"), F.max(F.col("both") / F.size("ranks")).alias("share"))
 
     out = done.join(found, "key", "left")
@@ -165,12 +192,14 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     words = r"list_filter(regexp_split_to_array(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
     phrases = ", ".join(f"('{p}', '{v}')" for p, v in PHRASES.items())
-    templates = ", ".join(f"('{k}', '{t}')" for k, t in TEMPLATES.items())
+    sets = {label: sorted(set(text.split())) for label, text in TEMPLATES.items()}
+    need = {label: max(1, math.ceil(0.9 * len(t) - 1e-9)) for label, t in sets.items()}
+    templates = ", ".join(f"('{k}', '{t}', {span(t)}, {rivals(k, sets, need)!r}::VARCHAR[][])" for k, t in TEMPLATES.items())
     return f"""
 WITH ph AS (
   SELECT string_split(p, ' ') AS p, label FROM (VALUES {phrases}) v(p, label)
 ), te AS (
-  SELECT label, list_distinct(string_split(t, ' ')) AS t FROM (VALUES {templates}) v(label, t)
+  SELECT label, list_distinct(string_split(t, ' ')) AS t, span, apart FROM (VALUES {templates}) v(label, t, span, apart)
 ), d AS (
   SELECT doc_id, text, {words.format("text")} AS w FROM documents
 ), base AS (
@@ -178,10 +207,12 @@ WITH ph AS (
   FROM (SELECT doc_id, label, unnest(list_filter(range(0, len(w)), lambda i: w[i+1:i+len(p)] = p)) AS i FROM d, ph)
   GROUP BY doc_id
 ), bl AS (
-  SELECT doc_id, list_distinct({words.format("line")}) AS b FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+  SELECT doc_id, label, t, apart, w[s + 1 : s + span] AS b FROM (
+    SELECT doc_id, label, t, apart, span, w, unnest(range(0, len(w))) AS s FROM d, te WHERE len(list_intersect(w, t)) >= ceil(0.9 * len(t) - 1e-9))
 ), more AS (
   SELECT doc_id, list_sort(list_distinct(list(label))) AS more, max(n / len(t)) AS share
-  FROM (SELECT doc_id, label, t, len(list_intersect(b, t)) AS n FROM bl, te) WHERE n >= ceil(0.9 * len(t) - 1e-9) GROUP BY doc_id
+  FROM (SELECT doc_id, label, t, len(list_intersect(b, t)) AS n FROM bl WHERE len(list_filter(apart, lambda a: len(list_intersect(a, b)) = 0)) = 0)
+  WHERE n >= ceil(0.9 * len(t) - 1e-9) GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   coalesce(array_to_string(base, ','), '') AS base_labels,
