@@ -9,9 +9,11 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .textkernel import trim
 
 #: Rows and bytes of texts that go to a Python worker at once, where the session doesn't say otherwise.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -88,6 +90,18 @@ class Scratch:
             self.shared.pop().destroy()
 
 
+def tidy(spark: SparkSession) -> None:
+    """Gives back what the driver has freed: garbage of many plans, and the C library's free memory, of its JVM and of Python."""
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    try:
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer().invoke(name, "systemTrimNativeHeap", None, None)
+    except Py4JError:  # only some JVMs can
+        pass
+    trim()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -130,6 +144,28 @@ def bounded_sample(docs: DataFrame, marks: DataFrame, value_col: str, values: li
     return out
 
 
+def list_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(components as doubles, offsets, which rows are neither null nor empty and have finite components only) of a list column."""
+    valid = np.asarray(column.is_valid())
+    sizes = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # a null component is NaN
+    wrong = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
+    return flat, offsets, valid & (sizes > 0) & (wrong[offsets[1:]] == wrong[offsets[:-1]])
+
+
+def binary_rows(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column whose rows are runs of ``sizes`` bytes of an array."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def matrix(column: pa.Array, kind: str = "<f8") -> np.ndarray:
+    """Rows of a binary column, which are of one length and not null, as a matrix."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind).reshape(len(column), -1)
+
+
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 
@@ -139,20 +175,21 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def bitmap(df: DataFrame, column: str, bits: int = 1 << 23) -> np.ndarray:
-    """A Bloom filter with one hash of a long column, as ``bits`` / 64 words whatever the rows.
+def bitmap(df: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter with one hash of a long column, as words of 64 bits: 16 bits a row, from 2**23 to 2**28 bits.
 
-    Its size is fixed, so it may be broadcast; more rows only make it less selective.
+    So it may be broadcast; beyond 2**24 rows it is only less selective.
     """
+    bits = 1 << min(28, max(23, (16 * df.count()).bit_length()))
     at = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits))
     rows = (
         df.select(at.alias("b"))
         .groupBy((F.col("b") / 64).cast("int").alias("w"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v"))
-        .toPandas()
+        .toArrow()
     )
     out = np.zeros(bits // 64, dtype=np.int64)
-    out[rows["w"].to_numpy(dtype=np.int64)] = rows["v"].to_numpy(dtype=np.int64)
+    out[rows["w"].to_numpy()] = rows["v"].to_numpy()
     return out
 
 
@@ -173,11 +210,12 @@ def held_by(column, words: np.ndarray, spark: SparkSession):
     return test(F.xxhash64(column))
 
 
-def summed_sketch(df: DataFrame, fn, length: int) -> np.ndarray:
+def summed_sketch(df: DataFrame, fn, length: int, finish=None, kind: str = "<u8") -> np.ndarray:
     """Sum over all partitions of the uint64 arrays of fixed ``length`` that fn(batches) returns.
 
     The arrays travel in pieces: tasks are summed in groups first and then over
-    the groups, so no task holds more than a group's pieces.
+    the groups, so no task holds more than a group's pieces. finish: what the sums
+    are turned to, as numbers of a smaller kind, before they go to the driver.
     """
     piece = min(length, 1 << 14)
 
@@ -200,11 +238,16 @@ def summed_sketch(df: DataFrame, fn, length: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([keys[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["k", "v"])
 
     parts = df.mapInArrow(per_task, "k int, g int, v binary")
+    def last(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in add(keys, batches):
+            total = np.frombuffer(b.column("v")[0].as_py(), "<u8")
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array([(finish(total) if finish else total).astype(kind).tobytes()], pa.binary())], ["k", "v"])
+
     parts = parts.groupBy("k", "g").applyInArrow(add, "k int, v binary")
-    parts = parts.groupBy("k").applyInArrow(add, "k int, v binary")
-    out = np.zeros(length, np.uint64)
-    for row in parts.collect():  # length / piece rows
-        got = np.frombuffer(row["v"], "<u8")
+    parts = parts.groupBy("k").applyInArrow(last, "k int, v binary")
+    out = np.zeros(length, kind)
+    for row in parts.toLocalIterator():  # length / piece rows
+        got = np.frombuffer(row["v"], kind)
         out[row["k"] * piece : (row["k"] + 1) * piece] = got[: length - row["k"] * piece]
     return out
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_sample, table
+from .common import Scratch, bounded_sample, table, tidy
 from .textkernel import chunks, mix, word_hashes
 
 #: Tokens beside their targets, as a share of all, at which a fit is done.
@@ -157,6 +157,7 @@ def fit_rates(rows: DataFrame, weights: list[float], least: float = 0.0, most: f
         totals, c = summed(_rate(gradients, least, most), F.expr(f"r > {least!r}D and r < {most!r}D"))
     if np.abs(totals - target).sum() > np.abs(nearest[1] - target).sum():
         gradients, totals = gradients[: nearest[0]], nearest[1]
+    tidy(rows.sparkSession)
     return gradients, {"target": target.tolist(), "expected": totals.tolist(), "steps": len(gradients), "error": float(np.abs(totals - target).sum() / max(total, 1e-12))}
 
 

@@ -14,7 +14,8 @@ threshold:
    So each column is first linked to a few hub rows; pairs with enough shared
    columns are verified exactly and joined to components. Then the product is
    accumulated, column block by column block, over pairs of rows that are not
-   connected yet. Pairs below the bounds that follow from their sizes, positions,
+   connected yet; the rows of a column are cut to blocks of ``BLOCK_ROWS``, and each
+   pair of blocks is multiplied on its own. Pairs below the bounds that follow from their sizes, positions,
    bitmaps and accumulated overlap are discarded; all others are verified exactly
    on whole sets. (A set's bitmap has the parity of its n-grams in each of 512
    hash cells. Where two bitmaps differ, the sets differ in an n-gram at least,
@@ -34,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bitmap, components, in_bitmap, is_empty, summed_sketch, table
+from .common import Scratch, bitmap, components, in_bitmap, is_empty, summed_sketch, table, tidy
 from .textkernel import chunks, mix, shingle_hashes, word_hashes
 
 #: Bits of a set's bitmap (a multiple of 64).
 BITS = 512
 #: Counters of the table that orders the n-grams.
 COUNTERS = 1 << 21
+#: Rows of a column's block in the product.
+BLOCK_ROWS = 256
 
 
 def _bucket(grams: np.ndarray, counters: int) -> np.ndarray:
@@ -48,7 +51,7 @@ def _bucket(grams: np.ndarray, counters: int) -> np.ndarray:
 
 
 def gram_counts(docs: DataFrame, text_col: str, k: int, counters: int = COUNTERS) -> np.ndarray:
-    """How many n-grams of all documents fall to each counter (fixed size, over all rows)."""
+    """How many n-grams of all documents fall to each counter (fixed size, over all rows), as 2048 times the logarithm."""
 
     def count(batches):
         total = np.zeros(counters, np.uint64)
@@ -65,7 +68,7 @@ def gram_counts(docs: DataFrame, text_col: str, k: int, counters: int = COUNTERS
             total += np.bincount(np.concatenate(held), minlength=counters).astype(np.uint64)
         return total
 
-    return summed_sketch(docs.select(F.col(text_col)), count, counters)
+    return summed_sketch(docs.select(F.col(text_col)), count, counters, lambda n: np.minimum(np.log2(n + 1.0) * 2048, 65535), "<u2")
 
 
 def _key(grams: np.ndarray) -> int:
@@ -191,16 +194,19 @@ def link_classes(spark: SparkSession, scratch: Scratch, classes: DataFrame, sets
     star = star.select("a", F.explode(F.array(F.col("s.b"), F.col("t.b"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     star = scratch.save(star, "star")
     links = _links(scratch, star, sets_of, num, den)
+    tidy(spark)
     label = components(spark, links, scratch)
 
     # The product over the rows of columns that are not connected yet.
     known = columns.join(label.select(F.col("node").alias("key"), "component"), "key", "left").select("gram", "key", "n", "pos", F.coalesce("component", "key").alias("part"))
-    split = known.groupBy("gram").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("gram")
+    split = known.groupBy("gram").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")).filter("lo <> hi").select("gram", "blocks")
     open_ = scratch.save(known.join(split, "gram").join(classes.select("key", "bits"), "key"), "open")
-    side = lambda c: open_.select("gram", F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("pos").alias(f"p{c}"), F.col("part").alias(f"c{c}"), F.col("bits").alias(f"x{c}"))
-    x, y = side("a"), side("b")
+    # A column's rows are dealt to blocks; each pair of a column's blocks is a cell of the product, so a long column is no hot group.
+    own, every = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    side = lambda c, i, j: open_.select("gram", i.alias("i"), j.alias("j"), F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("pos").alias(f"p{c}"), F.col("part").alias(f"c{c}"), F.col("bits").alias(f"x{c}"))
+    x, y = side("a", own, every), side("b", every, own)
     place = f"and {_bound(num, den)} <= least(pa, pb) + 1 + least(na - pa - 1, nb - pb - 1)" if ordered else ""
-    product = x.join(y, (x.gram == y.gram) & F.expr(f"a < b and ca <> cb and {reach} {place} and {close}"))
+    product = x.join(y, (x.gram == y.gram) & (x.i == y.i) & (x.j == y.j) & F.expr(f"a < b and ca <> cb and {reach} {place} and {close}"))
     # No entry of a pair that reaches the threshold fails the test of places, so for such a pair the sum is the whole overlap of the prefixes.
     product = product.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count(F.lit(1)).alias("shared"))
     rest = scratch.save(product.filter(f"shared >= {needed}").select("a", "b"), "rest")
@@ -236,7 +242,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     are ignored, whatever their names.
     """
     scratch = Scratch(spark)
-    counts = np.minimum(gram_counts(docs, text_col, k, counters), np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    counts = gram_counts(docs, text_col, k, counters)
     rows = scratch.save(prefix_rows(docs, id_col, text_col, k, num, den, scratch.share(counts)), "rows")
     scratch.release()
     classes = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("marks"))
@@ -253,6 +259,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
     named = classes.join(label.select(F.col("node").alias("key"), "component"), "key", "left").select("key", "class_id", F.coalesce("component", "key").alias("part"))
     least = named.groupBy("part").agg(F.min("class_id").alias("component_id"))
     named = scratch.save(named.join(least, "part").select("key", "class_id", "component_id", "part"), "named")
+    tidy(spark)
     full = rows.filter("n > 0").select("doc_id", "row_key", "n", "key").join(named, "key").select("doc_id", "row_key", F.col("n").cast("long").alias("n_shingles"), "class_id", "component_id", "part")
     return full.union(rows.filter("n = 0").select("doc_id", "row_key", F.lit(0).cast("long"), "doc_id", "doc_id", F.lit(None).cast("long")))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bitmap, held_by, in_bitmap, table
+from .common import Scratch, bitmap, held_by, in_bitmap, table, tidy
 from .ngram_jaccard import BITS, _key, bitmap_of, link_classes
 from .textkernel import chunks, mix, word_hashes, word_spans
 
@@ -224,7 +224,10 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, num: int = 80, den: int
     def merge(rows: pa.Array) -> pa.Array:
         return pa.array([[{"start": a, "end": z, "words": n} for a, z, n in merge_spans(r)] for r in rows.to_pylist()], kind)
 
-    return scratch.save(found.select("doc_id", "row_key", merge("found").alias("spans")).filter("size(spans) > 0"), "spans")
+    out = scratch.save(found.select("doc_id", "row_key", merge("found").alias("spans")).filter("size(spans) > 0"), "spans")
+    scratch.drop(rows, classes)
+    tidy(spark)
+    return out
 
 
 def cut(text: bytes, spans) -> bytes:

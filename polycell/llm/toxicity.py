@@ -3,13 +3,16 @@
 Two zstandard dictionaries are trained, one on ordinary and one on toxic text. A
 text is cut into overlapping windows; a window's gain is the length that it
 compresses to with the ordinary dictionary less that with the toxic one. Both
-dictionaries share a large base of ordinary text, so that gains come from what
-only toxic text has. A text's strongest gains give its score by a calibrated
-logistic curve.
+stand behind a large base of ordinary text, so that gains come from what only
+toxic text has. A text's strongest gains give its score by a calibrated logistic
+curve.
 
-Labels say which texts are toxic, not where. So the toxic dictionary is made of
-those words of toxic samples that no ordinary sample has and that several toxic
-samples share.
+Labels say which texts are toxic, not where. So the toxic dictionary is trained on
+the places of toxic samples that tell: words, with the bytes around them, whose
+log-odds of standing in a toxic sample are above ``TELLING`` by two standard errors.
+The ordinary one is trained on windows of ordinary samples. Of either, the content
+is used, behind the base; their entropy tables are left out, as lengths can only be
+compared under the same ones.
 
 Training takes a bounded sample of the labelled rows, ``SAMPLE`` documents of
 either class at most, those with the smallest hashes of their ids; texts of more
@@ -18,6 +21,8 @@ than ``SAMPLE_CHARS`` characters aren't trained on. Scoring reads whole texts.
 
 from __future__ import annotations
 
+import math
+import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -27,15 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, table
+from .common import bounded_sample, table, tidy
 from .textkernel import trim
 
 SAMPLE, SAMPLE_CHARS = 3000, 30_000
 WINDOW, STEP = 48, 32
 LEVEL = 3
-#: A word of toxic samples counts as shared if so many in 1000 of them have it.
-MIN_SHARE = 10
-BASE_BYTES, TOXIC_BYTES = 60_000, 2600
+#: Least log-odds of a telling word, in texts that it must stand in at least, and bytes of text before and after it.
+TELLING, TEXTS, AROUND = 1.0, 3, 6
+#: Bytes of the base, and of either dictionary with its tables.
+BASE_BYTES, TRAINED_BYTES = 100_000, 2048
+_WORD = re.compile(rb"[^\x00-\x20!-/:-@\[-`{-~]+")
 
 
 def windows(text: bytes) -> list[bytes]:
@@ -50,18 +57,14 @@ def _compressor(raw: bytes):
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=content, write_checksum=False, write_content_size=False, write_dict_id=False)
 
 
-def _trained(samples: list[bytes], size: int) -> bytes:
-    """Content of a dictionary trained on the samples; too few samples are taken as they are."""
+def _trained(samples: list[bytes]) -> bytes:
+    """A dictionary that zstandard trains on the samples; samples too few to train on are its content as they are."""
     import zstandard
 
-    if sum(map(len, samples)) > 4 * size:
-        try:
-            raw = zstandard.train_dictionary(size, samples, k=32, d=6, level=LEVEL).as_bytes()
-            # Behind the header with its entropy tables stands the content.
-            return raw[-(size * 7 // 8) :]
-        except zstandard.ZstdError:
-            pass
-    return b"".join(samples)[-size:]
+    try:
+        return zstandard.train_dictionary(TRAINED_BYTES, samples, k=16, d=6, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)
 
 
 @dataclass
@@ -113,14 +116,6 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
     return w
 
 
-def _bare(word: bytes) -> bytes:
-    return word.strip(b".,;:!?\"'()").lower()
-
-
-def _words(text: bytes) -> set[bytes]:
-    return {_bare(w) for w in text.split()}
-
-
 def apart(texts: list[bytes]) -> list[bytes]:
     """The texts without copies and near copies of earlier ones, which would pass for words that many texts share."""
     seen, out = set(), []
@@ -141,16 +136,11 @@ def train(toxic: list[bytes], ordinary: list[bytes], toxic_rate: float = 0.1) ->
     toxic, ordinary = apart(toxic), apart(ordinary)
     held = lambda rows: ([r for i, r in enumerate(rows) if i % 3], rows[::3])
     (toxic, toxic_held), (ordinary, ordinary_held) = held(toxic), held(ordinary)
-    common = set().union(*map(_words, ordinary)) if ordinary else set()
-    own = [[w for w in t.split() if _bare(w) not in common] for t in toxic]
-    shared = Counter(w for t in own for w in {_bare(w) for w in t})
-    least = max(3, MIN_SHARE * len(own) // 1000)
-    samples = [b" " + b" ".join(w for w in t if shared[_bare(w)] >= least) for t in own]
-    samples = [s for s in samples if len(s) > 1]
     base = b"".join(ordinary)[:BASE_BYTES]  # of the sample's texts as many as fit
-    special = _special(samples, shared)
+    usual, special = _trained([w for t in ordinary for w in windows(t)]), _trained(telling(toxic, ordinary))
     # Of the same length, so that offsets into the base cost the same with both.
-    usual = _trained([w for t in ordinary for w in windows(t)], max(2048, 2 * TOXIC_BYTES))[-len(special) :].rjust(len(special))
+    size = min(max(len(special), 64), TRAINED_BYTES * 7 // 8)
+    usual, special = usual[-size:].rjust(size), special[-size:].rjust(size)
     model = Model(base, usual, special, np.zeros(6))
     x = features(model.gains(toxic_held + ordinary_held))
     y = np.concatenate([np.ones(len(toxic_held)), np.zeros(len(ordinary_held))])
@@ -164,10 +154,17 @@ def train(toxic: list[bytes], ordinary: list[bytes], toxic_rate: float = 0.1) ->
     return model
 
 
-def _special(samples: list[bytes], shared: Counter) -> bytes:
-    """The samples' words, each in several places, those that most samples share at the end, where offsets are short."""
-    words = sorted({_bare(w) for t in samples for w in t.split()}, key=lambda w: (shared[w], w))
-    return b" ".join(words + words[len(words) // 2 :] + words)[-TOXIC_BYTES:] + b" "
+def telling(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """Telling words of toxic texts at all their places, with the bytes around them."""
+    counts = [Counter(w for t in texts for w in {w.lower() for w in _WORD.findall(t)}) for texts in (toxic, ordinary)]
+    m, n = len(toxic), len(ordinary)
+    words = set()
+    for w, a in counts[0].items():
+        b = counts[1][w]
+        odds = math.log((a + 0.5) / (m - a + 0.5)) - math.log((b + 0.5) / (n - b + 0.5))
+        if a >= TEXTS and odds - 2 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) > TELLING:
+            words.add(w)
+    return [t[max(0, m.start() - AROUND) : m.end() + AROUND] for t in toxic for m in _WORD.finditer(t) if m[0].lower() in words]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, allowed) -> tuple[list[bytes], list[bytes], float]:
@@ -182,7 +179,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed) -> tuple[list[b
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed=None) -> Model:
-    return train(*labelled_sample(docs, labels, F.lit(True) if allowed is None else allowed))
+    model = train(*labelled_sample(docs, labels, F.lit(True) if allowed is None else allowed))
+    tidy(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
