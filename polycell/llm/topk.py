@@ -13,36 +13,35 @@ inner products of the integers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import binary_rows, list_rows, matrix, table, width
 
-BLOCK_ROWS = 8192
-QUERY_ROWS = 1024
+#: Rows of a block, at most about, and of one that is made for the sake of parallel tasks.
+BLOCK_ROWS, LEAST_ROWS = 65_536, 2048
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(vec_id, q): floor(scale * x) of each component as bytes of int64; vectors that are null, empty or have null or non-finite components are left out."""
+    """(vec_id, q): floor(scale * x) of each component as bytes of int64; vectors that are null, empty or have null or non-finite components are left out.
+
+    Scores must fit a long: a vector whose integers' squares sum up to 2**62 or
+    more is an error.
+    """
 
     def rows(batches):
         for b in batches:
-            out, keep = [], []
-            for i, x in enumerate(b.column(1)):
-                values = x.values if x.is_valid else None
-                if values is None or not len(values) or values.null_count:
-                    continue
-                a = values.to_numpy(zero_copy_only=False).astype("<f8")
-                if np.isfinite(a).all():
-                    keep.append(i)
-                    out.append(np.floor(scale * a).astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(out, pa.binary())], ["vec_id", "q"])
+            flat, offsets, ok = list_rows(b.column(1))
+            keep = np.flatnonzero(ok)
+            sizes = np.diff(offsets)[keep]
+            q = np.floor(scale * flat[np.repeat(ok, np.diff(offsets))])
+            if len(q) and (np.add.reduceat(q * q, np.cumsum(sizes) - sizes) >= 2.0**62).any():
+                raise ValueError("a vector is too large: its inner products may not fit 64 bits")
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), binary_rows(q.astype("<i8"), sizes * 8)], ["vec_id", "q"])
 
     return df.select(F.col(id_col).cast("long"), F.col(vec_col)).mapInArrow(rows, "vec_id long, q binary")
 
@@ -121,37 +120,51 @@ class SlicedIndex:
         return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
 
-def top_k(spark: SparkSession, rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def top_k(spark: SparkSession, rows: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows by inner product of rows (vec_id, q).
 
     Ties go to the smaller vec_id. Rows with the query's own vec_id take no part;
     other repeated rows count as often as they occur. Equal rows of ``queries``
     are one query; different vectors under one vec_id are queries of their own.
     Vectors are compared with those of the same length only.
+
+    Each block's rows go to its task once, and its index is built once; then the
+    queries stream past it. Rows are dealt to blocks by their place in the input,
+    so equal rows don't meet in one block.
     """
-    n, m = rows.count(), queries.count()
-    blocks, parts = max(1, -(-n // BLOCK_ROWS)), max(1, -(-m // QUERY_ROWS))
-    spread = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)))
-    own = lambda c: F.pmod(F.xxhash64("vec_id", "q"), F.lit(c)).cast("int")
-    a = rows.select(own(blocks).alias("block"), spread(parts).alias("part"), F.octet_length("q").alias("size"), "vec_id", "q", F.lit(False).alias("asks"))
-    b = queries.distinct().select(spread(blocks).alias("block"), own(parts).alias("part"), F.octet_length("q").alias("size"), "vec_id", "q", F.lit(True).alias("asks"))
-
-    def search(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches))  # a block of rows and a part of the queries
-        asks = t["asks"].to_numpy()
-        if not asks.any() or asks.all():
-            return
-        x = np.frombuffer(b"".join(t["q"].to_pylist()), "<i8").reshape(len(t), -1)
-        ids, q, q_ids, x = t["vec_id"].to_numpy(zero_copy_only=False), x[asks], t["vec_id"].to_numpy(zero_copy_only=False)[asks], x[~asks]
-        ids = ids[~asks]
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], x[order]
-        index = SlicedIndex(x)
-        for v, name in zip(q, q_ids, strict=True):
-            found = index.top(v, k, np.arange(*np.searchsorted(ids, [name, name + 1])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), name, np.int64)), pa.array([v.tobytes()] * len(found), pa.binary()), pa.array(ids[found].astype(np.int64)), pa.array(x[found] @ v)], ["query_id", "q", "vec_id", "score"])
-
-    found = a.unionByName(b).groupBy("block", "part", "size").applyInArrow(search, "query_id long, q binary, vec_id long, score long")
+    n = rows.count()
+    blocks = max(1, -(-n // block_rows), min(width(spark), -(-n // LEAST_ROWS)))
+    a = rows.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block"), F.octet_length("q").alias("size"), F.lit(False).alias("asks"), "vec_id", "q")
+    b = queries.distinct().select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.octet_length("q").alias("size"), F.lit(True).alias("asks"), "vec_id", "q")
+
+    def search(batches):
+        index, held, now = None, [], None
+        for batch in batches:
+            block, size, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "size", "asks"))
+            edges = np.flatnonzero((np.diff(block) != 0) | (np.diff(size) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+            for s, e in zip([0, *edges], [*edges, len(block)], strict=True):
+                if s == e:
+                    continue
+                part = batch.slice(s, e - s)
+                if (block[s], size[s]) != now:
+                    index, held, now = None, [], (block[s], size[s])
+                ids, x = part.column("vec_id").to_numpy(), matrix(part.column("q"), "<i8")
+                if not asks[s]:
+                    held.append((ids, x))
+                    continue
+                if not held and index is None:
+                    continue
+                if index is None:
+                    ids_of, x_of = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                    order = np.argsort(ids_of, kind="stable")
+                    ids_of, x_of, held = ids_of[order], x_of[order], []
+                    index = SlicedIndex(x_of)
+                for v, name, raw in zip(x, ids.tolist(), part.column("q"), strict=True):
+                    found = index.top(v, k, np.arange(*np.searchsorted(ids_of, [name, name + 1])))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), name, np.int64)), pa.repeat(raw, len(found)), pa.array(ids_of[found]), pa.array(x_of[found] @ v)], ["query_id", "q", "vec_id", "score"])
+
+    dealt = a.unionByName(b).repartition(blocks, "block").sortWithinPartitions("block", "size", "asks")
+    found = dealt.mapInArrow(search, "query_id long, q binary, vec_id long, score long")
     w = W.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -2,9 +2,13 @@
 
 A pass gives each vector the signs of many random projections, one after the
 other, as a sort key; vectors are put in the order of that key, and each is
-compared with its neighbours in a bounded window. The number of passes follows
-from the number of vectors and the wanted recall at the threshold. Verified pairs
-of all passes are united to components.
+compared with its neighbours in a bounded window. Verified pairs of all passes are
+united to components. The number of passes follows first from the number of
+vectors and the wanted recall at the threshold, as if directions were spread
+evenly. Where many vectors lie close together without being linked, keys tell them
+apart badly; so the recall is measured: all vectors are compared with a bounded
+sample of them, and passes go on, twice as many and with wider windows each time,
+until the components hold the wanted share of the sample's links.
 
 Windows are bounded, groups of near copies aren't: within each component, links
 are then counted exactly. Where all members lie within half the threshold angle
@@ -15,46 +19,58 @@ members are compared in tiles of bounded size that yield counts, not pairs.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, is_empty, table, width
+from .common import Scratch, binary_rows, components, list_rows, matrix, summed_sketch, table, width
 
 #: Bits of a sort key.
 KEY_BITS = 62
-WINDOW = 64
-TILE = 1024
+WINDOW, WIDEST = 64, 1024
+TILE, STRIP = 4096, 512
 _BLOCK = 1024
+#: Vectors that the recall is measured with.
+SAMPLE = 1024
 
 
-def _unit(rows: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), -1)
+def _unit(column) -> np.ndarray:
+    x = matrix(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
+def linked(x: np.ndarray, y: np.ndarray, cosine: float) -> np.ndarray:
+    """Which unit vectors of x and y are linked. Pairs next to the threshold are settled by a sum that no blocking changes."""
+    dots = x @ y.T
+    near = dots >= cosine
+    for i, j in np.argwhere(np.abs(dots - cosine) < 1e-13):
+        near[i, j] = math.fsum(x[i] * y[j]) >= cosine
+    return near
+
+
 def packed(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, v, ok): vectors as bytes of doubles; not ok: null, zero, or with null or non-finite components."""
 
     def rows(batches):
         for b in batches:
-            ids, column = b.column(0), b.column(1)
-            out, ok = [], []
-            for x in column:
-                values = x.values if x.is_valid else None
-                good = values is not None and len(values) > 0 and values.null_count == 0
-                if good:
-                    a = values.to_numpy(zero_copy_only=False).astype("<f8")
-                    with np.errstate(over="ignore"):
-                        good = bool(np.isfinite(a).all() and 0 < (scale := np.abs(a).max()))
-                    if good and not 1e-100 < scale < 1e100:
-                        a = a / scale
-                out.append(a.tobytes() if good else None)
-                ok.append(good)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.binary()), pa.array(ok, pa.bool_())], ["vec_id", "v", "ok"])
+            flat, offsets, ok = list_rows(b.column(1))
+            sizes = np.diff(offsets)
+            scale = np.zeros(len(ok))
+            if ok.any():
+                scale[ok] = np.maximum.reduceat(np.abs(flat[np.repeat(ok, sizes)]), np.cumsum(sizes[ok]) - sizes[ok])
+            ok &= scale > 0
+            kept = flat[np.repeat(ok, sizes)]
+            extreme = ok & ~((scale > 1e-100) & (scale < 1e100))
+            if extreme.any():  # squares stay finite
+                kept = kept / np.repeat(np.where(extreme, scale, 1.0)[ok], sizes[ok])
+            place = np.where(ok, np.cumsum(ok) - 1, 0)
+            v = binary_rows(kept.astype("<f8"), sizes[ok] * 8).take(pa.array(place, mask=~ok))
+            yield pa.RecordBatch.from_arrays([b.column(0), v, pa.array(ok)], ["vec_id", "v", "ok"])
 
     return df.select(F.col(id_col).cast("long"), F.col(vec_col)).mapInArrow(rows, "vec_id long, v binary, ok boolean")
 
@@ -78,7 +94,7 @@ def _keys(x: np.ndarray, seed: int) -> np.ndarray:
 
 def _links(x: np.ndarray, cosine: float) -> np.ndarray:
     """For each row, the first row of its component by links within the block."""
-    near = x @ x.T >= cosine
+    near = linked(x, x, cosine)
     label = np.arange(len(x))
     some = np.flatnonzero(near.sum(axis=1) > 1)
     if not len(some):
@@ -94,72 +110,114 @@ def _links(x: np.ndarray, cosine: float) -> np.ndarray:
     return label
 
 
-def candidate_links(spark: SparkSession, classes: DataFrame, n: int, cosine: float, recall: float, scratch: Scratch, window: int = WINDOW) -> DataFrame:
-    """Links (a, b) from all passes; within a block of neighbours, each component's members are linked to its first."""
-    number = passes_for(n, cosine, recall, window)
+def candidate_links(spark: SparkSession, classes: DataFrame, n: int, cosine: float, passes: range, scratch: Scratch, window: int = WINDOW) -> DataFrame:
+    """Links (a, b) from some passes; within a block of neighbours, each component's members are linked to its first."""
+    block = max(_BLOCK, window)
 
     def keyed(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            raw = b.column(1).to_pylist()
-            sizes = np.array([len(r) for r in raw])
+            sizes = np.asarray(pc.binary_length(b.column(1)))
             for size in np.unique(sizes):
-                at = np.flatnonzero(sizes == size)
-                x = _unit([raw[i] for i in at])
-                own = b.take(pa.array(at))
-                for p in range(number):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), p * 100_000 + size // 8, np.int64)), pa.array(_keys(x, p)), own.column(0), own.column(1)], ["pass", "k", "cid", "v"])
+                own = b.take(pa.array(np.flatnonzero(sizes == size)))
+                x = _unit(own.column(1))
+                for p in passes:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p * 100_000 + size // 8, np.int64)), pa.array(_keys(x, p)), own.column(0), own.column(1)], ["pass", "k", "cid", "v"])
+
+    names = ["a", "b", "task", "side", "pass", "v"]
 
     def windows(batches):
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        head, n_head, tail, now = [], 0, None, None
-
-        def flush(rows):
-            passes, cid, raw = rows
-            edges = np.flatnonzero(np.diff(passes)) + 1
-            for a, b in zip([0, *edges], [*edges, len(passes)], strict=True):
-                for s in range(a, b, _BLOCK):
-                    lo = max(a, s - window)
-                    part = raw[lo : min(b, s + _BLOCK)]
-                    if len(part) < 2:
+        head, n_head, tail = [], 0, None
+
+        def found(t: pa.Table):
+            number, cid = t["pass"].to_numpy(), t["cid"].to_numpy()
+            edges = np.flatnonzero(np.diff(number)) + 1
+            for a, z in zip([0, *edges], [*edges, len(number)], strict=True):
+                for s in range(a, z, block):
+                    lo, hi = max(a, s - window), min(z, s + block)
+                    if hi - lo < 2:
                         continue
-                    label = _links(_unit(part), cosine)
+                    label = _links(_unit(t["v"].slice(lo, hi - lo)), cosine)
                     moved = np.flatnonzero(label != np.arange(len(label)))
                     if len(moved):
-                        yield pa.RecordBatch.from_arrays([pa.array(cid[lo + moved]), pa.array(cid[lo + label[moved]]), pa.nulls(len(moved), pa.int64()), pa.nulls(len(moved), pa.int64()), pa.nulls(len(moved), pa.binary())], ["a", "b", "seam", "pass", "v"])
+                        yield pa.RecordBatch.from_arrays([pa.array(cid[lo + moved]), pa.array(cid[lo + label[moved]]), *(pa.nulls(len(moved), kind) for kind in (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names)
 
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = [b.column("pass").to_numpy(), b.column("cid").to_numpy(), b.column("v").to_pylist()]
+            t = pa.Table.from_batches([b])
             if n_head < window:
-                take = min(window - n_head, b.num_rows)
-                head.append([r[:take] for r in rows])
-                n_head += take
+                head.append(t.slice(0, window - n_head))
+                n_head += len(head[-1])
             if tail is not None:
-                rows = [np.concatenate([tail[0], rows[0]]), np.concatenate([tail[1], rows[1]]), tail[2] + rows[2]]
-            yield from flush(rows)
-            tail = [r[-window:] for r in rows]
-        for seam, parts in ((task, head), (task + 1, [tail] if tail is not None else [])):
-            for r in parts:
-                yield pa.RecordBatch.from_arrays([pa.array(r[1]), pa.array(r[1]), pa.array(np.full(len(r[1]), seam, np.int64)), pa.array(r[0]), pa.array(r[2], pa.binary())], ["a", "b", "seam", "pass", "v"])
+                t = pa.concat_tables([tail, t])
+            yield from found(t)
+            tail = t.slice(max(0, len(t) - window))
+        for side, parts in ((0, head), (1, [tail] if tail is not None else [])):
+            for t in parts:
+                t = t.combine_chunks()
+                yield pa.RecordBatch.from_arrays([t["cid"].combine_chunks(), t["cid"].combine_chunks(), pa.array(np.full(len(t), task, np.int64)), pa.array(np.full(len(t), side, np.int32)), t["pass"].combine_chunks(), t["v"].combine_chunks()], names)
 
     def seams(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))  # two windows of one pass at most
         cid = t["a"].to_numpy()
         if len(cid) > 1:
-            label = _links(_unit(t["v"].to_pylist()), cosine)
+            label = _links(_unit(t["v"]), cosine)
             moved = np.flatnonzero(label != np.arange(len(label)))
             yield pa.RecordBatch.from_arrays([pa.array(cid[moved]), pa.array(cid[label[moved]])], ["a", "b"])
 
-    parts = max(width(spark), n * number // 200_000)
-    order = classes.select("cid", "v").mapInArrow(keyed, "pass long, k long, cid long, v binary").repartitionByRange(parts, "pass", "k").sortWithinPartitions("pass", "k", "cid")
-    found = scratch.save(order.mapInArrow(windows, "a long, b long, seam long, pass long, v binary"), "windows")
-    across = found.filter("seam is not null").groupBy("seam", "pass").applyInArrow(seams, "a long, b long")
-    return found.filter("seam is null").select("a", "b").union(across)
+    parts = max(width(spark), n * len(passes) // 200_000)
+    order = classes.select("cid", "v").mapInArrow(keyed, "pass long, k long, cid long, v binary").repartitionByRange(parts, "pass", "k", "cid").sortWithinPartitions("pass", "k", "cid")
+    found = scratch.save(order.mapInArrow(windows, "a long, b long, task long, side int, pass long, v binary"), "windows")
+    # The end of a partition is compared with the beginning of the next one that has rows.
+    tasks = sorted(r["task"] for r in found.filter("side = 0").select("task").distinct().collect())  # a row per partition at most
+    ends = found.filter("side is not null")
+    if tasks:
+        ranked = spark.createDataFrame(list(enumerate(tasks)), "seam long, task long")
+        ends = ends.join(ranked, "task").withColumn("seam", F.col("seam") + F.col("side"))
+        return found.filter("side is null").select("a", "b").union(ends.groupBy("seam", "pass").applyInArrow(seams, "a long, b long"))
+    return found.filter("side is null").select("a", "b")
+
+
+def measured_recall(classes: DataFrame, label: DataFrame, cosine: float, scratch: Scratch, sample: int = SAMPLE) -> float:
+    """Share of a sample's links that lie within components; the sample, those with the smallest hashes, meets all vectors.
+
+    The smaller one of the share of all links and of the mean share per vector.
+    """
+    rows = classes.select("cid", "v").join(label.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "v", F.coalesce("component", "cid").alias("component"))
+    picked = rows.orderBy(F.xxhash64("cid"), "cid").limit(sample).collect()
+    if not picked:
+        return 1.0
+    by_size: dict[int, list[int]] = {}
+    for i, r in enumerate(picked):
+        by_size.setdefault(len(r["v"]), []).append(i)
+    own = {size: (np.array(at), _unit(pa.array([bytes(picked[i]["v"]) for i in at], pa.binary())), *(np.array([picked[i][c] for i in at]) for c in ("cid", "component"))) for size, at in by_size.items()}
+    shared, m = scratch.share(own), len(picked)
+
+    def count(batches):
+        out = np.zeros(2 * m, np.uint64)
+        for b in batches:
+            sizes = np.asarray(pc.binary_length(b.column(1)))
+            for size in np.unique(sizes):
+                if size not in shared.value:
+                    continue
+                at, y, cid, component = shared.value[size]
+                part = b.take(pa.array(np.flatnonzero(sizes == size)))
+                x, mine, its = _unit(part.column(1)), part.column(0).to_numpy(), part.column(2).to_numpy()
+                for s in range(0, len(x), STRIP):
+                    near = linked(x[s : s + STRIP], y, cosine) & (mine[s : s + STRIP, None] != cid[None, :])
+                    out[at] += near.sum(axis=0).astype(np.uint64)
+                    out[m + at] += (near & (its[s : s + STRIP, None] == component[None, :])).sum(axis=0).astype(np.uint64)
+        return out
+
+    got = summed_sketch(rows, count, 2 * m).astype(float)
+    scratch.release()
+    all_, held = got[:m], got[m:]
+    if not all_.any():
+        return 1.0
+    return min(held.sum() / all_.sum(), (held[all_ > 0] / all_[all_ > 0]).mean())
 
 
 def near_duplicates(spark: SparkSession, df: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.98, window: int = WINDOW) -> DataFrame:
@@ -175,8 +233,20 @@ def near_duplicates(spark: SparkSession, df: DataFrame, cosine: float = 0.95, id
     scratch = Scratch(spark)
     rows = scratch.save(packed(df, id_col, vec_col).withColumn("cid", F.when(F.col("ok"), F.xxhash64("v"))), "vectors")
     classes = scratch.save(rows.filter("ok").groupBy("cid").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("m"), F.first("v").alias("v")), "classes")
-    links = candidate_links(spark, classes, classes.count(), cosine, recall, scratch, window)
-    label = components(spark, links, scratch)
+    n = classes.count()
+    done, links, wide = 0, None, window
+    while True:
+        passes = range(done, 2 * done or passes_for(n, cosine, recall, window))
+        more = candidate_links(spark, classes, n, cosine, passes, scratch, wide)
+        links = more if links is None else links.union(more)
+        label = components(spark, links, scratch)
+        done, share = passes.stop, measured_recall(classes, label, cosine, scratch)
+        if share >= recall:
+            break
+        if done * wide >= n:
+            warnings.warn(f"near duplicates: {share:.3f} of the sampled links are found after {done} passes", stacklevel=2)
+            break
+        wide = min(2 * wide, max(WIDEST, window))
     members = scratch.save(classes.join(label.withColumnRenamed("node", "cid"), "cid"), "members")
     counts = link_counts(spark, members, cosine, scratch)
     least = members.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -192,32 +262,41 @@ def link_counts(spark: SparkSession, members: DataFrame, cosine: float, scratch:
     half = math.acos(cosine) / 2 - 1e-7
 
     def sums(batches):
+        from pyspark import TaskContext
+
         for b in batches:
             if not b.num_rows:
                 continue
-            comp, x = b.column(0).to_numpy(), _unit(b.column(1).to_pylist())
-            names, inverse = np.unique(comp, return_inverse=True)
-            total = np.zeros((len(names), x.shape[1]))
-            np.add.at(total, inverse, x)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([t.tobytes() for t in total], pa.binary())], ["component", "s"])
+            sizes = np.asarray(pc.binary_length(b.column(1)))
+            for size in np.unique(sizes):  # a component's vectors are of one length
+                own = b.take(pa.array(np.flatnonzero(sizes == size)))
+                names, inverse = np.unique(own.column(0).to_numpy(), return_inverse=True)
+                total = np.zeros((len(names), size // 8))
+                np.add.at(total, inverse, _unit(own.column(1)))
+                group = np.full(len(names), TaskContext.get().partitionId() % 32, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(group), binary_rows(total, np.full(len(names), size))], ["component", "g", "s"])
 
     def add(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
         for b in batches:
-            for s in b.column("s").to_pylist():
-                total = total + np.frombuffer(s, "<f8")
+            total = total + matrix(b.column("s")).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array([keys[0].as_py()]), pa.array([total.tobytes()], pa.binary())], ["component", "s"])
 
     def inner(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            x, s = _unit(b.column("v").to_pylist()), np.frombuffer(b"".join(b.column("s").to_pylist()), "<f8").reshape(b.num_rows, -1)
-            size = np.linalg.norm(s, axis=1)
-            near = (x * s).sum(axis=1) >= math.cos(half) * size
-            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("component"), b.column("m"), b.column("v"), pa.array(near & (size > 0))], ["cid", "component", "m", "v", "core"])
+            sizes, near = np.asarray(pc.binary_length(b.column("v"))), np.zeros(b.num_rows, bool)
+            for length in np.unique(sizes):
+                at = np.flatnonzero(sizes == length)
+                own = b.take(pa.array(at))
+                x, s = _unit(own.column("v")), matrix(own.column("s"))
+                size = np.linalg.norm(s, axis=1)
+                near[at] = ((x * s).sum(axis=1) >= math.cos(half) * size) & (size > 0)
+            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("component"), b.column("m"), b.column("v"), pa.array(near)], ["cid", "component", "m", "v", "core"])
 
-    centre = members.select("component", "v").mapInArrow(sums, "component long, s binary").groupBy("component").applyInArrow(add, "component long, s binary")
+    # Tasks' sums are added in groups of tasks first, so that no task gets a row of every task for a large component.
+    centre = members.select("component", "v").mapInArrow(sums, "component long, g int, s binary").groupBy("component", "g").applyInArrow(add, "component long, s binary").groupBy("component").applyInArrow(add, "component long, s binary")
     rows = scratch.save(members.join(centre, "component").select("cid", "component", "m", "v", "s").mapInArrow(inner, "cid long, component long, m long, v binary, core boolean"), "core")
     sizes = rows.groupBy("component").agg(F.sum(F.when(F.col("core"), F.col("m")).otherwise(0)).alias("core_m"), F.count(F.lit(1)).alias("all"), F.sum(F.when(F.col("core"), 0).otherwise(1)).alias("outer"))
     rows = rows.join(sizes, "component")
@@ -237,11 +316,15 @@ def link_counts(spark: SparkSession, members: DataFrame, cosine: float, scratch:
         if not side.any() or side.all():
             return
         cid, m, core = t["cid"].to_numpy(), t["m"].to_numpy(), t["core"].to_numpy()
-        x = _unit(t["v"].to_pylist())
-        near = x[side] @ x[~side].T >= cosine
-        near &= cid[side][:, None] != cid[~side][None, :]
-        to_left, to_core = near @ m[~side], (m[side] @ near)[core[~side]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([cid[side], cid[~side][core[~side]]])), pa.array(np.concatenate([to_left, to_core]).astype(np.int64))], ["cid", "links"])
+        x = _unit(t["v"])
+        left, right, weight, of_right = x[side], x[~side], m[~side], np.zeros((~side).sum(), np.int64)
+        of_left = np.zeros(len(left), np.int64)
+        for s in range(0, len(left), STRIP):
+            near = linked(left[s : s + STRIP], right, cosine) & (cid[side][s : s + STRIP, None] != cid[~side][None, :])
+            of_left[s : s + STRIP] = near @ weight
+            of_right += m[side][s : s + STRIP] @ near
+        inner = core[~side]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([cid[side], cid[~side][inner]])), pa.array(np.concatenate([of_left, of_right[inner]]))], ["cid", "links"])
 
     pieces = left.unionByName(right).groupBy("component", "i", "j").applyInArrow(compare, "cid long, links long")
     return of_core.union(pieces).groupBy("cid").agg(F.sum("links").alias("links"))

@@ -165,11 +165,91 @@ def _headers(data: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:]) if k}
 
 
+class Inflated:
+    """What the gzip members from a place of a file on hold, one after the other: a member may have a record, many, or a part of one."""
+
+    def __init__(self, f, at: int):
+        f.seek(at)
+        self.f, self.inflater, self.feed, self.held = f, None, b"", b""
+
+    def _more(self) -> bytes:
+        while True:
+            if not self.feed:
+                self.feed = self.f.read(1 << 16)
+            if self.inflater is None:
+                if not self.feed.strip(b"\0"):  # the end, or padding behind a member
+                    if not self.feed:
+                        return b""
+                    self.feed = b""
+                    continue
+                self.inflater = zlib.decompressobj(31)
+            elif not self.feed:
+                raise ValueError("an archive ends in a gzip member")
+            out = self.inflater.decompress(self.feed, 1 << 16)
+            self.feed = self.inflater.unconsumed_tail
+            if self.inflater.eof:
+                self.feed, self.inflater = self.inflater.unused_data, None
+            if out:
+                return out
+
+    def head(self) -> bytes | None:
+        """Bytes up to the next empty line; None at the end."""
+        held = self.held.lstrip(b"\r\n")
+        while (cut := held.find(b"\r\n\r\n")) < 0:
+            more = self._more()
+            if not more:
+                if held.strip():
+                    raise ValueError("an archive ends in a record's headers")
+                return None
+            held = (held + more).lstrip(b"\r\n")
+        self.held = held[cut + 4 :]
+        return held[:cut]
+
+    def take(self, n: int, keep: bool = True) -> bytes:
+        parts, left = [], n
+        while left:
+            if not self.held:
+                self.held = self._more()
+                if not self.held:
+                    raise ValueError("an archive ends in a record's block")
+            part, self.held = self.held[:left], self.held[left:]
+            left -= len(part)
+            if keep:
+                parts.append(part)
+        return b"".join(parts)
+
+
+def _length(headers: dict[str, str]) -> int:
+    if not headers.get("content-length", "").isdigit():
+        raise ValueError("a record without a Content-Length")
+    return int(headers["content-length"])
+
+
+def _streamed(source: Inflated, wanted):
+    while (head := source.head()) is not None:
+        headers = _headers(head)
+        length = _length(headers)
+        read = 0
+
+        def block(limit=None, length=length):
+            nonlocal read
+            read = length if limit is None else min(limit, length)
+            return source.take(read)
+
+        if wanted(headers):
+            yield headers, block
+        source.take(length - read, keep=False)
+
+
 def records(f, start: int, end: int, wanted, packed: bool):
     """(headers, function that reads the block) of the records that ``wanted(headers)`` accepts.
 
     Headers come first; of a record that isn't wanted, or whose block isn't asked
-    for, the rest is stepped over.
+    for, the rest is stepped over: by its length where the gzip member names it,
+    else by inflating on. From the first member that names no length, a packed
+    file is read as one stream to its end, so that members of many records, as of
+    an archive that was packed as a whole, lose none. A file that ends within a
+    record, or holds anything else, is an error.
     """
     at = start
     while at < end:
@@ -178,76 +258,59 @@ def records(f, start: int, end: int, wanted, packed: bool):
         if not first:
             return
         if packed:
-            skip, size, body = None, None, 10
             if first[:2] != b"\x1f\x8b":
                 raise ValueError(f"no gzip member at byte {at}")
-            if first[3] == 4:
-                n = struct.unpack("<H", first[10:12])[0]
-                body = 12 + n
-                if first[12:14] == b"PL":
-                    size = struct.unpack("<Q", first[16:24])[0]
-            whole = size is not None
-            inflater = zlib.decompressobj(-15 if whole else 31)
-            feed, head = first[body:] if whole else first, b""
-            used = len(first)
+            if first[3] != 4 or first[12:14] != b"PL":
+                yield from _streamed(Inflated(f, at), wanted)
+                return
+            size, body = struct.unpack("<Q", first[16:24])[0], 12 + struct.unpack("<H", first[10:12])[0]
+            inflater = zlib.decompressobj(-15)
+            feed, head = first[body:], b""
             while b"\r\n\r\n" not in head:
                 head += inflater.decompress(feed, 4096)
                 feed = inflater.unconsumed_tail
                 if b"\r\n\r\n" not in head and not feed:
                     feed = f.read(65536)
-                    used += len(feed)
                     if not feed:
                         raise ValueError(f"a record at byte {at} ends in its headers")
             text, _, rest = head.partition(b"\r\n\r\n")
             headers = _headers(text)
-            length = int(headers["content-length"])
-            state = {"feed": feed, "used": used, "got": rest, "read": False}
 
-            def block(limit=None, keep=True, inflater=inflater, state=state, length=length):
-                state["read"] = True
-                parts, have = [state["got"][:length]], min(len(state["got"]), length)
+            def block(limit=None, inflater=inflater, feed=feed, rest=rest, length=_length(headers)):
                 goal = length if limit is None else min(limit, length)
+                parts, have = [rest], len(rest)
                 while have < goal:
-                    if not state["feed"]:
-                        state["feed"] = f.read(1 << 16)
-                        state["used"] += len(state["feed"])
-                        if not state["feed"]:
-                            raise ValueError("a record ends in its block")
-                    piece = inflater.decompress(state["feed"], min(1 << 16, length - have + 4))
-                    state["feed"] = inflater.unconsumed_tail
-                    have += len(piece)
-                    if keep:
-                        parts.append(piece)
+                    feed = feed or f.read(1 << 16)
+                    if not feed:
+                        raise ValueError("a record ends in its block")
+                    parts.append(inflater.decompress(feed, min(1 << 16, goal - have)))
+                    feed = inflater.unconsumed_tail
+                    have += len(parts[-1])
                 return b"".join(parts)[:goal]
 
             if wanted(headers):
                 yield headers, block
-            if whole:
-                at += size
-            else:
-                while not inflater.eof:
-                    if not state["feed"] and not (more := f.read(1 << 16)):
-                        break
-                    elif not state["feed"]:
-                        state["feed"], state["used"] = more, state["used"] + len(more)
-                    inflater.decompress(state["feed"], 1 << 16)
-                    state["feed"] = inflater.unconsumed_tail
-                at += state["used"] - len(inflater.unused_data if inflater.eof else state["feed"])
+            at += size
         else:
             text = first
-            while b"\r\n\r\n" not in text and (more := f.read(65536)):
+            while b"\r\n\r\n" not in text.lstrip(b"\r\n") and (more := f.read(65536)):
                 text += more
-            cut = text.index(b"\r\n\r\n")
-            headers = _headers(text[:cut])
-            length, begin = int(headers["content-length"]), at + cut + 4
-
-            def block(limit=None, keep=True, begin=begin, length=length):
+            gap = len(text) - len(text.lstrip(b"\r\n"))
+            if not text[gap:].strip():
+                return
+            cut = text.find(b"\r\n\r\n", gap)
+            if cut < 0:
+                raise ValueError(f"a record at byte {at} ends in its headers")
+            headers = _headers(text[gap:cut])
+            length, begin = _length(headers), at + cut + 4
+
+            def block(limit=None, begin=begin, length=length):
                 f.seek(begin)
                 return f.read(length if limit is None else min(limit, length))
 
             if wanted(headers):
                 yield headers, block
-            at = begin + length + 4
+            at = begin + length
 
 
 def _digest(value: str | None) -> str | None:

@@ -387,11 +387,17 @@ def test_round_trip_frame(spark, tokenizer):
 
 # -- licenses --
 
+GPL_HEADER = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+"""
+
 
 def test_license_scan_equals_sql(spark):
     lines = ["Licensed under the Apache License, Version 2.0.", "mit license mit license", "MIT-License!", "All rights reserved.", "This work is licensed under the GNU General Public License, version 3", "cc by cc by nc", "permission is hereby granted, free of charge, to any person obtaining a copy of this software and its documentation files", "", "é中 apache license", "x" * 20_000]
     rng = random.Random(12)
-    texts = ["\n".join(rng.choice(lines) + rng.choice(["", " and more"]) for _ in range(rng.randrange(0, 6))) for _ in range(60)] + [None, "", "mit license"]
+    texts = ["\n".join(rng.choice(lines) + rng.choice(["", " and more"]) for _ in range(rng.randrange(0, 6))) for _ in range(60)] + [None, "", "mit license", GPL_HEADER, GPL_HEADER.replace("program", "library").replace("GNU General", "GNU Lesser General")]
     df = frame(spark, texts, key=3, line="x", p="y")
     got = licenses.scan(spark, df).toPandas().sort_values("doc_id").reset_index(drop=True)
     c = duckdb.connect()
@@ -402,6 +408,15 @@ def test_license_scan_equals_sql(spark):
         assert [None if x != x else x for x in a] == [None if x is None or x != x else x for x in map(lambda v: None if str(v) == "<NA>" else v, b)], col
 
 
+def test_notices_are_found_over_line_ends_and_told_apart(spark):
+    mit = "Permission is hereby granted, free of charge, to any\n * person obtaining a copy of this software and\n * associated documentation files"
+    lesser = GPL_HEADER.replace("program", "library").replace("GNU General", "GNU Lesser General")
+    scattered = " ".join(f"{w} " + "filler " * 9 for w in "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files".split())
+    texts = [GPL_HEADER, mit, lesser, scattered, "x\n" * 500 + GPL_HEADER + "y " * 500 + mit]
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.scan(spark, frame(spark, texts)).collect()}
+    assert got == {0: {"gpl", "notice:gpl"}, 1: {"notice:mit"}, 2: {"notice:lgpl"}, 3: {""}, 4: {"gpl", "notice:gpl", "notice:mit"}}
+
+
 def test_license_scan_of_nothing_and_repeated_rows(spark):
     assert licenses.scan(spark, spark.createDataFrame([], DOCS)).count() == 0
     df = spark.createDataFrame([(1, "mit license"), (1, "mit license"), (None, "apache license")], "doc_id long, text string")

@@ -99,6 +99,21 @@ def test_top_k_of_few_rows_ties_and_none(spark):
     assert topk.top_k(spark, all_.limit(0), all_.limit(0), 3).count() == 0
 
 
+def test_top_k_of_repeated_rows_small_blocks_and_huge_components(spark):
+    rng = np.random.default_rng(9)
+    x = rng.integers(-50, 50, (90, 5)).astype(float)
+    rows = [(int(i % 70), v.tolist()) for i, v in enumerate(x)] + [(7, [1.0] * 5)] * 40
+    all_ = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), "vec_id", "embedding", 1).persist()
+    got = topk.top_k(spark, all_, all_.filter("vec_id in (0, 7)"), 9, block_rows=16).toPandas()
+    flat = [(i, np.array(v)) for i, v in rows]
+    queries = {(i, tuple(v)) for i, v in flat if i in (0, 7)}
+    want = sorted((i, r + 1, j, -s) for i, q in queries for r, (s, j) in enumerate(sorted((-int(np.dot(v, q)), j) for j, v in flat if j != i)[:9]))
+    assert sorted(map(tuple, got[["query_id", "rank", "vec_id", "score"]].to_numpy().tolist())) == want
+    huge = spark.createDataFrame([(1, [1e300, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        topk.quantised(huge, "vec_id", "embedding", 1024).count()
+
+
 # -- archives --
 
 
@@ -153,9 +168,18 @@ def test_predicates_are_pushed_and_payloads_left(spark):
 def test_foreign_archives():
     rows = [warc.record_bytes(dict(record_id=str(i), record_type="response", target_uri="u", warc_date=None, payload=b"p" * i * 3000, payload_digest=None, payload_length=None, refers_to=None)) for i in range(4)]
     plain, packed = b"".join(rows), b"".join(map(gzip.compress, rows))
-    for data, gz in ((plain, False), (packed, True)):
+    # A member of all records, of two, of halves of one, and members of ours before foreign ones.
+    whole, pairs = gzip.compress(plain), gzip.compress(rows[0] + rows[1]) + gzip.compress(rows[2] + rows[3])
+    halves = b"".join(gzip.compress(plain[i : i + 700]) for i in range(0, len(plain), 700))
+    mixed = warc.member(rows[0]) + gzip.compress(rows[1] + rows[2]) + warc.member(rows[3]) + b"\0" * 512
+    for data, gz in ((plain, False), (packed, True), (whole, True), (pairs, True), (halves, True), (mixed, True)):
         found = [len(block().partition(b"\r\n\r\n")[2]) for _, block in warc.records(io.BytesIO(data), 0, len(data), lambda h: True, gz)]
         assert found == [0, 3000, 6000, 9000]
+        one = [len(block(limit=100)) for _, block in warc.records(io.BytesIO(data), 0, len(data), lambda h: h["warc-record-id"] in ("<1>", "<3>"), gz)]
+        assert one == [100, 100]
+    for cut in (whole[:-200], packed[:-30]):
+        with pytest.raises(ValueError):
+            list(warc.records(io.BytesIO(cut), 0, len(cut), lambda h: True, True))
 
 
 def test_archives_are_split_and_failed_files_left_out(spark):
