@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .textkernel import trim
 
 #: Rows and bytes of texts that go to a Python worker at once, where the session doesn't say otherwise.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -229,22 +229,26 @@ def summed_sketch(df: DataFrame, fn, length: int, finish=None, kind: str = "<u8"
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([k // piece], pa.int32()), pa.array([group], pa.int32()), pa.array([part.astype("<u8").tobytes()], pa.binary())], ["k", "g", "v"])
 
-    def add(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(piece, np.uint64)
-        for b in batches:
-            for v in b.column("v"):
-                got = np.frombuffer(v.as_py(), "<u8")
-                total[: len(got)] += got
-        yield pa.RecordBatch.from_arrays([pa.array([keys[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["k", "v"])
+    def add(end):
+        def runs(batches):
+            # Rows come in the order of their keys; plain streams, as grouped ones would load more into each worker.
+            now, total = None, np.zeros(piece, np.uint64)
+            for b in batches:
+                for *key, v in zip(*(b.column(i).to_pylist() for i in range(b.num_columns - 1)), b.column("v"), strict=True):
+                    if key != now:
+                        if now is not None:
+                            yield pa.RecordBatch.from_arrays([pa.array(now[:1], pa.int32()), pa.array([end(total).tobytes()], pa.binary())], ["k", "v"])
+                        now, total = key, np.zeros(piece, np.uint64)
+                    got = np.frombuffer(v.as_buffer(), "<u8")
+                    total[: len(got)] += got
+            if now is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(now[:1], pa.int32()), pa.array([end(total).tobytes()], pa.binary())], ["k", "v"])
+
+        return runs
 
     parts = df.mapInArrow(per_task, "k int, g int, v binary")
-    def last(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in add(keys, batches):
-            total = np.frombuffer(b.column("v")[0].as_py(), "<u8")
-            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array([(finish(total) if finish else total).astype(kind).tobytes()], pa.binary())], ["k", "v"])
-
-    parts = parts.groupBy("k", "g").applyInArrow(add, "k int, v binary")
-    parts = parts.groupBy("k").applyInArrow(last, "k int, v binary")
+    parts = parts.repartition("k", "g").sortWithinPartitions("k", "g").mapInArrow(add(lambda t: t.astype("<u8")), "k int, v binary")
+    parts = parts.repartition("k").sortWithinPartitions("k").mapInArrow(add(lambda t: (finish(t) if finish else t).astype(kind)), "k int, v binary")
     out = np.zeros(length, kind)
     for row in parts.toLocalIterator():  # length / piece rows
         got = np.frombuffer(row["v"], kind)

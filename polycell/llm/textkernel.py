@@ -64,7 +64,8 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def trim() -> None:
-    """Gives freed memory back to the system, where the C library can: workers stay, idle, beside those of other stages."""
+    """Gives freed memory back to the system, Arrow's and, where it can, the C library's: workers stay, idle, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
