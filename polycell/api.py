@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .operators import construct, incremental, integrate, mesh, search, validate
 from .operators.periodic import PeriodicMesh
 from .operators.spherical import SphericalMesh
+from .operators.state import released, settled
 from .plans.boundary import Boundary, check_nodes
 
 __all__ = ["Integral", "PeriodicMesh", "SphericalMesh", "VoronoiMesh"]
@@ -24,6 +25,7 @@ class VoronoiMesh:
         self.boundary, self.strategy = boundary, strategy
         self.state: incremental.Mesh | None = None
         self.version, self.changed = 0, None
+        self._near, self._stale = None, None
 
     @classmethod
     def from_df(cls, nodes: DataFrame, boundary: Boundary | None = None, strategy: str = "auto") -> VoronoiMesh:
@@ -36,6 +38,7 @@ class VoronoiMesh:
     def compute(self) -> VoronoiMesh:
         self.state = incremental.build(self.nodes, self.boundary, self.strategy)
         self.version, self.changed = self.version + 1, None
+        self._near, self._stale = None, None
         return self
 
     def _built(self) -> incremental.Mesh:
@@ -52,7 +55,20 @@ class VoronoiMesh:
         return self._built().infinite_edges
 
     def neighbours(self) -> DataFrame:
-        return mesh.neighbours(self.vertices, self.dim, self.infinite_edges)
+        """(cell, neighbour), kept from one call to the next; after a change only the cells that it touched are looked at again."""
+        self._built()
+        if self._near is None:
+            self._near = mesh.neighbours(self.vertices, self.dim, self.infinite_edges).persist()
+        elif self._stale is not None:
+            dirty = self._stale.select(F.col("id").alias("cell"))
+            touch = lambda rows: rows.join(rows.select("sigma", F.explode("sigma").alias("cell")).join(dirty, "cell", "left_semi").select("sigma").distinct(), "sigma", "left_semi")
+            fresh = mesh.neighbours(touch(self.vertices), self.dim, touch(self.infinite_edges)).join(dirty, "cell", "left_semi")
+            alive = self.nodes.select(F.col("id").alias("cell"))
+            kept = self._near.join(dirty, "cell", "left_anti").join(alive, "cell", "left_semi")
+            before, self._near = self._near, settled(kept.unionByName(fresh))
+            released(before)
+        self._stale = None
+        return self._near
 
     def adjacency(self) -> DataFrame:
         return mesh.adjacency(self.vertices)
@@ -63,8 +79,9 @@ class VoronoiMesh:
     def _moved(self, state: incremental.Mesh, report: incremental.Report) -> incremental.Report:
         self.state, self.nodes = state, state.nodes
         self.version += 1
-        now = incremental.dirty(report.appended, report.affected)
-        self.changed = now if self.changed is None else incremental.dirty(self.changed, now)
+        now = settled(incremental.dirty(report.appended, report.affected))
+        self.changed = now if self.changed is None else settled(incremental.dirty(self.changed, now))
+        self._stale = now if self._stale is None else settled(incremental.dirty(self._stale, now))
         return report
 
     def refine(self, new: DataFrame) -> incremental.Report:
@@ -95,12 +112,14 @@ class Integral:
     version: int = -1
     running: bool = False
     source: Integral | None = None
+    raw: tuple | None = None
 
-    def integrate(self, algorithm: str = "fast_polygon", rays: int = 1000, force_source_update: bool = False) -> int:
+    def integrate(self, algorithm: str | integrate.Algorithm = "fast_polygon", rays: int = 1000, force_source_update: bool = False) -> int:
         """Runs the algorithm and returns the number of cells that were updated.
 
         With a source, ``heuristic`` takes volumes and areas from it. A source that
         is older than the mesh is an error, or is updated first if that is asked for.
+        An ``integrate.Algorithm`` of one's own takes the place of a name.
         """
         if self.running:
             raise RuntimeError("an integral depends on itself")
@@ -128,38 +147,49 @@ class Integral:
         self.cells, self.interfaces, self.version = self.cells.persist(), self.interfaces.persist(), m.version
         return self.cells.count()
 
-    def _run(self, algorithm: str, rays: int) -> int:
+    def _run(self, algorithm: str | integrate.Algorithm, rays: int) -> int:
         m = self.owner
         m._built()
         if self.version == m.version:
             return 0
         d, neighbours = m.dim, m.neighbours()
-        todo = m.nodes.select("id") if self.cells is None or m.changed is None else m.changed.join(m.nodes.select("id"), "id", "left_semi")
+        fresh = self.cells is None or m.changed is None
+        todo = m.nodes.select("id") if fresh else settled(m.changed.join(m.nodes.select("id"), "id", "left_semi"))
+        alive = m.nodes.select(F.col("id").alias("cell"))
+        mine = todo.select(F.col("id").alias("cell"))
+
+        def merged(old: DataFrame, new: DataFrame) -> DataFrame:
+            """Results with the new ones in the place of those of changed cells."""
+            return new if fresh else settled(old.join(alive, "cell", "left_semi").join(mine, "cell", "left_anti").unionByName(new))
+
         if algorithm in ("monte_carlo", "heuristic_mc"):
-            own = neighbours.join(todo.select(F.col("id").alias("cell")), "cell", "left_semi")
-            cells, interfaces = integrate.monte_carlo(m.nodes, own, m.boundary, d, rays, self.f if algorithm == "monte_carlo" else None)
-            cells, interfaces = integrate.symmetrised(m.nodes, cells, interfaces, d)
+            own = neighbours.join(mine, "cell", "left_semi")
+            raw = integrate.monte_carlo(m.nodes, own, m.boundary, d, rays, self.f if algorithm == "monte_carlo" else None)
+            # Sides are averaged over all cells: what an unchanged cell was cast to is kept for that.
+            self.raw = tuple(merged(old, settled(new)) for old, new in zip(self.raw or raw, raw, strict=True))
+            cells, interfaces = integrate.symmetrised(m.nodes, *self.raw, d)
             if algorithm == "heuristic_mc":
                 if self.f is None:
                     raise ValueError("heuristic_mc needs an integrand")
                 cells, interfaces = integrate.heuristic_mc(m.nodes, m.vertices, cells, interfaces, d, self.f, m.boundary)
+            whole = True
+        elif isinstance(algorithm, integrate.Algorithm):
+            cells, interfaces = integrate.custom(algorithm, m.nodes, m.vertices, todo)
+            whole = fresh
         else:
-            rows = integrate.exact(m.nodes, m.vertices, self.f, algorithm, todo).persist()
+            rows = settled(integrate.exact(m.nodes, m.vertices, self.f, algorithm, None if fresh else todo))
             cells = rows.filter("neighbour is null").select("cell", F.col("measure").alias("volume"), F.col("integral").alias("bulk"))
             interfaces = rows.filter("neighbour is not null").select("cell", "neighbour", F.col("measure").alias("area"), "integral")
-        size = 0
-        if self.f is not None and not m.infinite_edges.isEmpty():
-            size = cells.select(F.max(F.size("bulk"))).first()[0] or 0
-        cells, interfaces = integrate.finalised(cells, interfaces, m.infinite_edges, neighbours, size)
-        cells, interfaces = cells.persist(), interfaces.persist()
-        changed = cells.count()
-        if self.cells is not None and m.changed is not None:
-            alive = m.nodes.select(F.col("id").alias("cell"))
-            gone = cells.select("cell")
-            cells = self.cells.join(alive, "cell", "left_semi").join(gone, "cell", "left_anti").unionByName(cells)
-            interfaces = self.interfaces.join(alive, "cell", "left_semi").join(gone, "cell", "left_anti").unionByName(interfaces)
-        self.cells, self.interfaces, self.version = cells, interfaces, m.version
-        return changed
+            whole = fresh
+        if not m.infinite_edges.isEmpty():
+            size = cells.select(F.max(F.size("bulk"))).first()[0] or 0 if self.f is not None else 0
+            cells, interfaces = integrate.finalised(cells, interfaces, m.infinite_edges, neighbours, size)
+            if not whole:
+                cells, interfaces = cells.join(mine, "cell", "left_semi"), interfaces.join(mine, "cell", "left_semi")
+        if not whole:
+            cells, interfaces = merged(self.cells, cells), merged(self.interfaces, interfaces)
+        self.cells, self.interfaces, self.version = cells.persist(), interfaces.persist(), m.version
+        return todo.count()
 
     def kept(self) -> tuple[DataFrame, DataFrame]:
         """Results by the storage options."""

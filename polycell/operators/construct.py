@@ -1,10 +1,11 @@
 """Construction of Voronoi tables from generators and planes.
 
-Cells don't depend on each other, so each is built in one kernel call. Where the
-generators fit ``BROADCAST_NODES`` rows they are broadcast, and cells need no
-shuffle at all. Beyond, space is cut to bins: a bin's task gets its own cells and
-the generators of the bins around; a cell is certified if the ball of twice its
-farthest vertex lies in what was seen, others are tried again with a wider ring.
+Cells are built in groups of near ones, a kernel call for each, so that vertices that
+they share are made once. Where the generators fit ``BROADCAST_NODES`` rows they are
+broadcast, and cells need no shuffle at all: groups come from cutting the points in
+halves again and again. Beyond, space is cut to bins: a bin's task gets its own cells
+and the generators within a margin around. A cell is certified if the ball of twice
+its farthest vertex lies in what was seen; others are tried again with a wider margin.
 
 Tables: vertices(sigma, position), infinite_edges(sigma, origin, direction). sigma
 is sorted; boundary planes appear as -1 - plane. A vertex is emitted by the cell of
@@ -22,9 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.boundary import Boundary
-from .kernel import TOL, cell_of
+from .kernel import TOL, Group, NoVertex, Walk, reach_of
 
 BROADCAST_NODES = 200_000
+#: Cells of a group by dimension, and generators up to which a group looks at all of them.
+GROUP_CELLS, ALL_SEEN = {1: 4000, 2: 2000, 3: 600, 4: 250}, 4096
 SCHEMA = "cell long, kind string, sigma array<long>, position array<double>, direction array<double>"
 
 
@@ -33,27 +36,94 @@ def _arrays(boundary: Boundary | None, d: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p.base for p in planes]).reshape(-1, d), np.array([p.normal for p in planes]).reshape(-1, d)
 
 
-def _emit(i: int, x: np.ndarray, ids: np.ndarray, points: np.ndarray, bases, normals, tol: float, all_of: bool):
-    """Rows of a cell, and its farthest vertex; it is infinite for an unbounded cell."""
-    cell, names = cell_of(x, ids, points, bases, normals, tol)
-    rows = []
-    for t, p in zip(cell.tight, cell.points, strict=True):
-        sigma = np.sort(np.append(names[list(t)], i))
-        if all_of or sigma[sigma >= 0][0] == i:
-            rows.append((i, "vertex", sigma, p, None))
-    for t, o, u in cell.rays:
-        sigma = np.sort(np.append(names[list(t)], i))
-        if all_of or sigma[sigma >= 0][0] == i:
-            rows.append((i, "edge", sigma, o, u))
-    reach = np.inf if cell.rays else 2 * np.linalg.norm(cell.points - x, axis=1).max()
-    return rows, reach
-
-
-def _batch(rows: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.float64())), pa.array([r[4] for r in rows], pa.list_(pa.float64()))],
-        ["cell", "kind", "sigma", "position", "direction"],
-    )
+def _lists(flat: np.ndarray, sizes, kind) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat.reshape(-1), kind))
+
+
+def _batch(cell, kind: str, sigma: np.ndarray, sizes, position: np.ndarray, direction: np.ndarray | None = None) -> pa.RecordBatch:
+    n, d = len(cell), position.shape[1] if len(position) else 0
+    direction = _lists(direction, np.full(n, d), pa.float64()) if direction is not None else pa.nulls(n, pa.list_(pa.float64()))
+    columns = [pa.array(cell, pa.int64()), pa.array([kind] * n, pa.string()), _lists(sigma, sizes, pa.int64()), _lists(position, np.full(n, d), pa.float64()), direction]
+    return pa.RecordBatch.from_arrays(columns, ["cell", "kind", "sigma", "position", "direction"])
+
+
+def _named(s: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Sorted names of members: ids of generators, -1 - plane of planes."""
+    n = len(ids)
+    return np.sort(np.where(s < n, ids[np.minimum(s, n - 1)], n - 1 - s), axis=-1)
+
+
+def _emit(group: Group, ids: np.ndarray, cells: np.ndarray, all_of: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of the cells (ids): of each vertex and unbounded edge one for its smallest generator, or for each (all_of)."""
+    wanted = np.sort(cells)
+    if not len(wanted):
+        return
+
+    def rows(names: np.ndarray):
+        """(row, cell) of what is emitted."""
+        if not all_of:
+            names = np.where(names >= 0, names, np.iinfo(np.int64).max).min(axis=1)[:, None]
+        at = np.minimum(np.searchsorted(wanted, names), len(wanted) - 1)
+        return np.nonzero(wanted[at] == names)[0], names[wanted[at] == names]
+
+    if len(group.plain):
+        names = _named(group.plain, ids)
+        at, cell = rows(names)
+        if len(at):
+            yield _batch(cell, "vertex", names[at], np.full(len(at), names.shape[1]), group.points[at])
+    wide = [("vertex", s, p, None) for s, p in zip(group.wide, group.wide_points, strict=True)] + [("edge", *r) for r in group.rays]
+    for kind in ("vertex", "edge"):
+        out = []
+        for k, s, p, u in wide:
+            if k == kind:
+                names = _named(s, ids)
+                out += [(c, names, p, u) for c in rows(names[None, :])[1]]
+        if out:
+            u = np.array([r[3] for r in out]) if kind == "edge" else None
+            yield _batch([r[0] for r in out], kind, np.concatenate([r[1] for r in out]), [len(r[1]) for r in out], np.array([r[2] for r in out]), u)
+
+
+def halves(points: np.ndarray, size: int) -> list[np.ndarray]:
+    """Places of the points in groups of near ones, of ``size`` at most: cut at the middle of the longest side, again and again."""
+    out, todo = [], [np.arange(len(points))]
+    while todo:
+        at = todo.pop()
+        if len(at) <= size:
+            out.append(at)
+            continue
+        x = points[at]
+        order = at[np.argsort(x[:, int(np.ptp(x, axis=0).argmax())], kind="stable")]
+        todo += [order[: len(at) // 2], order[len(at) // 2 :]]
+    return out
+
+
+def _near(own: np.ndarray, points: np.ndarray, bases, normals, tol: float) -> Iterator[tuple[Group, np.ndarray, np.ndarray]]:
+    """(cells, places of the generators seen, certified own cells) until all own cells are done; a group sees more of the generators each time."""
+    n, d = points.shape
+    seen = n if n <= ALL_SEEN else 40 * 4 ** min(d, 5) + 4 * len(own)
+    while len(own):
+        if seen >= n:
+            at, room = np.arange(n), np.inf
+        else:
+            centre = points[own].mean(axis=0)
+            far = np.linalg.norm(points - centre, axis=1)
+            at = np.argpartition(far, seen)[: seen + 1]
+            room = far[at].max()
+            at = np.union1d(at, own)
+        place = np.searchsorted(at, own)
+        try:
+            group = Walk(place, points[at], bases, normals, tol).cells()
+        except NoVertex:
+            if seen >= n:
+                raise
+            seen *= 4
+            continue
+        if seen >= n:
+            yield group, at, own
+            return
+        sure = np.linalg.norm(points[own] - centre, axis=1) + reach_of(group, place, points[at]) <= room
+        yield group, at, own[sure]
+        own, seen = own[~sure], 4 * seen
 
 
 def dimension(nodes: DataFrame) -> int:
@@ -78,53 +148,50 @@ def cell_rows(nodes: DataFrame, boundary: Boundary | None = None, cells: DataFra
     spark, d = nodes.sparkSession, dimension(nodes)
     bases, normals = _arrays(boundary, d)
     n = nodes.count()
-    own = nodes.select("id", "coords")
-    if cells is not None:
-        own = own.join(cells.select("id").distinct(), "id", "left_semi")
     if strategy == "broadcast" or strategy == "auto" and n <= BROADCAST_NODES:
         got = nodes.select("id", "coords").toArrow()  # not more than BROADCAST_NODES rows, unless asked for
-        shared = spark.sparkContext.broadcast((got["id"].to_numpy(), np.array(got["coords"].to_pylist()).reshape(-1, d)))
+        ids, points = got["id"].to_numpy(), got["coords"].combine_chunks().flatten().to_numpy().reshape(-1, d)
+        order = np.argsort(ids)
+        ids, points = ids[order], points[order]
+        own = np.arange(n) if cells is None else np.flatnonzero(np.isin(ids, cells.select("id").distinct().toArrow()["id"].to_numpy()))
+        if not len(own):
+            return spark.createDataFrame([], SCHEMA)
+        wide = max(1, min(GROUP_CELLS.get(d, 125), -(-len(own) // spark.sparkContext.defaultParallelism)))
+        groups = [own[g] for g in halves(points[own], wide)]
+        shared = spark.sparkContext.broadcast((ids, points, groups))
 
         def build(batches):
-            ids, points = shared.value
-            order = {int(i): k for k, i in enumerate(ids)}
+            ids, points, groups = shared.value
             for b in batches:
-                for s in range(0, b.num_rows, 64):
-                    rows = []
-                    for i in b.column(0).slice(s, 64).to_pylist():
-                        k = order[i]
-                        keep = np.arange(len(ids)) != k
-                        rows += _emit(i, points[k], ids[keep], points[keep], bases, normals, tol, all_of)[0]
-                    yield _batch(rows)
-
-        parts = max(1, min(n, max(spark.sparkContext.defaultParallelism * 4, n // 2000)))
-        return own.repartition(parts, "id").mapInArrow(build, SCHEMA)
-    return _by_bins(own, nodes, n, d, bases, normals, tol, all_of)
+                for k in b.column(0).to_pylist():
+                    for group, at, sure in _near(groups[k], points, bases, normals, tol):
+                        yield from _emit(group, ids[at], ids[sure], all_of)
 
-
-def stepped(bin_col: str, axis: int, by: str):
-    """A bin moved along one axis."""
-    return F.transform(bin_col, lambda x, i: F.when(i == axis, x + F.col(by)).otherwise(x))
+        return spark.range(0, len(groups), 1, len(groups)).mapInArrow(build, SCHEMA)
+    own = nodes.select("id", "coords")
+    if cells is not None:
+        own = own.join(cells.select("id").distinct(), "id", "left_semi")
+    return _by_bins(own, nodes, n, d, bases, normals, tol, all_of)
 
 
-def _by_bins(own: DataFrame, nodes: DataFrame, n: int, d: int, bases, normals, tol: float, all_of: bool, per_bin: int = 64) -> DataFrame:
+def _by_bins(own: DataFrame, nodes: DataFrame, n: int, d: int, bases, normals, tol: float, all_of: bool, per_bin: int = 2048) -> DataFrame:
+    """Bins of about per_bin generators; a generator goes to the bins that lie within a margin of it, a few mean distances at first."""
     box = nodes.select(F.posexplode("coords").alias("axis", "x")).groupBy("axis").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("axis").collect()
     lo, hi = np.array([r["lo"] for r in box]), np.array([r["hi"] for r in box])
-    side = max(float((hi - lo).max()), 1e-300) / max(1.0, math.floor((n / per_bin) ** (1 / d)))
-    shift = F.array(*[F.lit(float(x)) for x in lo])
-    bin_of = F.transform(F.zip_with("coords", shift, lambda x, o: x - o), lambda x: F.floor(x / side))
-    out, left, ring = None, own.withColumn("bin", bin_of), 1
-    counts = np.floor((hi - lo) / side) + 1
+    span = max(float((hi - lo).max()), 1e-300)
+    side = span / max(1.0, math.floor((n / per_bin) ** (1 / d)))
+    margin = 3 * side / per_bin ** (1 / d)
+    at = lambda x, axis, by=0.0: F.floor((x - float(lo[axis]) + by) / side)
+    out, left = None, own.withColumn("bin", F.array(*[at(F.col("coords")[k], k) for k in range(d)]))
     while True:
-        around = F.array(*[F.lit(k) for k in range(-ring, ring + 1)])
-        spread = nodes.select("id", "coords", bin_of.alias("at"))
+        cover = margin >= span
+        spread = nodes.select("id", "coords", F.array().cast("array<bigint>").alias("bin"))
         for axis in range(d):
-            spread = spread.withColumn("step", F.explode(around)).withColumn("at", stepped("at", axis, "step")).drop("step")
+            x = F.col("coords")[axis]
+            spread = spread.withColumn("step", F.explode(F.sequence(at(x, axis, -margin), at(x, axis, margin)))).withColumn("bin", F.concat("bin", F.array("step"))).drop("step")
         wanted = left.select("bin").distinct()
-        seen = spread.withColumnRenamed("at", "bin").join(wanted, "bin", "left_semi").select("bin", "id", "coords", F.lit(False).alias("own"))
-        cover = bool(ring >= counts.max())
-
-        build = _bin_builder(ring, cover, lo, hi, side, d, bases, normals, tol, all_of)
+        seen = spread.join(wanted, "bin", "left_semi").select("bin", "id", "coords", F.lit(False).alias("own"))
+        build = _bin_builder(margin, cover, lo, hi, side, d, bases, normals, tol, all_of)
         made = left.select("bin", "id", "coords", F.lit(True).alias("own")).unionByName(seen).groupBy("bin").applyInArrow(build, SCHEMA).persist()
         done = made.filter("kind <> 'retry'")
         out = done if out is None else out.unionByName(done)
@@ -132,30 +199,35 @@ def _by_bins(own: DataFrame, nodes: DataFrame, n: int, d: int, bases, normals, t
         if cover or again.isEmpty():
             return out
         left = left.join(again, "id", "left_semi")
-        ring *= 2
+        margin *= 2
 
 
-def _bin_builder(ring: int, cover: bool, lo, hi, side: float, d: int, bases, normals, tol: float, all_of: bool):
+def _bin_builder(margin: float, cover: bool, lo, hi, side: float, d: int, bases, normals, tol: float, all_of: bool):
     def build(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches))  # a bin and its ring
-        ids, points, mine = t["id"].to_numpy(), np.array(t["coords"].to_pylist()).reshape(-1, d), t["own"].to_numpy(zero_copy_only=False)
+        t = pa.Table.from_batches(list(batches))  # a bin and its margin
+        ids, mine = t["id"].to_numpy(), t["own"].to_numpy()
+        points = t["coords"].combine_chunks().flatten().to_numpy().reshape(-1, d)
+        wanted = ids[mine]
+        ids, points = ids[~mine], points[~mine]
+        order = np.argsort(ids)
+        ids, points = ids[order], points[order]
+        own = np.searchsorted(ids, wanted)
         at = np.array(keys[0].as_py())
-        low, high = lo + (at - ring) * side, lo + (at + ring + 1) * side
-        all_ids, all_points = ids[~mine], points[~mine]
-        for i, x in zip(ids[mine], points[mine], strict=True):
-            keep = all_ids != i
-            # Beyond the seen bins on a side where the generators end, there is nothing to see.
-            room = np.concatenate([np.where(low <= lo, np.inf, x - low), np.where(high > hi, np.inf, high - x)]).min()
-            try:
-                rows, reach = _emit(int(i), x, all_ids[keep], all_points[keep], bases, normals, tol, all_of)
-            except ValueError:
-                if cover:
-                    raise
-                rows, reach = [], np.inf
-            if cover or reach <= room:
-                yield _batch(rows)
-            else:
-                yield _batch([(int(i), "retry", None, None, None)])
+        low, high = lo + at * side - margin, lo + (at + 1) * side + margin
+        # Beyond what was seen, on a side where the generators end, there is nothing to see.
+        x = points[own]
+        room = np.minimum(np.where(low <= lo, np.inf, x - low), np.where(high > hi, np.inf, high - x)).min(axis=1)
+        try:
+            group = Walk(own, points, bases, normals, tol).cells()
+            sure = np.full(len(own), True) if cover else reach_of(group, own, points) <= room
+            yield from _emit(group, ids, ids[own[sure]], all_of)
+        except NoVertex:
+            if cover:
+                raise
+            sure = np.zeros(len(own), bool)
+        if not sure.all():
+            lost = ids[own[~sure]]
+            yield pa.RecordBatch.from_arrays([pa.array(lost), pa.array(["retry"] * len(lost)), *(pa.nulls(len(lost), pa.list_(k)) for k in (pa.int64(), pa.float64(), pa.float64()))], ["cell", "kind", "sigma", "position", "direction"])
 
     return build
 

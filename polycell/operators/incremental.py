@@ -11,12 +11,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..plans.boundary import Boundary
-from .construct import cell_rows, infinite_edges, vertices
+from .construct import BROADCAST_NODES, cell_rows, infinite_edges, vertices
+from .state import settled
 
 TIE = 1e-10
 
@@ -48,44 +51,67 @@ def _ids(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode("sigma").alias("id")).filter("id >= 0").distinct()
 
 
+def reached(vertices: DataFrame, new: DataFrame) -> DataFrame:
+    """Those rows (position, r, ...) that a new generator is as near to as r, within a tolerance."""
+    if new.limit(BROADCAST_NODES + 1).count() > BROADCAST_NODES:
+        return vertices.join(new.select(F.col("coords").alias("y")), vec.distance("position", "y") <= F.col("r") + TIE, "left_semi")
+    # The change set is the small side of a transaction.
+    got = new.select("coords").toArrow()["coords"].combine_chunks()
+    shared = vertices.sparkSession.sparkContext.broadcast(got.flatten().to_numpy().reshape(len(got), -1))
+
+    def test(batches):
+        y = shared.value
+        for b in batches:
+            x = b.column("position").flatten().to_numpy().reshape(b.num_rows, -1)
+            near = np.full(len(x), np.inf)
+            for s in range(0, len(y), 256):
+                part = np.zeros((len(x), len(y[s : s + 256])))
+                for k in range(x.shape[1]):
+                    part += (x[:, k, None] - y[None, s : s + 256, k]) ** 2
+                near = np.minimum(near, part.min(axis=1)) if part.size else near
+            yield b.filter(pa.array(np.sqrt(near) <= b.column("r").to_numpy() + TIE))
+
+    return vertices.mapInArrow(test, vertices.schema)
+
+
 def invalidated(mesh: Mesh, new: DataFrame) -> DataFrame:
     """Vertices that a new generator is as near to as their own, within a tolerance."""
     own = mesh.nodes.select(F.col("id").alias("g"), F.col("coords").alias("x"))
     v = mesh.vertices.withColumn("g", F.element_at(F.filter("sigma", lambda s: s >= 0), 1)).join(own, "g").withColumn("r", vec.distance("position", "x"))
-    # The change set is the small side of each transaction.
-    return v.join(new.select(F.col("coords").alias("y")), vec.distance("position", "y") <= F.col("r") + TIE, "left_semi").select("sigma", "position")
+    return reached(v.select("sigma", "position", "r"), new).select("sigma", "position")
 
 
 def refine(mesh: Mesh, new: DataFrame) -> tuple[Mesh, Report]:
-    gone = invalidated(mesh, new).persist()
-    nodes = mesh.nodes.unionByName(new.select(*mesh.nodes.columns)).persist()
-    rows = cell_rows(nodes, mesh.boundary, new.select("id"), all_of=True).persist()
+    gone = settled(invalidated(mesh, new))
+    nodes = settled(mesh.nodes.unionByName(new.select(*mesh.nodes.columns)))
+    rows = settled(cell_rows(nodes, mesh.boundary, new.select("id"), all_of=True))
     made = vertices(rows).dropDuplicates(["sigma"])
     near = _ids(vertices(rows)).union(_ids(gone)).union(_ids(infinite_edges(rows))).distinct()
     # An unbounded edge may end or move without a vertex that says so: its cells are asked again.
     open_cells = _ids(mesh.infinite_edges)
     redo = cell_rows(nodes, mesh.boundary, open_cells, all_of=True)
-    edges = infinite_edges(redo).unionByName(infinite_edges(rows)).dropDuplicates(["sigma"])
+    edges = settled(infinite_edges(redo).unionByName(infinite_edges(rows)).dropDuplicates(["sigma"]))
     kept = mesh.vertices.join(gone.select("sigma"), "sigma", "left_anti")
-    out = kept.unionByName(made).dropDuplicates(["sigma"])
-    old = near.join(new.select("id"), "id", "left_anti")
+    out = settled(kept.unionByName(made).dropDuplicates(["sigma"]))
+    old = settled(near.join(new.select("id"), "id", "left_anti"))
     return Mesh(nodes, out, edges, mesh.boundary), Report(new.select("id"), old, gone, made)
 
 
 def remove(mesh: Mesh, ids: DataFrame) -> tuple[Mesh, Report]:
-    gone = ids.select("id")
-    nodes = mesh.nodes.join(gone, "id", "left_anti").persist()
+    gone = settled(ids.select("id"))
+    nodes = settled(mesh.nodes.join(gone, "id", "left_anti"))
 
     def touching(rows: DataFrame) -> DataFrame:
         return rows.select("sigma", F.explode("sigma").alias("id")).join(gone, "id", "left_semi").select("sigma").distinct()
 
     hit, hit_edges = touching(mesh.vertices), touching(mesh.infinite_edges)
-    affected = _ids(mesh.vertices.join(hit, "sigma", "left_semi")).union(_ids(mesh.infinite_edges.join(hit_edges, "sigma", "left_semi"))).distinct().join(gone, "id", "left_anti").persist()
-    rows = cell_rows(nodes, mesh.boundary, affected, all_of=True).persist()
+    lost = settled(mesh.vertices.join(hit, "sigma", "left_semi"))
+    affected = settled(_ids(lost).union(_ids(mesh.infinite_edges.join(hit_edges, "sigma", "left_semi"))).distinct().join(gone, "id", "left_anti"))
+    rows = settled(cell_rows(nodes, mesh.boundary, affected, all_of=True))
     made = vertices(rows).dropDuplicates(["sigma"])
-    out = mesh.vertices.join(hit, "sigma", "left_anti").unionByName(made).dropDuplicates(["sigma"])
-    edges = mesh.infinite_edges.join(hit_edges, "sigma", "left_anti").unionByName(infinite_edges(rows)).dropDuplicates(["sigma"])
-    return Mesh(nodes, out, edges, mesh.boundary), Report(gone, affected, mesh.vertices.join(hit, "sigma", "left_semi"), made.join(mesh.vertices, "sigma", "left_anti"))
+    out = settled(mesh.vertices.join(hit, "sigma", "left_anti").unionByName(made).dropDuplicates(["sigma"]))
+    edges = settled(mesh.infinite_edges.join(hit_edges, "sigma", "left_anti").unionByName(infinite_edges(rows)).dropDuplicates(["sigma"]))
+    return Mesh(nodes, out, edges, mesh.boundary), Report(gone, affected, lost, made.join(mesh.vertices, "sigma", "left_anti"))
 
 
 def affected_cells(old: DataFrame, new_vertices: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from ..functions import vec
 from ..plans.boundary import Boundary
 from .mesh import incidence
+from .state import settled
 
 _OUT = "cell long, neighbour long, measure double, integral array<double>"
 
@@ -141,24 +143,226 @@ def _exact(cell: int, x: np.ndarray, sigmas: list, points: np.ndarray, f, determ
     return rows
 
 
+class Lattice:
+    """Measures and integrals of all faces of a group of cells whose vertices are in general position.
+
+    A k-face is a set of d + 1 - k members that vertices share, so faces of each
+    dimension are the distinct subsets of signatures. They are made once for all
+    cells of the group, dimension by dimension, from the faces below: a face is
+    the sum of the cones from the mean of its vertices over its sub-faces.
+    """
+
+    def __init__(self, sigmas: np.ndarray, points: np.ndarray, mine: np.ndarray, f):
+        # Members are numbered; mine tells which are cells of the group.
+        self.s, self.p, self.mine, self.f = sigmas, points, mine, f
+        self.d = points.shape[1]
+        self.name = np.random.default_rng(len(mine)).integers(1, 2**63, len(mine), dtype=np.uint64)
+
+    def _faces(self, k: int):
+        """(members, vertex rows of the faces in order of face, first row of each, names) of the k-faces of the group's cells."""
+        picks = np.array(list(combinations(range(self.d + 1), self.d + 1 - k)))
+        sets = self.s[:, picks]
+        at, pick = np.nonzero(self.mine[sets].any(axis=2))
+        names = self.name[sets[at, pick]].sum(axis=1)
+        order = np.argsort(names, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(names[order].view(np.int64)) != 0])) if len(order) else np.zeros(0, np.int64)
+        head = order[first]
+        return sets[at[head], pick[head]], at[order], first, names[head]
+
+    def _means(self, rows: np.ndarray, first: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x[rows], first, axis=0) / np.diff(first, append=len(rows))[:, None]
+
+    def facets(self, heuristic: bool = False):
+        """(members, measure, integral or None, basis, a vertex of each) of the facets."""
+        d, p = self.d, self.p
+        values = self.f(p) if self.f is not None else None
+        m, rows, first, names = self._faces(1 if d > 1 else 0)
+        a, z = p[rows[first]], p[rows[np.append(first[1:], len(rows)) - 1]] if len(first) else p[:0]
+        if d == 1:
+            return m, np.ones(len(m)), values[rows[first]] if values is not None else None, np.zeros((len(m), 0, 1)), a
+        span = z - a
+        size = np.linalg.norm(span, axis=1)
+        total = size[:, None] * (values[rows[first]] + values[rows[np.append(first[1:], len(rows)) - 1]]) / 2 if values is not None and not heuristic else None
+        basis = (span / np.where(size > 0, size, 1.0)[:, None])[:, None, :]
+        for k in range(2, d):
+            below = m, names, size, total, basis, a
+            m, rows, first, names = self._faces(k)
+            centre, a = self._means(rows, first, p), p[rows[first]]
+            size, total, basis = self._cones(k, names, centre, below)
+        if heuristic and values is not None:
+            total = size[:, None] * ((d - 1) / d * self._means(rows, first, values) + self.f(self._means(rows, first, p)) / d)
+        return m, size, total, basis, a
+
+    def _cones(self, k: int, names: np.ndarray, centre: np.ndarray, below):
+        m, _, small, inner, basis, a = below
+        # A face is what is left of a sub-face's members without one of them.
+        up = self.name[m].sum(axis=1)[:, None] - self.name[m]
+        order = np.argsort(names, kind="stable")
+        at = order[np.minimum(np.searchsorted(names[order], up), len(names) - 1)] if len(names) else np.zeros_like(up, dtype=np.int64)
+        sub, drop = np.nonzero(names[at] == up) if len(names) else (np.zeros(0, np.int64),) * 2
+        face = at[sub, drop]
+        gap = centre[face] - a[sub]
+        b = basis[sub]
+        gap = gap - np.einsum("nij,ni->nj", b, np.einsum("nij,nj->ni", b, gap))
+        height = np.linalg.norm(gap, axis=1)
+        size = np.bincount(face, small[sub] * height, len(names)) / k
+        total = None
+        if inner is not None:
+            sums = np.stack([np.bincount(face, inner[sub, c] * height, len(names)) for c in range(inner.shape[1])], axis=1)
+            total = (sums + size[:, None] * self.f(centre)) / (k + 1)
+        # The widest cone gives the face its basis.
+        widest = np.lexsort((height, face))
+        last = np.flatnonzero(np.append(np.diff(face[widest]) != 0, True)) if len(widest) else widest
+        pick = widest[last]
+        out = np.zeros((len(names), k, self.d))
+        out[face[pick]] = np.concatenate([b[pick], (gap[pick] / np.where(height[pick] > 0, height[pick], 1.0)[:, None])[:, None, :]], axis=1)
+        return size, total, out
+
+
+def _group_rows(cells: np.ndarray, x: np.ndarray, sigmas: np.ndarray, points: np.ndarray, f, heuristic: bool):
+    """(cell, neighbour or -2**63, measure, integrals) of all cells of a group; sigmas: names, d + 1 for each vertex."""
+    d = x.shape[1]
+    names, s = np.unique(sigmas, return_inverse=True)
+    s = s.reshape(sigmas.shape)
+    place = np.searchsorted(cells, names)
+    place = np.where((place < len(cells)) & (cells[np.minimum(place, len(cells) - 1)] == names), place, -1)
+    m, size, total, basis, a = Lattice(s, points, place >= 0, f).facets(heuristic)
+    both = np.concatenate([m, m[:, ::-1]])
+    row = np.concatenate([np.arange(len(m))] * 2)
+    keep = place[both[:, 0]] >= 0
+    both, row = both[keep], row[keep]
+    own = place[both[:, 0]]
+    gap = x[own] - a[row]
+    gap = gap - np.einsum("nij,ni->nj", basis[row], np.einsum("nij,nj->ni", basis[row], gap))
+    height = np.linalg.norm(gap, axis=1)
+    volume = np.bincount(own, size[row] * height, len(cells)) / d
+    integral = bulk = None
+    if f is not None:
+        integral, fx = total[row], f(x)
+        part = height[:, None] / d * (size[row][:, None] * fx[own] / (d + 1) + integral * d / (d + 1))
+        bulk = np.stack([np.bincount(own, part[:, c], len(cells)) for c in range(part.shape[1])], axis=1)
+    return np.concatenate([cells[own], cells]), np.concatenate([names[both[:, 1]], np.full(len(cells), np.iinfo(np.int64).min)]), np.concatenate([size[row], volume]), np.concatenate([integral, bulk]) if f is not None else None
+
+
+def _lists(flat: np.ndarray | None, n: int) -> pa.Array:
+    if flat is None:
+        return pa.nulls(n, pa.list_(pa.float64()))
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * flat.shape[1], pa.int32()), pa.array(flat.reshape(-1).astype(float), pa.float64()))
+
+
+#: Cells of a group that are integrated at once.
+GROUP_CELLS = 500
+
+
+def spatial_groups(nodes: DataFrame, size: int = GROUP_CELLS) -> DataFrame:
+    """(id, group): groups of about ``size`` near nodes, by a grid; a group may be larger where nodes are dense."""
+    n, d = nodes.agg(F.count(F.lit(1)), F.max(F.size("coords"))).first()
+    each = max(1, math.ceil(n / max(1, min(size, -(-n // nodes.sparkSession.sparkContext.defaultParallelism)))))
+    axes = min(d or 1, max(1, each.bit_length() - 1))
+    ends = nodes.agg(*[f(F.col("coords")[k]).alias(f"{f.__name__}{k}") for k in range(axes) for f in (F.min, F.max)]).first()
+    parts = [max(1, round(each ** (1 / axes)))] * axes
+    group = F.lit(0).cast("long")
+    for k in range(axes):
+        lo, hi = ends[f"min{k}"] or 0.0, ends[f"max{k}"] or 1.0
+        group = group * parts[k] + F.least(F.floor((F.col("coords")[k] - lo) / max(hi - lo, 1e-300) * parts[k]), F.lit(parts[k] - 1))
+    return nodes.select("id", group.cast("long").alias("group"))
+
+
 def exact(nodes: DataFrame, vertices: DataFrame, f: Callable | None = None, method: str = "fast_polygon", cells: DataFrame | None = None) -> DataFrame:
-    """(cell, neighbour, measure, integral): areas of interfaces, and volumes where neighbour is null."""
+    """(cell, neighbour, measure, integral): areas of interfaces, and volumes where neighbour is null.
+
+    Near cells are integrated together, so that what they share is done once.
+    Cells with a vertex of more than d + 1 generators, whose faces aren't told by
+    sets of generators, and those of ``polygon`` are done one by one.
+    """
     if method not in ("fast_polygon", "polygon", "heuristic"):
         raise ValueError(f"unknown method {method!r}")
-    rows = incidence(vertices).select("cell", "sigma", "position")
-    if cells is not None:
-        rows = rows.join(cells.select(F.col("id").alias("cell")), "cell", "left_semi")
-    rows = rows.unionByName(nodes.join(rows.select(F.col("cell").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("cell"), F.lit(None).cast("array<bigint>").alias("sigma"), F.col("coords").alias("position")))
+    wanted = nodes.select("id", "coords") if cells is None else nodes.select("id", "coords").join(cells.select("id"), "id", "left_semi")
+    groups = spatial_groups(wanted)
+    rows = incidence(vertices).select("cell", "sigma", "position").join(groups.withColumnRenamed("id", "cell"), "cell")
+    rows = rows.select("group", F.lit(None).cast("long").alias("cell"), "sigma", "position").dropDuplicates(["group", "sigma"])
+    # A cell's own row comes with its generator; cells without vertices have none of theirs.
+    rows = rows.unionByName(wanted.join(groups, "id").select("group", F.col("id").alias("cell"), F.lit(None).cast("array<bigint>").alias("sigma"), F.col("coords").alias("position")))
 
     def build(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches))  # one cell
-        sigmas, points = t["sigma"].to_pylist(), np.array(t["position"].to_pylist())
-        own = next(k for k, s in enumerate(sigmas) if s is None)
-        at = [k for k in range(len(sigmas)) if k != own]
-        out = _exact(keys[0].as_py(), points[own], [sigmas[k] for k in at], points[at], f, method == "polygon", method == "heuristic")
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64())))], ["cell", "neighbour", "measure", "integral"])
-
-    return rows.groupBy("cell").applyInArrow(build, _OUT)
+        t = pa.Table.from_batches(list(batches)).combine_chunks()  # a group of near cells and their vertices
+        flat = t["position"].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+        d = flat.shape[1]
+        sigma, own = t["sigma"].combine_chunks(), t["cell"].is_valid().to_numpy()
+        ids, x = t["cell"].combine_chunks().filter(pa.array(own)).to_numpy(), flat[own]
+        order = np.argsort(ids)
+        ids, x = ids[order], x[order]
+        points, sigma = flat[~own], sigma.filter(pa.array(~own))
+        sizes = sigma.value_lengths().to_numpy(zero_copy_only=False) if len(sigma) else np.zeros(0, np.int64)
+        odd = set(sigma.filter(pa.array(sizes != d + 1)).flatten().to_pylist())
+        one_by_one = np.array([method == "polygon" or i in odd for i in ids.tolist()], bool)
+        names = ["cell", "neighbour", "measure", "integral"]
+        if (~one_by_one).any():
+            plain = sigma.filter(pa.array(sizes == d + 1)).flatten().to_numpy().reshape(-1, d + 1)
+            at = ~one_by_one
+            touch = np.isin(plain, ids[at]).any(axis=1)
+            cell, neighbour, measure, integral = _group_rows(ids[at], x[at], plain[touch], points[sizes == d + 1][touch], f, method == "heuristic")
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(neighbour, mask=neighbour == np.iinfo(np.int64).min), pa.array(measure), _lists(integral, len(cell))], names)
+        if one_by_one.any():
+            lists = sigma.to_pylist()
+            held: dict[int, list[int]] = {}
+            for k, s in enumerate(lists):
+                for c in s:
+                    held.setdefault(c, []).append(k)
+            for i in np.flatnonzero(one_by_one):
+                at = held.get(int(ids[i]), [])
+                if at:
+                    out = _exact(int(ids[i]), x[i], [lists[k] for k in at], points[at], f, method == "polygon", method == "heuristic")
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64())))], names)
+
+    return rows.groupBy("group").applyInArrow(build, _OUT)
+
+
+class Algorithm:
+    """An integration method of one's own. integrate_cell() runs in the tasks; the other hooks run in the driver."""
+
+    def prepare(self, nodes: DataFrame, vertices: DataFrame) -> None:
+        """Before anything is integrated."""
+
+    def begin(self, cells: DataFrame) -> None:
+        """The cells (id) that will be integrated."""
+
+    def worker(self) -> object:
+        """State of a task, made once in it and given to integrate_cell()."""
+
+    def integrate_cell(self, state, cell: int, x: np.ndarray, sigmas: list[list[int]], points: np.ndarray):
+        """(volume, values of the bulk or None, list of (neighbour, area, values or None)) of a cell at x with its vertices."""
+        raise NotImplementedError
+
+    def cleanup(self, cells: DataFrame, interfaces: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Results as they shall be kept."""
+        return cells, interfaces
+
+    def end(self) -> None:
+        """After the results are there."""
+
+
+def custom(algorithm: Algorithm, nodes: DataFrame, vertices: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cells, interfaces) of the given cells by an algorithm of one's own."""
+    algorithm.prepare(nodes, vertices)
+    algorithm.begin(cells)
+    rows = incidence(vertices).join(cells.select(F.col("id").alias("cell")), "cell", "left_semi").groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("sigma", "position"))).alias("v"))
+    rows = rows.join(nodes.select(F.col("id").alias("cell"), F.col("coords").alias("x")), "cell")
+
+    def build(batches):
+        state = algorithm.worker()
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                volume, bulk, faces = algorithm.integrate_cell(state, r["cell"], np.array(r["x"]), [v["sigma"] for v in r["v"]], np.array([v["position"] for v in r["v"]]))
+                out += [(r["cell"], None, volume, bulk), *((r["cell"], *face) for face in faces)]
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["cell", "neighbour", "measure", "integral"])
+
+    found = settled(rows.select("cell", "x", "v").mapInArrow(build, _OUT))
+    done = algorithm.cleanup(found.filter("neighbour is null").select("cell", F.col("measure").alias("volume"), F.col("integral").alias("bulk")), found.filter("neighbour is not null").select("cell", "neighbour", F.col("measure").alias("area"), "integral"))
+    algorithm.end()
+    return done
 
 
 # -- Monte Carlo ---------------------------------------------------------------------------------
@@ -187,9 +391,29 @@ def ray_hits(nodes: DataFrame, neighbours: DataFrame, boundary: Boundary | None,
         b = boundary.frame(nodes.sparkSession).select((-1 - F.col("plane")).cast("long").alias("neighbour"), "base", "normal")
         walls = pairs.join(F.broadcast(b), "neighbour").select("cell", "neighbour", F.col("normal").alias("d"), vec.dot(vec.sub("base", "x"), "normal").alias("c"))
         sides = sides.unionByName(walls)
-    hits = sides.join(F.broadcast(rays), F.lit(True)).withColumn("s", vec.dot("d", "u")).filter("s > 1e-14")
-    best = hits.select("cell", "ray", F.struct((F.col("c") / F.col("s")).alias("t"), "neighbour", (F.col("s") / vec.norm("d")).alias("slope")).alias("h"))
-    return best.groupBy("cell", "ray").agg(F.min("h").alias("h")).select("cell", "ray", "h.t", "h.neighbour", "h.slope")
+    # A cell's sides are a row; all rays of a cell are cast in its task, and only where they end is sent on.
+    table = rays.orderBy("ray").toArrow()  # the fixed directions
+    shared = nodes.sparkSession.sparkContext.broadcast((table["ray"].to_numpy(), np.array(table["u"].to_pylist())))
+    sides = sides.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("neighbour", "d", "c"))).alias("sides"))
+
+    def cast(batches):
+        number, u = shared.value
+        for b in batches:
+            for k in range(b.num_rows):
+                side = b.column("sides")[k].values
+                names, c = side.field("neighbour").to_numpy(), side.field("c").to_numpy()
+                d = side.field("d").flatten().to_numpy().reshape(len(c), -1)
+                slope = u @ d.T
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    t = np.where(slope > 1e-14, c / slope, np.inf)
+                best = t.argmin(axis=1)
+                far = t[np.arange(len(u)), best]
+                hit = np.isfinite(far)
+                best, far = best[hit], far[hit]
+                cosine = slope[hit, best] / np.linalg.norm(d, axis=1)[best]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(far), b.column("cell")[k].as_py(), np.int64)), pa.array(number[hit]), pa.array(far), pa.array(names[best]), pa.array(cosine)], ["cell", "ray", "t", "neighbour", "slope"])
+
+    return sides.mapInArrow(cast, "cell long, ray long, t double, neighbour long, slope double")
 
 
 def monte_carlo(nodes: DataFrame, neighbours: DataFrame, boundary: Boundary | None, d: int, n_rays: int = 1000, f: Callable[[Column], Column] | None = None, samples: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -206,16 +430,18 @@ def monte_carlo(nodes: DataFrame, neighbours: DataFrame, boundary: Boundary | No
     if f is None:
         return cells.withColumn("bulk", F.lit(None).cast("array<double>")), hits.groupBy("cell", "neighbour").agg(F.sum(weight).alias("area")).withColumn("integral", F.lit(None).cast("array<double>"))
     at = hits.join(nodes.select(F.col("id").alias("cell"), F.col("coords").alias("x")), "cell").join(F.broadcast(rays), "ray")
-    face = at.select("cell", "neighbour", weight.alias("w"), F.posexplode(f(vec.axpy("x", "t", "u"))).alias("k", "v"))
-    integral = face.groupBy("cell", "neighbour", "k").agg(F.sum(F.col("w") * F.col("v")).alias("s")).groupBy("cell", "neighbour").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]).alias("integral"))
-    area = hits.groupBy("cell", "neighbour").agg(F.sum(weight).alias("area"))
+    size = nodes.select(F.size(f(F.col("coords"))).alias("n")).first()
+    size = size["n"] if size is not None else 0
+    summed = lambda v: F.array(*[F.sum(F.col("w") * F.col(v)[k]) for k in range(size)])
+    face = at.select("cell", "neighbour", weight.alias("w"), f(vec.axpy("x", "t", "u")).alias("v"))
+    area = face.groupBy("cell", "neighbour").agg(F.sum("w").alias("area"), summed("v").alias("integral"))
     # Radii at the middle of equal steps, weighted by r^(d-1).
     steps = F.transform(F.sequence(F.lit(1), F.lit(samples)), lambda i: (i - 0.5) / samples)
     inner = at.select("cell", "t", "x", "u", F.explode(steps).alias("r"))
     part = F.pow("t", F.lit(float(d))) * F.pow("r", F.lit(float(d - 1))) * (d * omega / n_rays / samples)
-    inner = inner.select("cell", part.alias("w"), F.posexplode(f(vec.axpy("x", F.col("t") * F.col("r"), "u"))).alias("k", "v"))
-    bulk = inner.groupBy("cell", "k").agg(F.sum(F.col("w") * F.col("v")).alias("s")).groupBy("cell").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]).alias("bulk"))
-    return cells.join(bulk, "cell", "left"), area.join(integral, ["cell", "neighbour"], "left")
+    inner = inner.select("cell", part.alias("w"), f(vec.axpy("x", F.col("t") * F.col("r"), "u")).alias("v"))
+    bulk = inner.groupBy("cell").agg(summed("v").alias("bulk"))
+    return cells.join(bulk, "cell", "left"), area
 
 
 def symmetrised(nodes: DataFrame, cells: DataFrame, interfaces: DataFrame, d: int) -> tuple[DataFrame, DataFrame]:

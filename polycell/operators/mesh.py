@@ -79,9 +79,10 @@ def with_occurrence(rows: DataFrame, *order: str) -> DataFrame:
 
 
 def reciprocal(interfaces: DataFrame) -> DataFrame:
-    """Each interface (cell, neighbour, shift) with the other side's (neighbour, cell, -shift)."""
-    back = interfaces.select(F.col("cell").alias("neighbour"), F.col("neighbour").alias("cell"), F.transform("shift", lambda s: -s).alias("shift"), F.col("area").alias("other_area"))
-    return interfaces.join(back, ["cell", "neighbour", "shift"], "left")
+    """Each interface (cell, neighbour, shift, area) with the other side's, (neighbour, cell, -shift), as other_area: null for walls."""
+    back = interfaces.select(F.col("cell").alias("n"), F.col("neighbour").alias("c"), F.transform("shift", lambda s: -s).alias("s"), F.col("area").alias("other_area"))
+    same = (F.col("cell") == F.col("c")) & (F.col("neighbour") == F.col("n")) & F.col("shift").eqNullSafe(F.col("s"))
+    return interfaces.join(back, same, "left").drop("c", "n", "s")
 
 
 # -- filters -------------------------------------------------------------------------------------

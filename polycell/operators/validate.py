@@ -110,3 +110,12 @@ def compare(a: DataFrame, b: DataFrame, tol: float = 1e-9) -> DataFrame:
         F.coalesce(F.avg("gap"), F.lit(0.0)).alias("mean_gap"),
         F.coalesce(F.max("gap"), F.lit(0.0)).alias("max_gap"),
     )
+
+
+def compare_meshes(a, b, tol: float = 1e-9) -> DataFrame:
+    """One row on two meshes (nodes, vertices): dimensions and numbers of nodes and vertices, nodes missing on either side or moved, and what compare() says of the vertices."""
+    size = lambda m, side: m.nodes.agg(F.count(F.lit(1)).alias(f"nodes_{side}"), F.max(F.size("coords")).alias(f"dim_{side}")).crossJoin(m.vertices.agg(F.count(F.lit(1)).alias(f"vertices_{side}")))  # noqa: E731  one row each
+    n = a.nodes.select("id", F.col("coords").alias("p")).join(b.nodes.select("id", F.col("coords").alias("q")), "id", "full_outer")
+    gap = F.when(F.col("p").isNotNull() & F.col("q").isNotNull(), F.when(F.size("p") == F.size("q"), vec.distance("p", "q")).otherwise(float("inf")))
+    n = n.agg(F.count_if(F.col("q").isNull()).alias("nodes_missing_right"), F.count_if(F.col("p").isNull()).alias("nodes_missing_left"), F.count_if(gap > tol).alias("nodes_moved"))
+    return size(a, "left").crossJoin(size(b, "right")).crossJoin(n).crossJoin(compare(a.vertices, b.vertices, tol))

@@ -58,17 +58,18 @@ _Q = f"""q AS (SELECT CAST(c_custkey AS BIGINT) AS qid, (c_acctbal + 1000) / 110
 _P = "p AS (SELECT * FROM (VALUES (0, 1.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE), (1, -1.0, 0.0, 0.0), (2, 0.0, 1.0, 1.0), (3, 0.0, -1.0, 0.0)) t(plane, nx, ny, c))"
 _PAIRS = "d AS (SELECT qid, id, (q.x - g.x) ** 2 + (q.y - g.y) ** 2 AS d2 FROM q, g)"
 # Vertices of bounded cells: pairs of half-spaces of a cell whose corner no other half-space cuts off.
-_V = """h AS (
-  SELECT a.id AS cell, b.id AS name, b.x - a.x AS ax, b.y - a.y AS ay, (b.x * b.x + b.y * b.y - a.x * a.x - a.y * a.y) / 2 AS c FROM g a JOIN g b ON a.id <> b.id
-  UNION ALL SELECT g.id, -1 - plane, nx, ny, c FROM g, p
-), k AS (
+_CORNERS = """k AS MATERIALIZED (
   SELECT s.cell, s.name AS n1, t.name AS n2, (s.c * t.ay - t.c * s.ay) / (s.ax * t.ay - s.ay * t.ax) AS px, (s.ax * t.c - t.ax * s.c) / (s.ax * t.ay - s.ay * t.ax) AS py
   FROM h s JOIN h t ON s.cell = t.cell AND s.name < t.name WHERE abs(s.ax * t.ay - s.ay * t.ax) > 1e-12
-), bad AS (
-  SELECT DISTINCT k.cell, n1, n2 FROM k JOIN h ON h.cell = k.cell WHERE ax * px + ay * py > c + 1e-9
-), inc AS (
-  SELECT k.*, list_sort([cell, n1, n2]) AS sigma FROM k ANTI JOIN bad USING (cell, n1, n2)
-), v AS (
+), good AS (
+  SELECT k.cell, n1, n2, any_value(px) AS px, any_value(py) AS py FROM k JOIN h ON h.cell = k.cell GROUP BY k.cell, n1, n2 HAVING max(ax * px + ay * py - c) <= 1e-9
+), inc AS MATERIALIZED (
+  SELECT cell, n1, n2, px, py, list_sort([cell, n1, n2]) AS sigma FROM good
+)"""
+_V = f"""h AS MATERIALIZED (
+  SELECT a.id AS cell, b.id AS name, b.x - a.x AS ax, b.y - a.y AS ay, (b.x * b.x + b.y * b.y - a.x * a.x - a.y * a.y) / 2 AS c FROM g a JOIN g b ON a.id <> b.id
+  UNION ALL SELECT g.id, -1 - plane, nx, ny, c FROM g, p
+), {_CORNERS}, v AS (
   SELECT sigma, px, py FROM inc WHERE cell = list_min(list_filter(sigma, lambda s: s >= 0))
 )"""
 _NB = "nb AS (SELECT DISTINCT cell, n1 AS neighbour FROM inc UNION SELECT DISTINCT cell, n2 FROM inc)"
@@ -269,14 +270,16 @@ def ray_cast_first(spark, d):
     return search.first_hit(rays, n).select("rid", F.round("t", 6).alias("t"), "generator")
 
 
-@query(f"""WITH {_G}, r AS (
-  SELECT a.id AS rid, b.id AS generator, ((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) / (2 * (0.6::DOUBLE * (b.x - a.x) + 0.8::DOUBLE * (b.y - a.y))) AS t
-  FROM g a JOIN g b ON a.id <> b.id WHERE 0.6::DOUBLE * (b.x - a.x) + 0.8::DOUBLE * (b.y - a.y) > 1e-14
+@query("""WITH g AS (SELECT i AS id, i // 6 AS x, i % 6 AS y FROM range(36) t(i)), r AS (
+  SELECT a.id AS rid, b.id AS generator, ((b.x - a.x) ** 2 + (b.y - a.y) ** 2) / (2 * sqrt(0.5::DOUBLE) * (b.x - a.x + b.y - a.y)) AS t
+  FROM g a JOIN g b ON a.id <> b.id WHERE b.x - a.x + b.y - a.y > 0
 ), k AS (SELECT rid, min(t) AS t FROM r GROUP BY rid), s AS (SELECT r.rid, k.t, list(generator) AS l FROM r JOIN k ON r.rid = k.rid AND r.t <= k.t + 1e-9 GROUP BY r.rid, k.t)
 SELECT g.id AS rid, round(t, 6) AS t, CASE WHEN t IS NULL THEN '' ELSE array_to_string(list_sort(list_append(l, g.id)), ',') END AS sigma FROM g LEFT JOIN s ON rid = id""")
 def ray_cast_ties(spark, d):
-    n = sites(spark, d)
-    rays = n.select(F.col("id").alias("rid"), F.col("id").alias("start"), F.col("coords").alias("origin"), vec.literal([0.6, 0.8]).alias("direction"), F.array().cast("array<bigint>").alias("skip"))
+    """Rays along the diagonals of a grid, which meet three generators at once."""
+    n = tables.cuboid_nodes(spark, [0, 0], [1, 1], [6, 6])
+    u = vec.literal([0.5**0.5, 0.5**0.5])
+    rays = n.select(F.col("id").alias("rid"), F.col("id").alias("start"), F.col("coords").alias("origin"), u.alias("direction"), F.array().cast("array<bigint>").alias("skip"))
     return search.ray_cast(rays, n).select("rid", F.round("t", 6).alias("t"), _name())
 
 
@@ -424,7 +427,7 @@ def _roots(d: int) -> list[float]:
 
 
 _R = _roots(2)
-_MC = f"""{_G}, {_P}, n AS (SELECT i, (0.5 + (i + 1) * {_R[1]!r}::DOUBLE) % 1 AS a FROM range(200) t(i)), u AS (SELECT i, cos({2 * math.pi!r}::DOUBLE * a) AS ux, sin({2 * math.pi!r}::DOUBLE * a) AS uy FROM n), h AS (
+_MC = f"""{_G}, {_P}, n AS (SELECT i, (0.5 + (i + 1) * {_R[1]!r}::DOUBLE) % 1 AS a FROM range(1000) t(i)), u AS (SELECT i, cos({2 * math.pi!r}::DOUBLE * a) AS ux, sin({2 * math.pi!r}::DOUBLE * a) AS uy FROM n), h AS (
   SELECT a.id AS cell, b.id AS name, b.x - a.x AS ax, b.y - a.y AS ay, ((b.x - a.x) ** 2 + (b.y - a.y) ** 2) / 2 AS c FROM g a JOIN g b ON a.id <> b.id
   UNION ALL SELECT g.id, -1 - plane, nx, ny, c - nx * x - ny * y FROM g, p
 ), t AS (SELECT cell, i, name, c / (ax * ux + ay * uy) AS t, (ax * ux + ay * uy) / sqrt(ax * ax + ay * ay) AS slope FROM h, u WHERE ax * ux + ay * uy > 1e-14),
@@ -433,26 +436,28 @@ b AS (SELECT cell, i, min(t) AS t, arg_min(name, t) AS name, arg_min(slope, t) A
 
 def _mc(spark, d, f=None):
     m = _bounded(spark, d)
-    return m, *integrate.monte_carlo(m.nodes, m.neighbours(), BOX, 2, 200, f, 20)
+    return m, *integrate.monte_carlo(m.nodes, m.neighbours(), BOX, 2, f=f)
 
 
-@query(f"WITH {_MC} SELECT cell, round(sum(t * t) * {math.pi!r}::DOUBLE / 200, 6) AS volume FROM b GROUP BY cell")
+@query(f"WITH {_MC} SELECT cell, round(sum(t * t) * {math.pi!r}::DOUBLE / 1000, 6) AS volume FROM b GROUP BY cell")
 def monte_carlo_volumes(spark, d):
     return _mc(spark, d)[1].select("cell", F.round("volume", 6).alias("volume"))
 
 
-@query(f"WITH {_MC} SELECT cell, name AS neighbour, round(sum(t / slope) * 2 * {math.pi!r}::DOUBLE / 200, 6) AS area FROM b GROUP BY cell, name")
+@query(f"WITH {_MC} SELECT cell, name AS neighbour, round(sum(t / slope) * 2 * {math.pi!r}::DOUBLE / 1000, 6) AS area FROM b GROUP BY cell, name")
 def monte_carlo_areas(spark, d):
     return _mc(spark, d)[2].select("cell", "neighbour", F.round("area", 6).alias("area"))
 
 
-@query()
+# Sums over the radii i of a ray: of r, and of r^2, as the integrand is affine.
+@query(f"""WITH {_MC}, r AS (SELECT sum((i + 0.5) / 100) AS r1, sum(((i + 0.5) / 100) ** 2) AS r2 FROM range(100) t(i)), w AS (SELECT b.cell, b.i, t, t * t * {2 * math.pi!r}::DOUBLE / 1000 / 100 AS w FROM b)
+SELECT w.cell, round(sum(w * r1), 4) AS one, round(sum(w * ((1 + 2 * x + 3 * y) * r1 + t * (2 * ux + 3 * uy) * r2)), 4) AS affine FROM w JOIN u ON u.i = w.i JOIN g ON g.id = w.cell, r GROUP BY w.cell""")
 def monte_carlo_integrals(spark, d):
     m, cells, _ = _mc(spark, d, lambda x: F.array(F.lit(1.0), 1 + 2 * x[0] + 3 * x[1]))
     return cells.select("cell", F.round(F.col("bulk")[0], 4).alias("one"), F.round(F.col("bulk")[1], 4).alias("affine"))
 
 
-@query(f"""WITH {_MC}, s AS (SELECT cell, name AS neighbour, sum(t / slope) * 2 * {math.pi!r}::DOUBLE / 200 AS area FROM b GROUP BY cell, name)
+@query(f"""WITH {_MC}, s AS (SELECT cell, name AS neighbour, sum(t / slope) * 2 * {math.pi!r}::DOUBLE / 1000 AS area FROM b GROUP BY cell, name)
 SELECT a.cell, a.neighbour, round(CASE WHEN o.area IS NULL OR least(a.area, o.area) < 1e-10 * greatest(a.area, o.area) THEN a.area ELSE (a.area + o.area) / 2 END, 6) AS area
 FROM s a LEFT JOIN s o ON o.cell = a.neighbour AND o.neighbour = a.cell""")
 def monte_carlo_symmetrised(spark, d):
@@ -460,7 +465,14 @@ def monte_carlo_symmetrised(spark, d):
     return integrate.symmetrised(m.nodes, cells, interfaces, 2)[1].select("cell", "neighbour", F.round("area", 6).alias("area"))
 
 
-@query()
+@query(f"""WITH {_MC.replace("h AS (", "hr AS (", 1).replace("FROM h, u", "FROM hr, u")}, {_V.replace("), k AS", "), k AS", 1)},
+s AS (SELECT cell, name AS neighbour, sum(t / slope) * 2 * {math.pi!r}::DOUBLE / 1000 AS area FROM b GROUP BY cell, name),
+y AS (SELECT a.cell, a.neighbour, a.area AS old, CASE WHEN o.area IS NULL OR least(a.area, o.area) < 1e-10 * greatest(a.area, o.area) THEN a.area ELSE (a.area + o.area) / 2 END AS area FROM s a LEFT JOIN s o ON o.cell = a.neighbour AND o.neighbour = a.cell),
+z AS (SELECT y.*, CASE WHEN neighbour >= 0 THEN sqrt((q.x - g.x) ** 2 + (q.y - g.y) ** 2) / 2 ELSE (SELECT c - nx * g.x - ny * g.y FROM p WHERE plane = -1 - neighbour) END AS height, g.x, g.y FROM y JOIN g ON g.id = cell LEFT JOIN g q ON q.id = neighbour),
+vol AS (SELECT cell, sum(t * t) * {math.pi!r}::DOUBLE / 1000 AS v FROM b GROUP BY cell), more AS (SELECT cell, sum(CASE WHEN neighbour >= 0 THEN (area - old) * height / 2 ELSE 0 END) AS dv FROM z GROUP BY cell),
+mid AS (SELECT cell, nbr AS neighbour, avg(px) AS mx, avg(py) AS my FROM (SELECT cell, px, py, unnest([n1, n2]) AS nbr FROM inc) GROUP BY cell, nbr),
+bulk AS (SELECT z.cell, sum(height / 2 * area * ((1 + 2 * x + 3 * y) / 3 + 2 * (1 + 2 * mx + 3 * my) / 3)) AS bulk FROM z JOIN mid ON mid.cell = z.cell AND mid.neighbour = z.neighbour GROUP BY z.cell)
+SELECT vol.cell, round(v + dv, 6) AS volume, round(bulk, 6) AS bulk FROM vol JOIN more ON more.cell = vol.cell JOIN bulk ON bulk.cell = vol.cell""")
 def heuristic_monte_carlo(spark, d):
     m, cells, interfaces = _mc(spark, d)
     cells, interfaces = integrate.symmetrised(m.nodes, cells, interfaces, 2)
@@ -480,20 +492,45 @@ def unbounded_cells(spark, d):
 # -- validation ----------------------------------------------------------------------------------
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS sigma, CAST(NULL AS VARCHAR) AS reason WHERE false")
+# Faults are planted by the smallest generator of a vertex: it is moved where that leaves 0 divided by 10, and goes where it leaves 5.
+_FAULTS = "o AS (SELECT sigma, px + CASE WHEN own % 10 = 0 THEN 0.01 ELSE 0 END AS px, py, own FROM (SELECT *, list_min(list_filter(sigma, lambda s: s >= 0)) AS own FROM v) WHERE own % 10 <> 5)"
+_WRONG = f"""{_FAULTS}, e AS (SELECT sigma, px, py, own, unnest(sigma) AS s FROM o), m AS (
+  SELECT sigma, (px - x) ** 2 + (py - y) ** 2 AS d2 FROM e JOIN g ON id = s
+  UNION ALL SELECT sigma, (px - (x - 2 * (nx * x + ny * y - c) * nx)) ** 2 + (py - (y - 2 * (nx * x + ny * y - c) * ny)) ** 2 FROM e JOIN p ON plane = -1 - s JOIN g ON id = own
+), r AS (SELECT o.*, sqrt((px - x) ** 2 + (py - y) ** 2) AS r FROM o JOIN g ON id = own), wrong AS (
+  SELECT sigma, 'variance' AS reason FROM m GROUP BY sigma HAVING var_pop(d2) / avg(d2) ** 2 > 1e-18
+  UNION SELECT sigma, CASE WHEN sqrt((px - x) ** 2 + (py - y) ** 2) < r - 1e-9 THEN 'nearer' ELSE 'missing' END FROM r JOIN g ON NOT list_contains(sigma, id) AND sqrt((px - x) ** 2 + (py - y) ** 2) <= r + 1e-9
+), ends AS (
+  SELECT edge, count(*) AS ends FROM (SELECT unnest([sigma[1:2], sigma[2:3], [sigma[1], sigma[3]]]) AS edge FROM o) WHERE edge[2] >= 0 GROUP BY edge HAVING count(*) <> 2
+)"""
+
+
+def _faulty(spark, d):
+    """(mesh, its vertices with planted faults)."""
+    m = _bounded(spark, d)
+    v = m.vertices.withColumn("own", F.array_min(F.filter("sigma", lambda s: s >= 0))).filter("own % 10 <> 5")
+    moved = F.when(F.col("own") % 10 == 0, F.array(F.col("position")[0] + 0.01, F.col("position")[1])).otherwise(F.col("position"))
+    return m, v.select("sigma", moved.alias("position"))
+
+
+@query(f"WITH {_G}, {_P}, {_V}, {_WRONG} SELECT array_to_string(sigma, ',') AS sigma, reason FROM wrong")
 def validate_vertices(spark, d):
-    return _bounded(spark, d).wrong_vertices(max_variance=1e-18).select(_name(), "reason")
+    m, v = _faulty(spark, d)
+    return validate.wrong_vertices(m.nodes, v, 1e-18, boundary=BOX).select(_name(), "reason")
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS cell, CAST(NULL AS VARCHAR) AS what WHERE false")
+@query(f"WITH {_G}, {_P}, {_V}, {_WRONG} SELECT DISTINCT cell, what FROM (SELECT unnest(sigma) AS cell, reason AS what FROM wrong UNION ALL SELECT unnest(edge), 'edge' FROM ends) WHERE cell >= 0")
 def validate_cells(spark, d):
-    m = VoronoiMesh.from_df(sites(spark, d)).compute()
-    return validate.wrong_cells(m.nodes, m.vertices, m.infinite_edges, 2, m.nodes, max_variance=1e-18)
+    m, v = _faulty(spark, d)
+    return validate.wrong_cells(m.nodes, v, m.infinite_edges, 2, m.nodes, BOX, max_variance=1e-18)
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS sigma, CAST(NULL AS INTEGER) AS rank WHERE false")
+@query(f"WITH {_G}, {_P}, {_V} SELECT array_to_string(sigma, ',') AS sigma, 1 AS rank FROM v WHERE len(list_filter(sigma, lambda s: s < 0 OR s % 2 <> 0)) = 0")
 def validate_ranks(spark, d):
-    return validate.flat_vertices(sites(spark, d), _bounded(spark, d).vertices, BOX).select(_name(), "rank")
+    """Signatures whose generators, once those with even ids are put on one line, don't span the plane."""
+    n = sites(spark, d)
+    on_line = n.withColumn("coords", F.when(F.col("id") % 2 == 0, F.array(F.col("coords")[0], F.col("coords")[0] / 2)).otherwise(F.col("coords")))
+    return validate.flat_vertices(on_line, _bounded(spark, d).vertices, BOX).select(_name(), "rank")
 
 
 @query(SQL["voronoi_vertices"].replace("round(px, 6) AS x0, round(py, 6) AS x1 FROM v", "round(px, 5) AS x0, round(py, 5) AS x1 FROM v"))
@@ -502,33 +539,90 @@ def voronoi_vertices_through_the_facade(spark, d):
     return m.vertices.select(_name(), *_xs("position", 2, 5))
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS cell, CAST(NULL AS BIGINT) AS ends WHERE false")
+@query(f"WITH {_G}, {_P}, {_V}, {_WRONG} SELECT * FROM (SELECT unnest(edge) AS cell, ends FROM ends) WHERE cell >= 0")
 def validate_edges(spark, d):
-    m = VoronoiMesh.from_df(sites(spark, d)).compute()
-    return validate.open_edges(m.vertices, m.infinite_edges, 2).select("cell", "ends")
+    m, v = _faulty(spark, d)
+    return validate.open_edges(v, m.infinite_edges, 2).select("cell", "ends")
 
 
-@query("SELECT 0 AS missing_right, 0 AS missing_left, 0 AS moved")
+@query(f"WITH {_G}, {_P}, {_V}, o AS (SELECT list_min(list_filter(sigma, lambda s: s >= 0)) AS own FROM v) SELECT count(*) FILTER (own % 10 = 5) AS missing_right, 0 AS missing_left, count(*) FILTER (own % 10 = 0) AS moved FROM o")
 def validate_compare(spark, d):
-    a = _bounded(spark, d).vertices
-    b = construct.vertices(construct.cell_rows(sites(spark, d), BOX, strategy="bins"))
-    return validate.compare(a, b).select("missing_right", "missing_left", "moved")
+    """Vertices built by bins against those with planted faults."""
+    a = construct.vertices(construct.cell_rows(sites(spark, d), BOX, strategy="bins"))
+    return validate.compare(a, _faulty(spark, d)[1]).select("missing_right", "missing_left", "moved")
+
+
+@query("""WITH c AS (SELECT i // 25 AS a, (i // 5) % 5 AS b, i % 5 AS c FROM range(125) t(i)), n AS (SELECT *, (a IN (0, 4))::INT + (b IN (0, 4))::INT + (c IN (0, 4))::INT AS walls FROM c)
+SELECT round(-1 + 0.5 * a, 6) AS x0, round(-1 + 0.5 * b, 6) AS x1, round(-1 + 0.5 * c, 6) AS x2, CAST(2 ** (3 - walls) + walls AS INTEGER) AS members FROM n""")
+def voronoi_degenerate_grid(spark, d):
+    """Vertices where up to eight cells meet."""
+    n = tables.cuboid_nodes(spark, [-0.75] * 3, [0.5] * 3, [4, 4, 4])
+    return VoronoiMesh.from_df(n, Boundary.centred_cube(3, 1.0)).vertices.select(*_xs("position", 3), F.size("sigma").alias("members"))
 
 
 # -- periodic, spherical, more dimensions --------------------------------------------------------
 
 
-@query()
+# Images are named 3 * id, + 1 one length lower and + 2 one higher; other walls are planes 2 and 3. What is half a length away (more, for few sites) takes no part.
+_PERIODIC = f"""im AS (SELECT 3 * id + k AS name, id, x + s AS x, y FROM g, (VALUES (0, 0), (1, -1), (2, 1)) t(k, s)), h AS MATERIALIZED (
+  SELECT a.id AS cell, b.name, b.x - a.x AS ax, b.y - a.y AS ay, (b.x * b.x + b.y * b.y - a.x * a.x - a.y * a.y) / 2 AS c FROM g a JOIN im b ON b.name <> 3 * a.id AND abs(b.x - a.x) <= greatest(0.5, 15.0 / (SELECT count(*) FROM g))
+  UNION ALL SELECT g.id, -1 - plane, nx, ny, c FROM g, p WHERE plane >= 2
+), {_CORNERS}"""
+_OWNER = "lambda s: CASE WHEN s >= 0 THEN s // 3 ELSE s END"
+
+
+def _periodic(spark, d) -> PeriodicMesh:
+    return PeriodicMesh(sites(spark, d), Boundary.cuboid([1.0, 1.0], periodic={0})).compute()
+
+
+@query(f"WITH {_G}, {_P}, {_PERIODIC} SELECT cell, array_to_string(list_sort(list_transform([3 * cell, n1, n2], {_OWNER})), ',') AS sigma, round((px % 1 + 1) % 1, 6) AS x0, round(py, 6) AS x1 FROM inc")
 def periodic_vertices(spark, d):
-    m = PeriodicMesh(sites(spark, d), Boundary.cuboid([1.0, 1.0], periodic={0})).compute()
-    return m.public_vertices().select("cell", _name(), *_xs("position", 2))
+    return _periodic(spark, d).public_vertices().select("cell", _name(), *_xs("position", 2))
 
 
-@query()
+@query(f"WITH {_G}, {_P}, {_PERIODIC} SELECT DISTINCT 3 * cell AS node, CASE WHEN n % 3 = 2 THEN 0 ELSE 1 END AS plane FROM (SELECT cell, unnest([n1, n2]) AS n FROM inc) WHERE n >= 0 AND n % 3 > 0")
 def periodic_requests(spark, d):
-    b = Boundary.cuboid([1.0, 1.0], periodic={0})
-    m = PeriodicMesh(sites(spark, d), b).compute()
-    return requests(m.vertices(), m.images, b)
+    m = _periodic(spark, d)
+    return requests(m.vertices(), m.images, m.boundary)
+
+
+_PERIODIC_FACES = f"{_PERIODIC}, {_FACET}"
+
+
+@query(f"WITH {_G}, {_P}, {_PERIODIC_FACES} SELECT cell, round(sum(area * height / 2), 6) AS volume FROM fh GROUP BY cell")
+def periodic_volumes(spark, d):
+    return _periodic(spark, d).integrate()[0].select("cell", F.round("volume", 6).alias("volume"))
+
+
+@query(f"""WITH {_G}, {_P}, {_PERIODIC_FACES} SELECT cell, CASE WHEN neighbour >= 0 THEN neighbour // 3 ELSE neighbour END AS neighbour, CASE WHEN neighbour >= 0 THEN [0, -1, 1][neighbour % 3 + 1] END AS step, round(area, 6) AS area,
+CASE WHEN neighbour >= 0 THEN round(area, 6) END AS other_area FROM fh""")
+def periodic_interfaces(spark, d):
+    """Areas, and those that the cell on the other side has."""
+    i = _periodic(spark, d).integrate()[1]
+    return i.select("cell", "neighbour", F.try_element_at("shift", F.lit(1)).alias("step"), F.round("area", 6).alias("area"), F.round("other_area", 6).alias("other_area"))
+
+
+@query(f"""WITH {_G}, {_P}, {_PERIODIC_FACES}, m AS (SELECT cell, nbr AS neighbour, avg(cos({2 * math.pi!r}::DOUBLE * px)) AS mv, avg(px) AS mx FROM (SELECT cell, px, py, unnest([n1, n2]) AS nbr FROM inc) GROUP BY cell, nbr)
+SELECT fh.cell, round(sum(height / 2 * area * (cos({2 * math.pi!r}::DOUBLE * x) / 3 + 2 * (mv / 2 + cos({2 * math.pi!r}::DOUBLE * mx) / 2) / 3)), 6) AS bulk FROM fh JOIN m ON m.cell = fh.cell AND m.neighbour = fh.neighbour JOIN g ON g.id = fh.cell GROUP BY fh.cell""")
+def periodic_integrals(spark, d):
+    """A periodic integrand by the heuristic rule."""
+    cells, _ = _periodic(spark, d).integrate(_wave, "heuristic")
+    return cells.select("cell", F.round(F.col("bulk")[0], 6).alias("bulk"))
+
+
+def _wave(x):
+    import numpy as np
+
+    return np.cos(2 * np.pi * x[:, :1])
+
+
+@query(f"WITH {_G.replace('FROM supplier', 'FROM supplier WHERE s_suppkey % 7 <> 0')}, {_P}, {_PERIODIC} SELECT cell, array_to_string(list_sort(list_transform([3 * cell, n1, n2], {_OWNER})), ',') AS sigma, round((px % 1 + 1) % 1, 6) AS x0, round(py, 6) AS x1 FROM inc")
+def periodic_transaction(spark, d):
+    """A mesh of some sites, to which others are appended and from which others go in one transaction."""
+    n = sites(spark, d)
+    m = PeriodicMesh(n.filter("id % 5 <> 0"), Boundary.cuboid([1.0, 1.0], periodic={0})).compute()
+    m.append(n.filter("id % 5 = 0 and id % 7 <> 0")).stage_removal(n.filter("id % 5 <> 0 and id % 7 = 0")).compute()
+    return m.public_vertices().select("cell", _name(), *_xs("position", 2))
 
 
 @query(f"WITH {_G} SELECT id AS ref_id, round(x + s, 6) AS x0, round(y, 6) AS x1 FROM g, (VALUES (-1), (1)) t(s)")
@@ -538,33 +632,48 @@ def periodic_references(spark, d):
     return find_reference(i, i.filter("kind = 'reference'")).select("ref_id", *_xs("coords", 2))
 
 
+#: Four points that no hemisphere holds, so that the sphere is covered however few sites there are.
+_ANCHORS = [(0.1, 0.2, 1.0), (0.9, -0.1, -0.4), (-0.5, 0.8, -0.3), (-0.4, -0.9, -0.2)]
+
+
 def _sphere(spark, d):
     x, y = _xy("s_acctbal", "s_suppkey")
     r = F.sqrt(1 - F.pow(2 * y - 1, F.lit(2.0)))
-    return tables.nodes(_read(spark, d, "supplier"), "s_suppkey", [r * F.cos(2 * math.pi * x), r * F.sin(2 * math.pi * x), 2 * y - 1])
+    own = tables.nodes(_read(spark, d, "supplier"), "s_suppkey", [r * F.cos(2 * math.pi * x), r * F.sin(2 * math.pi * x), 2 * y - 1])
+    return own.unionByName(tables.from_points(spark, _ANCHORS, 1_000_000))
 
 
-@query(f"""WITH {_G}, s AS (SELECT id, sqrt(1 - (2 * y - 1) ** 2) * cos({2 * math.pi!r}::DOUBLE * x) AS a, sqrt(1 - (2 * y - 1) ** 2) * sin({2 * math.pi!r}::DOUBLE * x) AS b, 2 * y - 1 AS c FROM g
+_ON_SPHERE = f"""s0 AS (SELECT id, sqrt(1 - (2 * y - 1) ** 2) * cos({2 * math.pi!r}::DOUBLE * x) AS a, sqrt(1 - (2 * y - 1) ** 2) * sin({2 * math.pi!r}::DOUBLE * x) AS b, 2 * y - 1 AS c FROM g
+  UNION ALL SELECT * FROM (VALUES {", ".join(f"({1_000_000 + i}, {x}::DOUBLE, {y}::DOUBLE, {z}::DOUBLE)" for i, (x, y, z) in enumerate(_ANCHORS))}) v(id, a, b, c))"""
+_UNIT = "SELECT id, a / sqrt(a * a + b * b + c * c) AS a, b / sqrt(a * a + b * b + c * c) AS b, c / sqrt(a * a + b * b + c * c) AS c FROM s0"
+# Triples of near points whose circle no other point is in; few points may be far from each other.
+_TRIPLES = """q AS MATERIALIZED (SELECT p.id AS i, q.id AS j FROM s p JOIN s q ON p.id < q.id AND p.a * q.a + p.b * q.b + p.c * q.c > CASE WHEN (SELECT count(*) FROM s) > 60 THEN 0.1 ELSE -2 END
 ), t AS (SELECT p.id AS i, q.id AS j, r.id AS k, p.a, p.b, p.c, (q.b - p.b) * (r.c - p.c) - (q.c - p.c) * (r.b - p.b) AS nx, (q.c - p.c) * (r.a - p.a) - (q.a - p.a) * (r.c - p.c) AS ny, (q.a - p.a) * (r.b - p.b) - (q.b - p.b) * (r.a - p.a) AS nz
-  FROM s p JOIN s q ON p.id < q.id JOIN s r ON q.id < r.id
-), u AS (SELECT i, j, k, sgn * nx / sqrt(nx * nx + ny * ny + nz * nz) AS x, sgn * ny / sqrt(nx * nx + ny * ny + nz * nz) AS y, sgn * nz / sqrt(nx * nx + ny * ny + nz * nz) AS z, t.a, t.b, t.c FROM t, (VALUES (1), (-1)) v(sgn)
-), w AS (SELECT i, j, k, any_value(x) AS x, any_value(y) AS y, any_value(z) AS z, max(x * s.a + y * s.b + z * s.c - x * u.a - y * u.b - z * u.c) AS over FROM u, s GROUP BY i, j, k, x > 0, y > 0, z > 0)
-SELECT i || ',' || j || ',' || k AS sigma, round(x, 5) AS x0, round(y, 5) AS x1, round(z, 5) AS x2 FROM w WHERE over < 1e-9""")
+  FROM q e JOIN q f ON e.i = f.i AND e.j < f.j JOIN q ef ON ef.i = e.j AND ef.j = f.j JOIN s p ON p.id = e.i JOIN s q ON q.id = e.j JOIN s r ON r.id = f.j
+), u AS (SELECT i, j, k, sgn, sgn * nx / sqrt(nx * nx + ny * ny + nz * nz) AS x, sgn * ny / sqrt(nx * nx + ny * ny + nz * nz) AS y, sgn * nz / sqrt(nx * nx + ny * ny + nz * nz) AS z, t.a, t.b, t.c FROM t, (VALUES (1), (-1)) v(sgn) WHERE nx * nx + ny * ny + nz * nz > 1e-24
+), w AS (SELECT i, j, k, sgn, any_value(x) AS x, any_value(y) AS y, any_value(z) AS z FROM u, s GROUP BY i, j, k, sgn HAVING max(x * s.a + y * s.b + z * s.c - x * u.a - y * u.b - z * u.c) < 1e-9)"""
+_PAIR = "(SELECT unnest([i, i, j, j, k, k]) AS cell, unnest([j, k, i, k, i, j]) AS neighbour FROM w)"
+_CIRCLES = f"{_G}, {_ON_SPHERE}, s AS ({_UNIT}), {_TRIPLES}"
+# Each site and its antipode, by canonical hemisphere: 2 id + 1 and 2 id + 2.
+_TWINS = f"{_G}, {_ON_SPHERE}, s1 AS ({_UNIT}), s AS (SELECT 2 * id + CASE WHEN f = 1 THEN 1 ELSE 2 END AS id, f * sg * a AS a, f * sg * b AS b, f * sg * c AS c FROM (SELECT *, CASE WHEN a < 0 OR a = 0 AND (b < 0 OR b = 0 AND c < 0) THEN -1 ELSE 1 END AS sg FROM s1), (VALUES (1), (-1)) v(f)), {_TRIPLES}"
+
+
+@query(f"WITH {_CIRCLES} SELECT i || ',' || j || ',' || k AS sigma, round(x, 5) AS x0, round(y, 5) AS x1, round(z, 5) AS x2 FROM w")
 def spherical_vertices(spark, d):
     return SphericalMesh(_sphere(spark, d)).compute().vertices().select(_name(), *_xs("position", 3, 5))
 
 
-@query()
+@query(f"WITH {_CIRCLES} SELECT DISTINCT cell, neighbour, 0 AS occurrence FROM {_PAIR}")
 def spherical_neighbours(spark, d):
     return SphericalMesh(_sphere(spark, d)).compute().neighbours()
 
 
-@query()
+@query(f"WITH {_TWINS} SELECT array_to_string(list_sort([(i - 1) // 2, (j - 1) // 2, (k - 1) // 2]), ',') AS sigma, round(x, 5) AS x0, round(y, 5) AS x1, round(z, 5) AS x2 FROM w WHERE CASE WHEN abs(x) > 1e-12 THEN x WHEN abs(y) > 1e-12 THEN y ELSE z END > 0")
 def antipodal_vertices(spark, d):
     return SphericalMesh(_sphere(spark, d), antipodal=True).compute().vertices().select(_name(), *_xs("position", 3, 5))
 
 
-@query()
+@query(f"WITH {_TWINS} SELECT (cell - 1) // 2 AS cell, (neighbour - 1) // 2 AS neighbour, row_number() OVER (PARTITION BY cell, (neighbour - 1) // 2 ORDER BY neighbour) - 1 AS occurrence FROM (SELECT DISTINCT cell, neighbour FROM {_PAIR} WHERE cell % 2 = 1)")
 def antipodal_neighbours(spark, d):
     return SphericalMesh(_sphere(spark, d), antipodal=True).compute().neighbours()
 

@@ -137,7 +137,7 @@ def test_bad_input_raises(spark):
     with pytest.raises(Exception, match="outside"):
         VoronoiMesh.from_df(points(spark, [(0, 0), (3, 3)]), Boundary.cuboid([1.0, 1.0])).compute()
     with pytest.raises(kernel.NoVertex):
-        kernel.cell_of(np.zeros(2), np.array([1]), np.array([[1.0, 0.0]]), np.zeros((0, 2)), np.zeros((0, 2)))
+        kernel.Walk(np.array([0]), np.array([[0.0, 0.0], [1.0, 0.0]]), np.zeros((0, 2)), np.zeros((0, 2))).cells()
 
 
 def test_compute_of_some_cells(spark):
