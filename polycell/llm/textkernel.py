@@ -8,10 +8,33 @@ shingles collide with probability 2**-64 each, which is the only inexactness.
 from __future__ import annotations
 
 import ctypes
+import sys
 
 import numpy as np
 import pyarrow as pa
 
+
+class _Without:
+    @staticmethod
+    def find_spec(name, path=None, target=None):
+        if name == "pandas":
+            raise ImportError(name)
+
+
+def _lean() -> None:
+    """Arrow looks for pandas at its first conversion, which would load it into each worker; a worker's Arrow finds none. It looks again where somebody asks for pandas objects."""
+    from pyspark import TaskContext
+
+    if TaskContext.get() is not None and "pandas" not in sys.modules:
+        sys.meta_path.insert(0, _Without)
+        try:
+            pa.array([0])
+        finally:
+            sys.meta_path.remove(_Without)
+
+
+_lean()
+
 _RNG = np.random.default_rng(0x5EED_0F_C0DE)
 _RANDOM = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
