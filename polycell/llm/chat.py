@@ -100,7 +100,11 @@ def parse(formatted: DataFrame) -> DataFrame:
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and -7 as event logs (a message, then its text as a delta), folded, rendered and read back."""
+    """All conversations and -7 as event logs, folded, rendered and read back.
+
+    Of three turns one is streamed, one is a draft that an edit takes the place
+    of, and one is a draft that is generated again, in two parts.
+    """
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
     own = F.explode(F.array(*[F.struct(F.lit(c).cast("long").alias("conv_id"), F.lit(t).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(x).alias("text")) for c, t, r, x in own]))
@@ -108,7 +112,13 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Rows with the same turn are turns of their own, in the order of role and text.
     place = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
     rows = rows.withColumn("n", place)
-    steps = F.array(F.struct((F.col("n") * 2).alias("seq"), F.lit("message").alias("kind"), F.lit("").alias("text")), F.struct((F.col("n") * 2 + 1).alias("seq"), F.lit("delta").alias("kind"), F.coalesce("text", F.lit("")).alias("text")))
+    text = F.coalesce("text", F.lit(""))
+    half = F.expr("cast(length(coalesce(text, '')) div 2 as int)")
+    step = lambda k, kind, value: F.struct((F.col("n") * 8 + k).alias("seq"), F.lit(kind).alias("kind"), value.alias("text"))
+    streamed = F.array(step(0, "message", F.lit("")), step(1, "delta", text))
+    edited = F.array(step(0, "message", F.lit("a dra")), step(1, "delta", F.lit("ft")), step(2, "edit", text))
+    again = F.array(step(0, "message", F.lit("a draft")), step(1, "regenerate", F.lit("")), step(2, "delta", F.substr(text, F.lit(1), half)), step(3, "delta", F.substr(text, half + 1)))
+    steps = F.when(F.col("n") % 3 == 0, streamed).when(F.col("n") % 3 == 1, edited).otherwise(again)
     events = rows.select("conv_id", F.col("n").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.explode(steps).alias("e")).select("conv_id", "turn", "role", "e.seq", "e.kind", "e.text")
     read = parse(render(fold_events(events)))
     return read.select(
