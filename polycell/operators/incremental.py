@@ -57,6 +57,8 @@ def reached(vertices: DataFrame, new: DataFrame) -> DataFrame:
         return vertices.join(new.select(F.col("coords").alias("y")), vec.distance("position", "y") <= F.col("r") + TIE, "left_semi")
     # The change set is the small side of a transaction.
     got = new.select("coords").toArrow()["coords"].combine_chunks()
+    if not len(got):
+        return vertices.limit(0)
     shared = vertices.sparkSession.sparkContext.broadcast(got.flatten().to_numpy().reshape(len(got), -1))
 
     def test(batches):

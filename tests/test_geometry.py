@@ -192,6 +192,112 @@ def test_a_stream_of_updates(spark, tmp_path):
     assert sigmas(m.vertices) == sigmas(fresh.vertices)
 
 
+def test_a_stream_goes_on_from_its_store(spark, tmp_path):
+    from polycell.sources import store
+    from polycell.streaming.updates import SCHEMA, follow
+
+    pts = spread(24, 2, 0.05, 0.95, 0.05)
+    start = lambda: VoronoiMesh.from_df(points(spark, pts[:15]), Boundary.cuboid([1.0, 1.0])).compute()
+    put = lambda rows: spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    kept = str(tmp_path / "meshes")
+    put([("insert", 15 + k, [float(x) for x in p]) for k, p in enumerate(pts[15:20])])
+    follow(start(), stream(), str(tmp_path / "ck"), kept).awaitTermination()
+    # Another process would begin like this: with the first mesh, the checkpoint and the store.
+    put([("insert", 20 + k, [float(x) for x in p]) for k, p in enumerate(pts[20:])] + [("remove", 3, None)])
+    query = follow(start(), stream(), str(tmp_path / "ck"), kept)
+    query.awaitTermination()
+    fresh = VoronoiMesh.from_df(points(spark, pts).filter("id <> 3"), Boundary.cuboid([1.0, 1.0])).compute()
+    assert sigmas(query.followed.mesh.vertices) == sigmas(fresh.vertices)
+    version, back = store.read_mesh(spark, kept)
+    assert version == 1 and sigmas(back.vertices) == sigmas(fresh.vertices)
+    pairs = lambda m: {(r["cell"], r["neighbour"]) for r in m.neighbours().collect()}
+    assert pairs(back) == pairs(fresh)
+    # A version without its mark isn't there.
+    (tmp_path / "meshes" / "v9" / "nodes").mkdir(parents=True)
+    assert store.versions(spark, kept)[-1] == 1
+
+
+def test_stored_results(spark, tmp_path):
+    from polycell.sources import store
+
+    m = VoronoiMesh.from_df(points(spark, spread(12, 2, 0.05, 0.95, 0.05)), Boundary.cuboid([1.0, 1.0])).compute()
+    i = Integral(m, None, integrate.Options(bulk=False, interface=False))
+    i.integrate()
+    store.write_integral(i, str(tmp_path / "r"), 0)
+    _, back = store.read_integral(spark, str(tmp_path / "r"), m)
+    assert back.integrate() == 0 and back.cells.agg(F.sum("volume")).first()[0] == pytest.approx(1)
+    wide = store.retarget(back.interfaces, m.neighbours().union(spark.createDataFrame([(0, 99)], "cell long, neighbour long")))
+    assert wide.filter("area is null").count() == 1
+
+
+def test_incremental_monte_carlo_equals_a_fresh_run(spark):
+    df = points(spark, spread(30, 2, 0.05, 0.95, 0.05))
+    m = VoronoiMesh.from_df(df.filter("id < 27"), Boundary.cuboid([1.0, 1.0])).compute()
+    i = Integral(m)
+    assert i.integrate("monte_carlo", 200) == 27
+    m.refine(df.filter("id >= 27"))
+    changed = i.integrate("monte_carlo", 200)
+    assert 3 < changed < 30
+    j = Integral(VoronoiMesh.from_df(df, Boundary.cuboid([1.0, 1.0])).compute())
+    j.integrate("monte_carlo", 200)
+    for a, b, keys in ((i.cells, j.cells, ["cell"]), (i.interfaces, j.interfaces, ["cell", "neighbour"])):
+        a, b = (x.drop("bulk", "integral").toPandas().sort_values(keys) for x in (a, b))
+        assert a[keys].values.tolist() == b[keys].values.tolist() and np.allclose(a.iloc[:, -1], b.iloc[:, -1], atol=1e-12)
+
+
+def test_counts_of_updated_cells(spark):
+    df = points(spark, spread(40, 2, 0.05, 0.95, 0.03))
+    m = VoronoiMesh.from_df(df.filter("id < 39")).compute()
+    i = Integral(m)
+    assert i.integrate() == 39
+    report = m.refine(df.filter("id >= 39"))
+    want = report.affected.count() + 1
+    assert i.integrate() == want < 39 and i.cells.count() == 40
+    near = {(r["cell"], r["neighbour"]) for r in m.neighbours().collect()}
+    assert near == {(r["cell"], r["neighbour"]) for r in VoronoiMesh.from_df(df).neighbours().collect()}
+
+
+def test_an_algorithm_of_ones_own(spark):
+    class Corners(integrate.Algorithm):
+        """Volume: number of vertices; areas: vertices shared."""
+
+        def __init__(self):
+            self.calls = []
+
+        def prepare(self, nodes, vertices):
+            self.calls.append("prepare")
+
+        def begin(self, cells):
+            self.calls.append("begin")
+
+        def integrate_cell(self, state, cell, x, sigmas, points):
+            others = sorted({s for t in sigmas for s in t} - {cell})
+            return float(len(points)), [1.0], [(o, float(sum(o in t for t in sigmas)), None) for o in others]
+
+        def cleanup(self, cells, interfaces):
+            self.calls.append("cleanup")
+            return cells, interfaces.filter("neighbour >= 0")
+
+        def end(self):
+            self.calls.append("end")
+
+    m = VoronoiMesh.from_df(points(spark, grid(2, 0.25, 0.5, 2)), Boundary.cuboid([1.0, 1.0]))
+    own, i = Corners(), Integral(m, None, integrate.Options())
+    assert i.integrate(own) == 4 and own.calls == ["prepare", "begin", "cleanup", "end"]
+    assert {r["volume"] for r in i.cells.collect()} == {4.0} and i.interfaces.filter("neighbour < 0").isEmpty()
+
+
+def test_meshes_are_compared_as_a_whole(spark):
+    df = points(spark, spread(15, 2, 0.05, 0.95, 0.05))
+    box = Boundary.cuboid([1.0, 1.0])
+    a, b = VoronoiMesh.from_df(df, box).compute(), VoronoiMesh.from_df(df.filter("id < 14"), box).compute()
+    same = validate.compare_meshes(a, a).first()
+    assert (same["nodes_missing_left"], same["nodes_moved"], same["missing_left"], same["dim_left"], same["dim_right"]) == (0, 0, 0, 2, 2)
+    r = validate.compare_meshes(a, b).first()
+    assert (r["nodes_left"], r["nodes_right"], r["nodes_missing_right"]) == (15, 14, 1) and r["missing_right"] > 0
+
+
 # -- periodic and spherical --
 
 
@@ -217,6 +323,35 @@ def test_a_periodic_transaction(spark):
     assert missing_references(refs, refs.limit(0)).count() == refs.count() and missing_references(refs, refs).isEmpty()
 
 
+def test_a_transaction_builds_only_what_changes(spark):
+    pts = spread(60, 2, 0.02, 0.98, 0.05)
+    box = Boundary.cuboid([1.0, 1.0], periodic=None)
+    m = PeriodicMesh(points(spark, pts), box).compute()
+    m.append(tables.from_points(spark, [(0.003, 0.41)], 60)).compute()
+    assert 0 < m.report.affected.count() < 20 and m.report.appended.count() == 1 and not m.report.invalidated.isEmpty()
+    fresh = PeriodicMesh(points(spark, [*pts, (0.003, 0.41)]), box).compute()
+    assert sigmas(m.public_vertices()) == sigmas(fresh.public_vertices())
+    m.stage_removal(spark.range(60, 61).select("id")).compute()
+    assert m.report.removed.count() == 1 and sigmas(m.public_vertices()) == sigmas(PeriodicMesh(points(spark, pts), box).compute().public_vertices())
+
+
+def test_periodic_integrals(spark):
+    m = PeriodicMesh(points(spark, spread(20, 3, 0.02, 0.98, 0.08)), Boundary.cuboid([1.0] * 3, periodic={0, 1})).compute()
+    seen = []
+
+    def f(x):
+        assert (x >= -1e-9).all() and (x <= 1 + 1e-9).all()
+        return np.stack([np.ones(len(x)), np.cos(2 * np.pi * x[:, 0])], axis=1)
+
+    cells, interfaces = m.integrate(f)
+    c, i = cells.toPandas(), interfaces.toPandas()
+    assert len(c) == 20 and c.volume.sum() == pytest.approx(1, abs=1e-9) and sum(b[0] for b in c.bulk) == pytest.approx(1, abs=1e-8)
+    walls = i[i.neighbour < 0]
+    assert walls.area.sum() == pytest.approx(2, abs=1e-9) and walls.other_area.isna().all()
+    inner = i[i.neighbour >= 0]
+    assert np.allclose(inner.area, inner.other_area, atol=1e-10) and any(any(s) for s in inner["shift"]) and not seen
+
+
 def test_few_periodic_nodes_widen_the_tiling(spark):
     m = PeriodicMesh(points(spark, [(0.5, 0.5)]), Boundary.cuboid([1.0, 1.0], periodic=None)).compute()
     assert m.public_vertices().count() == 4
