@@ -19,12 +19,16 @@ from .textkernel import trim
 BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 
+def set_unless_set(spark: SparkSession, name: str, value: str) -> None:
+    """A setting that the session doesn't have yet; those that somebody made stay, also where they equal Spark's own default."""
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, value)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what a worker holds of texts of any length; settings that the session has are left as they are."""
-    for name, usual, ours in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", None, BATCH_BYTES)):
-        name = f"spark.sql.execution.arrow.{name}"
-        if spark.conf.get(name, usual) in (usual, "9223372036854775807", "67108864"):
-            spark.conf.set(name, str(ours))
+    """Bounds what a worker holds of texts of any length."""
+    set_unless_set(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    set_unless_set(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,7 +126,8 @@ def bounded_sample(docs: DataFrame, marks: DataFrame, value_col: str, values: li
     """Texts of at most ``rows_each`` documents for each value of a label, those with the smallest hashes of their ids.
 
     docs: (doc_id, text); marks: (doc_id, value_col), a row per document. Texts of
-    more than max_chars characters, empty and null ones aren't in it. Which rows
+    more than max_chars characters, empty and null ones, and documents or marks
+    without an id aren't in it. Which rows
     they are is settled on keys; only the texts of those, a number that the
     parameters bound, go to the driver.
     """
@@ -200,7 +205,7 @@ def in_bitmap(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def held_by(column, words: np.ndarray, spark: SparkSession):
-    """Column: whether a filter of bitmap() holds a long column; only that column goes to Python."""
+    """Column: whether a filter of bitmap() holds a long column; only that column goes to Python. A null is a value like others, as it hashes to one."""
     shared = spark.sparkContext.broadcast(words)
 
     @F.arrow_udf("boolean")

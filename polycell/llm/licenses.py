@@ -105,9 +105,11 @@ def scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     where a phrase stands, else the largest contained share of a template that a
     block of the whole text meets, else 0. Null and empty texts have no words, no labels and score
     0. Repeated rows give a row each; a null doc_id is kept; other columns are
-    ignored. No phrase may begin with the word that it ends with.
+    ignored. A phrase that begins with the word that it ends with is an error.
     """
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
+    if any(len(w) > 1 and w[0] == w[-1] for w in map(str.split, phrases)):
+        raise ValueError("a phrase may not begin with the word that it ends with")
     scratch = Scratch(spark)
     sets = {label: sorted(set(text.split())) for label, text in templates.items()}
     need = {label: max(1, math.ceil(threshold * len(s) - 1e-9)) for label, s in sets.items()}

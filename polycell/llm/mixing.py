@@ -145,13 +145,16 @@ def fit_rates(rows: DataFrame, weights: list[float], least: float = 0.0, most: f
         total = natural.sum() if least <= 0 else max([natural.sum() * least, *(least * natural[w > 0] / w[w > 0])])
     target = w * total
     gradients: list[np.ndarray] = []
-    totals, c, best, nearest = natural, whole, np.inf, (0, natural)
+    totals, c, best, nearest, mark = natural, whole, np.inf, (0, natural), (0, np.inf)
     for _ in range(steps):
         off = totals - target
         error = float(np.abs(off).sum() / max(total, 1e-12))
-        if error < best * 0.9999:
+        if error < best:
             best, nearest = error, (len(gradients), totals)
-        if error < tolerance or total == 0 or len(gradients) >= nearest[0] + 12:
+        if error < 0.98 * mark[1]:
+            mark = len(gradients), error
+        # Twelve steps that gain less than a fiftieth mean that no rates reach the targets.
+        if error < tolerance or total == 0 or len(gradients) >= mark[0] + 12:
             break
         gradients.append(np.linalg.solve(c + 1e-3 * whole + np.eye(k) * max(1e-9 * np.trace(whole) / k, 1e-12), off))
         totals, c = summed(_rate(gradients, least, most), F.expr(f"r > {least!r}D and r < {most!r}D"))

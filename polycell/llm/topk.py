@@ -47,7 +47,7 @@ def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame
 
 
 class SlicedIndex:
-    """Bit slices of the rows of a block, which are in order of id."""
+    """Bit slices of the rows of a block (integers, none null, one row at least), which are in order of id."""
 
     def __init__(self, x: np.ndarray):
         self.rows, self.dims = x.shape

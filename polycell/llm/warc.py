@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from .common import Scratch, shared_dir, table
+from .common import Scratch, set_unless_set, shared_dir, table
 
 SCHEMA = "record_id string, record_type string, target_uri string, warc_date string, payload_digest string, refers_to string, http_length long, payload_length long, payload_sha1 string, payload binary"
 #: Columns that writing takes; payload_digest and refers_to may be null.
@@ -430,7 +430,7 @@ def write_warc(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def read_warc(spark: SparkSession, path: str, payload: str = "none") -> DataFrame:
     """Records of the archives in a folder. payload: none, digest or bytes (see the module)."""
     spark.dataSource.register(WarcSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    set_unless_set(spark, "spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("warc").option("payload", payload).load(path)
 
 

@@ -1,8 +1,11 @@
 """Registered queries against their SQL, and the pipeline, on the smallest tables."""
 
 import os
+import re
+import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
 from polycell.llm.queries import QUERIES, SQL
@@ -31,6 +34,106 @@ def test_query_equals_sql(spark, name):
     assert canon(got) == canon(want)
 
 
+def rows_of(name, sf=SF):
+    return duckdb.sql(f"FROM '{sf}/{name}.parquet'").df()
+
+
+def test_toxicity_query_on_held_out_rows(spark):
+    sf = SF.replace("0.001", "0.01")
+    got = QUERIES["op10_toxicity"](spark, sf).toPandas()
+    docs = rows_of("documents", sf)
+    assert sorted(got.doc_id) == sorted(docs.doc_id)
+    assert (got.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got.doc_id]).all()
+    assert got.score.between(0, 1).all() and ((got.score >= 0.3) == (got.predicted == 1)).all()
+    both = got.merge(rows_of("labels", sf), on="doc_id")
+    both = both[both.held_out & both.toxic.isin([0, 1])]
+    y, p = both.toxic == 1, both.predicted == 1
+    # Some 400 labels are here, of which 40 are toxic ones; with those of the check's tables recall is above 0.9.
+    assert (y & p).sum() >= 0.4 * y.sum() and (y & p).sum() >= 0.6 * p.sum()
+
+
+def test_mixing_query_meets_its_targets(spark):
+    from polycell.llm import mixing
+
+    got = QUERIES["op7_mixing"](spark, SF).toPandas()
+    assert sorted(got.doc_id) == sorted(rows_of("documents").doc_id) and (got.rate >= 0).all()
+    domains = sorted(mixing.TARGETS)
+    totals = np.array([(got.rate * got.tokens * got[f"p_{d}"]).sum() for d in domains])
+    missed = np.abs(totals / got.tokens.sum() - [mixing.TARGETS[d] for d in domains]).sum()
+    assert missed < 1e-3 and abs(got.miss.iloc[0] - missed) < 1e-6
+    words = rows_of("documents").set_index("doc_id").text.fillna("").map(lambda t: len([w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]))
+    assert (got.set_index("doc_id").tokens.sort_index() == words.sort_index()).all()
+
+
+def test_bpe_query_equals_the_library(spark):
+    import hashlib
+
+    import public_tokenizers
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    ref = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    got = QUERIES["op8_byte_level_bpe"](spark, SF).toPandas().set_index("doc_id")
+    for r in rows_of("documents").itertuples():
+        text = r.text or ""
+        ids = ref.encode_ordinary(text)
+        mine = got.loc[r.doc_id]
+        assert (mine.n_tokens, mine.ids_sha256, mine.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+def words_at(text):
+    """(byte range, word, line) of each word."""
+    raw = (text or "").encode()
+    return [(m.start(), m.end(), m[0].lower(), raw.count(b"\n", 0, m.start())) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+
+
+def test_substring_query_against_brute_force(spark):
+    """Lines by exact Jaccard over all pairs that share a shingle; whatever else is cut must stand elsewhere word for word."""
+    docs = {r.doc_id: words_at(r.text) for r in rows_of("documents").itertuples()}
+    lines, seen = [], {}
+    for i in sorted(docs):
+        ws = docs[i]
+        grams = [tuple(w[2] for w in ws[k : k + 5]) for k in range(len(ws) - 4)]
+        for k, g in enumerate(grams):
+            seen.setdefault(g, []).append((i, k))
+        by_line = {}
+        for k, w in enumerate(ws):
+            by_line.setdefault(w[3], []).append(k)
+        for ks in by_line.values():
+            if len(ks) >= 5:
+                lines.append((i, ks[0], ks[-1] + 1, frozenset(grams[ks[0] : ks[-1] - 3])))
+    held, label = {}, list(range(len(lines)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    pairs = set()
+    for n, (*_, s) in enumerate(lines):
+        for g in s:
+            for m in held.setdefault(g, []):
+                pairs.add((m, n))
+            held[g].append(n)
+    for m, n in pairs:
+        a, b = lines[m][3], lines[n][3]
+        if 100 * len(a & b) >= 80 * len(a | b):
+            x, y = root(m), root(n)
+            label[max(x, y)] = min(x, y)
+    exact = {(lines[n][0], docs[lines[n][0]][lines[n][1]][0], docs[lines[n][0]][lines[n][2] - 1][1]) for n in range(len(lines)) if root(n) != n}
+    got = {r["doc_id"]: [tuple(map(int, x.split("-"))) for x in r["removed"]] for r in QUERIES["op3_substring_dedup"](spark, SF).collect()}
+    assert set(got) == set(docs)
+    cut = {(i, a, z) for i, a, z in exact if any(s <= a and z <= e for s, e in got[i])}
+    assert len(cut) >= 0.97 * len(exact) > 0
+    for i, spans in got.items():
+        own = [(a, z) for j, a, z in exact if j == i]
+        for s, e in spans:
+            inside = [k for k, w in enumerate(docs[i]) if s <= w[0] and w[1] <= e and not any(a <= w[0] and w[1] <= z for a, z in own)]
+            for k in inside:
+                covers = [g for g in range(max(0, k - 4), min(k, len(docs[i]) - 5) + 1) if len(seen[tuple(w[2] for w in docs[i][g : g + 5])]) > 1]
+                assert covers, (i, s, e, docs[i][k])
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
     from polycell.llm.common import table

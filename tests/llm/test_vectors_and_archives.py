@@ -56,6 +56,24 @@ def test_recall_over_small_windows(spark):
     assert got.n_links.sum() >= 0.9 * brute(x)[0].sum()
 
 
+def test_recall_within_a_dense_group(spark):
+    """A third of the vectors have cosine 0.9 to each other, and keys hardly tell them apart; pairs at the threshold are planted among them."""
+    rng = np.random.default_rng(5)
+    d, n = 48, 6000
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(rng.standard_normal((n, d)))
+    centre = x[0]
+    apart = unit(rng.standard_normal((n // 3, d)) - np.outer(rng.standard_normal(n // 3), centre))
+    dense = unit(0.9**0.5 * centre + 0.1**0.5 * unit(apart - np.outer(apart @ centre, centre)))
+    step = unit(rng.standard_normal((200, d)))
+    pairs = unit(dense[:200] + 0.32 * unit(step - (step * dense[:200]).sum(1, keepdims=True) * dense[:200]))
+    x = np.concatenate([x[: n - n // 3], dense, pairs])
+    got = vectors.near_duplicates(spark, spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4), window=16).toPandas().sort_values("vec_id")
+    links, _ = brute(x)
+    assert links[-200:].sum() >= 150
+    assert got.n_links.sum() >= 0.95 * links.sum() and (got.n_links.to_numpy() <= links).all()
+
+
 def test_vectors_that_link_with_nothing(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (3, None, 0), (4, [0.0, 0.0], 0), (5, [nan, 1.0], 0), (6, [inf, 1.0], 0), (7, [None, 1.0], 0), (8, [], 0), (9, [1.0, 0.0, 0.0], 0), (2, [1.0, 0.01], 0), (None, [0.0, 1.0], 0)]
