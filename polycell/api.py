@@ -25,7 +25,7 @@ class VoronoiMesh:
         self.boundary, self.strategy = boundary, strategy
         self.state: incremental.Mesh | None = None
         self.version, self.changed = 0, None
-        self._near, self._stale = None, None
+        self._near, self._stale, self._dim = None, None, None
 
     @classmethod
     def from_df(cls, nodes: DataFrame, boundary: Boundary | None = None, strategy: str = "auto") -> VoronoiMesh:
@@ -33,9 +33,13 @@ class VoronoiMesh:
 
     @property
     def dim(self) -> int:
-        return construct.dimension(self.nodes)
+        if self._dim is None:
+            self._dim = construct.dimension(self.nodes)
+        return self._dim
 
     def compute(self) -> VoronoiMesh:
+        if self.state is not None:
+            released(self.state.held, self._near)
         self.state = incremental.build(self.nodes, self.boundary, self.strategy)
         self.version, self.changed = self.version + 1, None
         self._near, self._stale = None, None
@@ -77,6 +81,8 @@ class VoronoiMesh:
         return VoronoiMesh(self.nodes, boundary, self.strategy)
 
     def _moved(self, state: incremental.Mesh, report: incremental.Report) -> incremental.Report:
+        # The new state is settled; the tables of the old one are read no more.
+        released(self.state.held)
         self.state, self.nodes = state, state.nodes
         self.version += 1
         now = settled(incremental.dirty(report.appended, report.affected))
@@ -152,7 +158,7 @@ class Integral:
         m._built()
         if self.version == m.version:
             return 0
-        d, neighbours = m.dim, m.neighbours()
+        d = m.dim
         fresh = self.cells is None or m.changed is None
         todo = m.nodes.select("id") if fresh else settled(m.changed.join(m.nodes.select("id"), "id", "left_semi"))
         alive = m.nodes.select(F.col("id").alias("cell"))
@@ -163,7 +169,7 @@ class Integral:
             return new if fresh else settled(old.join(alive, "cell", "left_semi").join(mine, "cell", "left_anti").unionByName(new))
 
         if algorithm in ("monte_carlo", "heuristic_mc"):
-            own = neighbours.join(mine, "cell", "left_semi")
+            own = m.neighbours().join(mine, "cell", "left_semi")
             raw = integrate.monte_carlo(m.nodes, own, m.boundary, d, rays, self.f if algorithm == "monte_carlo" else None)
             # Sides are averaged over all cells: what an unchanged cell was cast to is kept for that.
             self.raw = tuple(merged(old, settled(new)) for old, new in zip(self.raw or raw, raw, strict=True))
@@ -183,12 +189,14 @@ class Integral:
             whole = fresh
         if not m.infinite_edges.isEmpty():
             size = cells.select(F.max(F.size("bulk"))).first()[0] or 0 if self.f is not None else 0
-            cells, interfaces = integrate.finalised(cells, interfaces, m.infinite_edges, neighbours, size)
+            cells, interfaces = integrate.finalised(cells, interfaces, m.infinite_edges, m.neighbours(), size)
             if not whole:
                 cells, interfaces = cells.join(mine, "cell", "left_semi"), interfaces.join(mine, "cell", "left_semi")
         if not whole:
             cells, interfaces = merged(self.cells, cells), merged(self.interfaces, interfaces)
+        before = self.cells, self.interfaces
         self.cells, self.interfaces, self.version = cells.persist(), interfaces.persist(), m.version
+        released(*before)
         return todo.count()
 
     def kept(self) -> tuple[DataFrame, DataFrame]:

@@ -140,17 +140,37 @@ def dimension(nodes: DataFrame) -> int:
     return r[0]
 
 
+def gathered(nodes: DataFrame, most: int | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """(ids, points) of a node table of ``most`` rows at most, checked as dimension() does; None for a larger one."""
+    rows = nodes.select("id", "coords")
+    got = (rows if most is None else rows.limit(most + 1)).toArrow()
+    if most is not None and len(got) > most:
+        return None
+    coords = got["coords"].combine_chunks()
+    sizes = np.unique(coords.value_lengths().to_numpy(zero_copy_only=False))
+    if not len(got):
+        raise ValueError("there are no generators")
+    if len(sizes) != 1 or not sizes[0] >= 1:
+        raise ValueError("generators must have one dimension, 1 at least")
+    points = coords.flatten().to_numpy(zero_copy_only=False).reshape(len(got), -1)
+    if not np.isfinite(points).all():
+        raise ValueError("generators must be finite")
+    if len(np.unique(points, axis=0)) != len(points):
+        raise ValueError("two generators coincide")
+    return got["id"].to_numpy(), points
+
+
 def cell_rows(nodes: DataFrame, boundary: Boundary | None = None, cells: DataFrame | None = None, tol: float = TOL, strategy: str = "auto", all_of: bool = False) -> DataFrame:
     """Vertices and unbounded edges of the cells in ``cells`` (id; all by default) among ``nodes`` (id, coords).
 
     all_of: each cell emits all of its vertices, not only those it owns.
     """
-    spark, d = nodes.sparkSession, dimension(nodes)
-    bases, normals = _arrays(boundary, d)
-    n = nodes.count()
-    if strategy == "broadcast" or strategy == "auto" and n <= BROADCAST_NODES:
-        got = nodes.select("id", "coords").toArrow()  # not more than BROADCAST_NODES rows, unless asked for
-        ids, points = got["id"].to_numpy(), got["coords"].combine_chunks().flatten().to_numpy().reshape(-1, d)
+    spark = nodes.sparkSession
+    small = None if strategy == "bins" else gathered(nodes, None if strategy == "broadcast" else BROADCAST_NODES)
+    if small is not None:
+        ids, points = small
+        n, d = points.shape
+        bases, normals = _arrays(boundary, d)
         order = np.argsort(ids)
         ids, points = ids[order], points[order]
         own = np.arange(n) if cells is None else np.flatnonzero(np.isin(ids, cells.select("id").distinct().toArrow()["id"].to_numpy()))
@@ -168,6 +188,8 @@ def cell_rows(nodes: DataFrame, boundary: Boundary | None = None, cells: DataFra
                         yield from _emit(group, ids[at], ids[sure], all_of)
 
         return spark.range(0, len(groups), 1, len(groups)).mapInArrow(build, SCHEMA)
+    d, n = dimension(nodes), nodes.count()
+    bases, normals = _arrays(boundary, d)
     own = nodes.select("id", "coords")
     if cells is not None:
         own = own.join(cells.select("id").distinct(), "id", "left_semi")

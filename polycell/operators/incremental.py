@@ -30,6 +30,7 @@ class Mesh:
     vertices: DataFrame
     infinite_edges: DataFrame
     boundary: Boundary | None = None
+    held: DataFrame | None = None  # the cached rows behind vertices and edges
 
 
 @dataclass
@@ -44,7 +45,7 @@ class Report:
 
 def build(nodes: DataFrame, boundary: Boundary | None = None, strategy: str = "auto") -> Mesh:
     rows = cell_rows(nodes, boundary, strategy=strategy).persist()
-    return Mesh(nodes, vertices(rows), infinite_edges(rows), boundary)
+    return Mesh(nodes, vertices(rows), infinite_edges(rows), boundary, rows)
 
 
 def _ids(rows: DataFrame) -> DataFrame:

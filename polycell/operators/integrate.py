@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..plans.boundary import Boundary
+from .construct import BROADCAST_NODES, halves
 from .mesh import incidence
 from .state import settled
 
@@ -278,6 +279,9 @@ def exact(nodes: DataFrame, vertices: DataFrame, f: Callable | None = None, meth
     if method not in ("fast_polygon", "polygon", "heuristic"):
         raise ValueError(f"unknown method {method!r}")
     wanted = nodes.select("id", "coords") if cells is None else nodes.select("id", "coords").join(cells.select("id"), "id", "left_semi")
+    small = wanted.limit(BROADCAST_NODES + 1).toArrow()
+    if len(small) <= BROADCAST_NODES:
+        return _exact_small(small, vertices, f, method)
     groups = spatial_groups(wanted)
     rows = incidence(vertices).select("cell", "sigma", "position").join(groups.withColumnRenamed("id", "cell"), "cell")
     rows = rows.select("group", F.lit(None).cast("long").alias("cell"), "sigma", "position").dropDuplicates(["group", "sigma"])
@@ -287,37 +291,79 @@ def exact(nodes: DataFrame, vertices: DataFrame, f: Callable | None = None, meth
     def build(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches)).combine_chunks()  # a group of near cells and their vertices
         flat = t["position"].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
-        d = flat.shape[1]
-        sigma, own = t["sigma"].combine_chunks(), t["cell"].is_valid().to_numpy()
+        own = t["cell"].is_valid().to_numpy()
         ids, x = t["cell"].combine_chunks().filter(pa.array(own)).to_numpy(), flat[own]
         order = np.argsort(ids)
-        ids, x = ids[order], x[order]
-        points, sigma = flat[~own], sigma.filter(pa.array(~own))
-        sizes = sigma.value_lengths().to_numpy(zero_copy_only=False) if len(sigma) else np.zeros(0, np.int64)
-        odd = set(sigma.filter(pa.array(sizes != d + 1)).flatten().to_pylist())
-        one_by_one = np.array([method == "polygon" or i in odd for i in ids.tolist()], bool)
-        names = ["cell", "neighbour", "measure", "integral"]
-        if (~one_by_one).any():
-            plain = sigma.filter(pa.array(sizes == d + 1)).flatten().to_numpy().reshape(-1, d + 1)
-            at = ~one_by_one
-            touch = np.isin(plain, ids[at]).any(axis=1)
-            cell, neighbour, measure, integral = _group_rows(ids[at], x[at], plain[touch], points[sizes == d + 1][touch], f, method == "heuristic")
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(neighbour, mask=neighbour == np.iinfo(np.int64).min), pa.array(measure), _lists(integral, len(cell))], names)
-        if one_by_one.any():
-            lists = sigma.to_pylist()
-            held: dict[int, list[int]] = {}
-            for k, s in enumerate(lists):
-                for c in s:
-                    held.setdefault(c, []).append(k)
-            for i in np.flatnonzero(one_by_one):
-                at = held.get(int(ids[i]), [])
-                if at:
-                    out = _exact(int(ids[i]), x[i], [lists[k] for k in at], points[at], f, method == "polygon", method == "heuristic")
-                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64())))], names)
+        yield from _integrated(ids[order], x[order], t["sigma"].combine_chunks().filter(pa.array(~own)), flat[~own], f, method)
 
     return rows.groupBy("group").applyInArrow(build, _OUT)
 
 
+def _exact_small(cells: pa.Table, vertices: DataFrame, f, method: str) -> DataFrame:
+    """exact() where the cells (id, coords) fit a broadcast: groups are cut in the driver, and only vertices are shuffled, to the groups that they belong to."""
+    spark = vertices.sparkSession
+    if not len(cells):
+        return spark.createDataFrame([], _OUT)
+    ids, x = cells["id"].to_numpy(), cells["coords"].combine_chunks().flatten().to_numpy().reshape(len(cells), -1)
+    order = np.argsort(ids)
+    ids, x = ids[order], x[order]
+    parts = halves(x, max(1, min(GROUP_CELLS, -(-len(ids) // spark.sparkContext.defaultParallelism))))
+    group = np.zeros(len(ids), np.int64)
+    for k, at in enumerate(parts):
+        group[at] = k
+    shared = spark.sparkContext.broadcast((ids, x, group))
+
+    def deal(batches):
+        ids, _, group = shared.value
+        for b in batches:
+            sigma = b.column("sigma")
+            flat, sizes = sigma.flatten().to_numpy(), sigma.value_lengths().to_numpy()
+            place = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
+            pairs = np.unique((np.repeat(np.arange(b.num_rows), sizes) * len(parts) + group[place])[ids[place] == flat])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs % len(parts)), *b.take(pa.array(pairs // len(parts))).columns], ["group", "sigma", "position"])
+
+    def build(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        ids, x, group = shared.value
+        t = pa.Table.from_batches(held).combine_chunks()  # a group, or several that came to one task
+        number = t["group"].to_numpy()
+        for k in np.unique(number):
+            part = t.filter(pa.array(number == k)).combine_chunks()
+            at = np.flatnonzero(group == k)
+            yield from _integrated(ids[at], x[at], part["sigma"].combine_chunks(), part["position"].combine_chunks().flatten().to_numpy().reshape(len(part), -1), f, method)
+
+    rows = vertices.select("sigma", "position").mapInArrow(deal, "group long, sigma array<long>, position array<double>")
+    return rows.repartitionById(len(parts), F.col("group").cast("int")).mapInArrow(build, _OUT)
+
+
+def _integrated(ids: np.ndarray, x: np.ndarray, sigma: pa.Array, points: np.ndarray, f, method: str) -> Iterator[pa.RecordBatch]:
+    """Results of the cells ``ids``, in order, of a group with its vertices."""
+    d = x.shape[1]
+    sizes = sigma.value_lengths().to_numpy(zero_copy_only=False) if len(sigma) else np.zeros(0, np.int64)
+    odd = set(sigma.filter(pa.array(sizes != d + 1)).flatten().to_pylist())
+    one_by_one = np.array([method == "polygon" or i in odd for i in ids.tolist()], bool)
+    names = ["cell", "neighbour", "measure", "integral"]
+    if (~one_by_one).any():
+        plain = sigma.filter(pa.array(sizes == d + 1)).flatten().to_numpy().reshape(-1, d + 1)
+        at = ~one_by_one
+        touch = np.isin(plain, ids[at]).any(axis=1)
+        cell, neighbour, measure, integral = _group_rows(ids[at], x[at], plain[touch], points[sizes == d + 1][touch], f, method == "heuristic")
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(neighbour, mask=neighbour == np.iinfo(np.int64).min), pa.array(measure), _lists(integral, len(cell))], names)
+    if one_by_one.any():
+        lists = sigma.to_pylist()
+        held: dict[int, list[int]] = {}
+        for k, s in enumerate(lists):
+            for c in s:
+                held.setdefault(c, []).append(k)
+        for i in np.flatnonzero(one_by_one):
+            at = held.get(int(ids[i]), [])
+            if at:
+                out = _exact(int(ids[i]), x[i], [lists[k] for k in at], points[at], f, method == "polygon", method == "heuristic")
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64())))], names)
+
+
 class Algorithm:
     """An integration method of one's own. integrate_cell() runs in the tasks; the other hooks run in the driver."""
 
