@@ -113,6 +113,28 @@ def test_bins_equal_broadcast(spark):
     assert sigmas(construct.infinite_edges(a)) == sigmas(construct.infinite_edges(b))
 
 
+def test_groups_that_see_some_generators_equal_bins(spark, monkeypatch):
+    """More generators than a group looks at: cells are certified by what was seen, or tried again."""
+    rng = np.random.default_rng(8)
+    df = points(spark, rng.random((4500, 2)) ** 2)
+    box = Boundary.cuboid([1.0, 1.0])
+    monkeypatch.setattr(construct, "GROUP_CELLS", {2: 60})
+    a, b = construct.vertices(construct.cell_rows(df, box)), construct.vertices(construct.cell_rows(df, box, strategy="bins"))
+    r = validate.compare(a, b).first()
+    assert a.count() == 2 * 4500 + 2 and (r["missing_left"], r["missing_right"], r["moved"]) == (0, 0, 0)
+
+
+def test_integration_of_many_cells_equals_that_of_few(spark, monkeypatch):
+    m = VoronoiMesh.from_df(points(spark, spread(60, 3, 0.05, 0.95, 0.05)), Boundary.cuboid([1.0] * 3)).compute()
+    key = ["cell", "neighbour"]
+    few = integrate.exact(m.nodes, m.vertices).toPandas().sort_values(key)
+    monkeypatch.setattr(integrate, "BROADCAST_NODES", 10)
+    many = integrate.exact(m.nodes, m.vertices).toPandas().sort_values(key)
+    some = integrate.exact(m.nodes, m.vertices, cells=m.nodes.filter("id < 30")).toPandas().sort_values(key)
+    assert few[key].astype(float).fillna(-99).values.tolist() == many[key].astype(float).fillna(-99).values.tolist() and np.allclose(few.measure, many.measure)
+    assert np.allclose(some.measure, few[few.cell < 30].measure)
+
+
 def test_degenerate_boundary(spark):
     plane = Boundary(3).add([0, 0, -1], [0, 0, -1])
     m = VoronoiMesh.from_df(points(spark, [(0, 0, 0), (2, 0, 0), (0, 2, 0), (2, 2, 0)]), plane)
