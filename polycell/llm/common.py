@@ -95,7 +95,13 @@ class Scratch:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Gives back what the driver has freed: garbage of many plans, and the C library's free memory, of its JVM and of Python."""
+    """Gives back what driver and executors have freed, at the end of an operator's many jobs.
+
+    Heaps that have grown to their limit are collected, so that they shrink beside
+    the Python workers; of the driver also the C library's free memory.
+    """
+    slots = spark.sparkContext.defaultParallelism
+    spark.range(0, slots, 1, slots).select(F.expr("java_method('java.lang.System', 'gc')").alias("x")).write.format("noop").mode("overwrite").save()
     jvm = spark.sparkContext._jvm
     jvm.System.gc()
     try:
