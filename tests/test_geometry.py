@@ -443,6 +443,14 @@ def test_range_search_compares_only_near_nodes(spark):
     assert search.inrange(asks, nodes, 0.1).filter("id = qid").isEmpty()
 
 
+def test_range_search_by_bins_takes_any_radius(spark):
+    nodes = points(spark, [(0.0, 0.0), (1e9, -1e9), (1e9, 5.0), (3.0, 4.0)])
+    asks = nodes.select(F.col("id").alias("qid"), F.col("coords").alias("point"))
+    for radius in (1e-12, 5.0, 5.000001, 2e9, 1e300):
+        want = {(r["qid"], r["id"]) for r in search.inrange(asks, nodes, radius, "brute").collect()}
+        assert {(r["qid"], r["id"]) for r in search.inrange(asks, nodes, radius, "grid").collect()} == want
+
+
 def test_inactive_nodes_and_mirrors(spark):
     nodes = points(spark, [(0, 0), (2, 0), (0, 2), (0.4, 0.4), (0.41, 0.4)]).withColumn("active", F.col("id") != 4)
     q = spark.createDataFrame([(0, [0.41, 0.4])], "qid long, point array<double>")
