@@ -148,7 +148,7 @@ def bounded_sample(docs: DataFrame, marks: DataFrame, value_col: str, values: li
     if not picked:
         return {v: [] for v in values}
     keys = F.broadcast(spark.createDataFrame([(k,) for k in picked], "k long"))  # values * rows_each rows at most
-    texts = {r["k"]: r["text"] for r in docs.select(key.alias("k"), "text").join(keys, "k").collect()}
+    texts = {r["k"]: r["text"] for r in docs.select(key.alias("k"), "text").join(keys, "k").dropDuplicates(["k"]).collect()}  # once, also of repeated rows
     out: dict = {v: [] for v in values}
     for k, v in picked.items():
         out[v].append(texts[k])

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from polycell.llm import bpe, licenses, mixing, ngram_jaccard, paragraphs, queries, toxicity
-from polycell.llm.common import Scratch, components
+from polycell.llm.common import Scratch, bounded_sample, components
 from polycell.llm.textkernel import CHUNK_BYTES, chunks, shingle_hashes, word_hashes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -318,6 +318,15 @@ def test_mixing_of_languages_and_odd_rows(spark):
     assert empty.count() == 0
 
 
+def test_a_sample_brings_repeated_rows_to_the_driver_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one"), (2, "two")] * 50, "doc_id long, text string")
+    marks = spark.createDataFrame([(1, "en"), (2, "de")], "doc_id long, lang string")
+    sizes, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: (rows := collect(self), sizes.append(len(rows)))[0])
+    assert bounded_sample(docs, marks, "lang", ["en", "de"], 10, 100) == {"en": ["one"], "de": ["two"]}
+    assert max(sizes) == 2
+
+
 def test_repeated_rows_follow_the_rates(spark):
     docs = spark.createDataFrame([(i, "one two three", "en", "s", 13) for i in range(400)] + [(None, None, None, None, None)], DOCS)
     model = mixing.train(["one two"], ["en"], ["en"])
